@@ -101,8 +101,15 @@ def hour_floor(ts) -> Column:
 
 
 def utc_hour(ts, zone: str = "Europe/Zurich") -> Column:
-    """Local wall time to the UTC hour that contains it."""
-    return hour_floor(F.convert_timezone(F.lit(zone), F.lit("UTC"), col(ts)))
+    """Local wall time to the UTC hour that contains it.
+
+    A wall time that occurs twice (clocks set back) means its second occurrence.
+    """
+    ts = col(ts)
+    first = F.convert_timezone(F.lit(zone), F.lit("UTC"), ts)
+    second = first + F.make_dt_interval(F.lit(0), F.lit(1))
+    again = F.convert_timezone(F.lit("UTC"), F.lit(zone), second) == ts
+    return hour_floor(F.when(again, second).otherwise(first))
 
 
 def service_date(ts) -> Column:

@@ -116,8 +116,9 @@ def holiday_dim(years: DataFrame, year: str = "year") -> DataFrame:
     def cantons(names: str) -> Column:
         return F.split(F.lit(CANTONS if names == "*" else names), " ")
 
-    y = F.col(year).cast("int")
-    sunday = easter_sunday(y)
+    # Easter becomes a column first, so its arithmetic is not repeated in every rule.
+    base = years.select(F.col(year).cast("int").alias("y")).withColumn("easter", easter_sunday("y"))
+    y, sunday = F.col("y"), F.col("easter")
     dated = [
         F.struct(F.make_date(y, F.lit(m), F.lit(d)).alias("date"), cantons(c).alias("cantons"))
         for _, m, d, c in FIXED_DATE_RULES
@@ -133,7 +134,7 @@ def holiday_dim(years: DataFrame, year: str = "year") -> DataFrame:
     moved = F.when(april == F.date_add(sunday, -3), F.date_add(april, 7)).otherwise(april)
     dated.append(F.struct(moved.alias("date"), cantons("GL").alias("cantons")))
     return (
-        years.select(F.explode(F.array(*dated)).alias("r"))
+        base.select(F.explode(F.array(*dated)).alias("r"))
         .select("r.date", F.explode("r.cantons").alias("canton"))
         .distinct().withColumn("is_public_holiday", F.lit(True))
     )

@@ -32,6 +32,15 @@ def fit_all(jobs, parallelism: int) -> list:
         return pool.map(lambda job: job(), jobs)
 
 
+def held_out(seed: int, key: list[str]):
+    """Uniform number per row for an inner slice.
+
+    The tag keeps it independent of an outer split drawn with the same seed and key, which would
+    otherwise have taken exactly the rows this slice asks for.
+    """
+    return hash_fraction(f"{seed}/slice", key)
+
+
 def predict_as(model, df: DataFrame, name: str, source: str = "prediction") -> DataFrame:
     """Append one column of a model's output under a new name and drop the rest of it."""
     keep = df.columns
@@ -85,7 +94,7 @@ class EarlyStopped(Learner):
         self.booster = booster
 
     def _fit(self, df: DataFrame):
-        held = df.withColumn("__held", hash_fraction(self["seed"], self["keyCols"]) < self["slice"])
+        held = df.withColumn("__held", held_out(self["seed"], self["keyCols"]) < self["slice"])
         est = self.booster.copy()
         est.setFeaturesCol(self["featuresCol"]).setLabelCol(self["labelCol"]).setValidationIndicatorCol("__held")
         return est.fit(held)
@@ -107,7 +116,7 @@ class GrowingForest(Learner):
         self.forest = forest
 
     def _fit(self, df: DataFrame):
-        u = hash_fraction(self["seed"], self["keyCols"])
+        u = held_out(self["seed"], self["keyCols"])
         train, held = df.filter(u >= self["slice"]), df.filter(u < self["slice"])
         classify = isinstance(self.forest, RandomForestClassifier)
         judge = (MulticlassClassificationEvaluator(metricName="f1", labelCol=self["labelCol"]) if classify

@@ -20,11 +20,11 @@ from .windows import with_previous
 PREFIX_DIGITS = 5
 
 
-def key_hash(seed: int, key: Sequence[str]) -> Column:
+def key_hash(seed: int | str, key: Sequence[str]) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in key]))
 
 
-def hash_fraction(seed: int, key: Sequence[str]) -> Column:
+def hash_fraction(seed: int | str, key: Sequence[str]) -> Column:
     """Uniform number in [0, 1) that depends only on seed and key."""
     return hash_bucket(key_hash(seed, key), 8) / F.lit(float(16**8))
 

@@ -2,22 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.rows import rename_known
+from ..operators.windows import with_previous
 from ..schema import RAW_HEADERS, raw_schema
 from ..sources.actuals import null_cells
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
 def new_actuals(spark: SparkSession, path: str, headers: list[str] | None = None, files: int = 100) -> DataFrame:
     """Stream of daily files that have not been read before."""
     raw = (
@@ -56,42 +52,53 @@ def score_new(stream: DataFrame, model, out: str, checkpoint: str, columns=None)
     )
 
 
-class LastDelay(StatefulProcessor):
-    """Keeps the last delay per trip and day; rows of one batch are ordered before use.
+def previous_value_job(
+    stream: DataFrame, keys: list[str], order: list[str], value: str, *, out: str, state: str,
+    checkpoint: str, name: str = "previous", chunk: Column | None = None, expire: Column | None = None,
+) -> StreamingQuery:
+    """Previous value per key over an endless input, in micro-batches.
+
+    The state is one row per key (newest order value and its value), kept as a table per batch.
+    Each batch puts those rows in front of its own and runs the ordinary window operator, so hot
+    keys are chunked here as well. A row older than the newest one already seen for its key gets no
+    previous value, because the row that follows it has been written already. ``expire`` is a
+    condition on the keys that drops finished ones (for example days that have passed).
 
-    A row older than the newest one already seen for its trip gets no previous delay, because the
-    row it should follow has been emitted already.
+    Output and state of a batch go to folders named after it: a replayed batch overwrites itself
+    and reads the state of the batch before, so every row is written exactly once.
     """
+    first = order[0]
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        shape = T.StructType([f for f in batch.schema.fields if f.name in {*keys, first, value}])
+        if batch_id == 0:
+            seen = spark.createDataFrame([], shape)
+        else:
+            seen = spark.read.schema(shape).parquet(f"{state}/batch={batch_id - 1}")
+        newest = seen.select(*[F.col(k).alias(f"__k{k}") for k in keys], F.col(first).alias("__newest"))
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"__k{k}"))
+        marked = batch.join(newest, same, "left").drop(*[f"__k{k}" for k in keys])
+        is_late = F.coalesce(F.col(first) < F.col("__newest"), F.lit(False))
+        fresh = marked.filter(~is_late).drop("__newest").withColumn("__old", F.lit(False))
+        late = marked.filter(is_late).drop("__newest")
+        both = fresh.unionByName(seen.withColumn("__old", F.lit(True)), allowMissingColumns=True)
+        # The remembered row comes first among rows of the same time.
+        ranked = both.withColumn("__rank", F.when(F.col("__old"), 0).otherwise(1))
+        lagged = with_previous(ranked, keys, [first, "__rank", *order[1:]], lags={name: value}, chunk=chunk)
+        kept = lagged.filter(~F.col("__old")).drop("__old", "__rank")
+        whole = kept.unionByName(late.withColumn(name, F.lit(None).cast(dict(kept.dtypes)[name])))
+        whole.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        last = both.groupBy(*keys).agg(
+            F.max_by(F.struct(first, value), F.struct(first, ~F.col("__old"), *order[1:])).alias("r"))
+        last = last.select(*keys, "r.*")
+        if expire is not None:
+            last = last.filter(~expire)
+        last.select(*shape.names).write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
 
-    def __init__(self, order: list[str], value: str):
-        self.order, self.value = order, value
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", T.StructType([
-            T.StructField("at", T.TimestampNTZType()), T.StructField("value", T.DoubleType())]), ttlDurationMs=None)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
-        state = self.last.get() if self.last.exists() else None
-        at, carried = (state[0], state[1]) if state else (None, None)
-        times = batch[self.order[0]]
-        fresh = pd.Series(True, index=batch.index) if at is None else times >= pd.Timestamp(at)
-        late, batch = batch[~fresh], batch[fresh]
-        out = batch.assign(previous=batch[self.value].shift(1, fill_value=carried).astype(float))
-        if len(batch):
-            newest = batch.iloc[-1]
-            self.last.update((newest[self.order[0]].to_pydatetime(), float(newest[self.value])))
-        yield pd.concat([out, late.assign(previous=float("nan"))]) if len(late) else out
-
-    def close(self) -> None:
-        pass
-
-
-def previous_delay_stream(
-    stream: DataFrame, keys: list[str], order: list[str], value: str, out: str = "previous"
-) -> DataFrame:
-    """Stateful previous value per key. The session needs the RocksDB state store (``ROCKSDB``)."""
-    schema = T.StructType([*stream.schema.fields, T.StructField("previous", T.DoubleType())])
-    lagged = stream.groupBy(*keys).transformWithStateInPandas(
-        LastDelay(order, value), outputStructType=schema, outputMode="Append", timeMode="None")
-    return lagged.withColumn(out, F.when(~F.isnan("previous"), F.col("previous")))
+    return (
+        stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
+    )

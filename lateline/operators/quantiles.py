@@ -38,6 +38,8 @@ def column_quantiles(
 ) -> DataFrame:
     """Several quantiles of several columns at once: ``{output: (column, probability)}``."""
     names = list(wanted)
+    # Wide enough that a bracketed group always has its two ranks (and the sketch error) inside.
+    margin = max(MARGIN, 4.0 / small_group)
     sources = sorted({c for c, _ in wanted.values()})
     group = [F.col(k).alias(f"__g{i}") for i, k in enumerate(keys)]
     gnames = [f"__g{i}" for i in range(len(keys))]
@@ -49,7 +51,7 @@ def column_quantiles(
     for i, n in enumerate(names):
         c, p = wanted[n]
         edges = F.approx_percentile(
-            at[c], F.array(F.lit(max(0.0, p - MARGIN)), F.lit(min(1.0, p + MARGIN))), F.lit(ACCURACY)
+            at[c], F.array(F.lit(max(0.0, p - margin)), F.lit(min(1.0, p + margin))), F.lit(ACCURACY)
         )
         stats += [F.count(at[c]).alias(f"__n{i}"), edges.alias(f"__e{i}")]
     summary = slim.groupBy(*gnames).agg(*stats)
@@ -59,9 +61,9 @@ def column_quantiles(
         F.array(*[
             F.struct(
                 F.lit(i).alias("q"), F.col(f"__n{i}").alias("n"),
-                F.when((F.col(f"__n{i}") <= small_group) | F.lit(wanted[n][1] - MARGIN <= 0), -infinity)
+                F.when((F.col(f"__n{i}") <= small_group) | F.lit(wanted[n][1] - margin <= 0), -infinity)
                 .otherwise(F.get(f"__e{i}", F.lit(0))).alias("low"),
-                F.when((F.col(f"__n{i}") <= small_group) | F.lit(wanted[n][1] + MARGIN >= 1), infinity)
+                F.when((F.col(f"__n{i}") <= small_group) | F.lit(wanted[n][1] + margin >= 1), infinity)
                 .otherwise(F.get(f"__e{i}", F.lit(1))).alias("high"),
             )
             for i, n in enumerate(names)

@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 
 
 def regression_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
-    """(n, mse, rmse, r2) in one pass; sums are taken around a fixed shift-free second moment."""
-    y, p = F.col(label).cast("double"), F.col(prediction).cast("double")
-    known = df.filter(y.isNotNull() & p.isNotNull())
+    """(n, mse, rmse, r2) in one pass.
+
+    Unknown pairs are left out inside the aggregates: a filter on the prediction would be pushed
+    below the projection and evaluate the model twice per row.
+    """
+    pairs = df.select(F.col(label).cast("double").alias("y"), F.col(prediction).cast("double").alias("p"))
+    known = pairs.select((F.col("y") - F.col("p")).alias("e"), "y")
+    y = F.when(F.col("e").isNotNull(), F.col("y"))
     agg = known.agg(
-        F.count(F.lit(1)).alias("n"), F.sum((y - p) * (y - p)).alias("sse"),
-        (F.var_pop(y) * F.count(F.lit(1))).alias("sst"),
+        F.count("e").alias("n"), F.sum(F.col("e") * F.col("e")).alias("sse"),
+        (F.var_pop(y) * F.count("e")).alias("sst"),
     )
     mse = F.col("sse") / F.col("n")
     return agg.select(
@@ -35,9 +40,11 @@ def confusion(df: DataFrame, labels: Sequence[int], label: str = "label", predic
 
 def _per_class(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """(cls, tp, support, predicted) for every class seen on either side."""
+    both = F.col("y").isNotNull() & F.col("p").isNotNull()
+    # Filtering on the count keeps the condition above the aggregate and off the model's output.
     pairs = (
         df.select(F.col(label).cast("int").alias("y"), F.col(prediction).cast("int").alias("p"))
-        .dropna().groupBy("y", "p").agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("y", "p").agg(F.count_if(both).alias("n")).filter(F.col("n") > 0)
     )
     sides = pairs.select(F.explode(F.array(
         F.struct(F.col("y").alias("cls"), F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0).alias("tp"),

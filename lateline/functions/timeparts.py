@@ -105,11 +105,17 @@ def utc_hour(ts, zone: str = "Europe/Zurich") -> Column:
 
     A wall time that occurs twice (clocks set back) means its second occurrence.
     """
+    # Seconds since the epoch as if the wall clock were UTC. Offsets are whole minutes, so minutes
+    # are enough, and these conversions resolve the zone once instead of once per row.
     ts = col(ts)
-    first = F.convert_timezone(F.lit(zone), F.lit("UTC"), ts)
-    second = first + F.make_dt_interval(F.lit(0), F.lit(1))
-    again = F.convert_timezone(F.lit("UTC"), F.lit(zone), second) == ts
-    return hour_floor(F.when(again, second).otherwise(first))
+    epoch = F.lit("1970-01-01").cast("date")
+    wall = (F.date_diff(F.to_date(ts), epoch).cast("bigint") * 1440 + F.hour(ts) * 60 + F.minute(ts)) * 60
+    first = F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds(wall), F.lit(zone)))
+    second = first + 3600
+    repeats = F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(second), F.lit(zone))) == wall
+    hours = F.floor(F.when(repeats, second).otherwise(first) / 3600).cast("int")
+    day = F.date_add(epoch, F.floor(hours / 24).cast("int"))
+    return day.cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.pmod(hours, F.lit(24)))
 
 
 def service_date(ts) -> Column:

@@ -58,19 +58,19 @@ def column_quantiles(
     infinity = float("inf")
     brackets = summary.select(
         *gnames,
-        F.array(*[
+        *[
             F.struct(
-                F.lit(i).alias("q"), F.col(f"__n{i}").alias("n"),
+                F.col(f"__n{i}").alias("n"),
                 F.when((F.col(f"__n{i}") <= small_group) | F.lit(wanted[n][1] - margin <= 0), -infinity)
                 .otherwise(F.get(f"__e{i}", F.lit(0))).alias("low"),
                 F.when((F.col(f"__n{i}") <= small_group) | F.lit(wanted[n][1] + margin >= 1), infinity)
                 .otherwise(F.get(f"__e{i}", F.lit(1))).alias("high"),
-            )
+            ).alias(f"__b{i}")
             for i, n in enumerate(names)
-        ]).alias("__b"),
+        ],
     )
 
-    # 2. One pass: rows below the bracket collapse into a count, rows inside keep their value.
+    # 2. Rows below a bracket are only counted; the few rows inside keep their value.
     if gnames:
         renamed = brackets.withColumnsRenamed({g: f"__r{g}" for g in gnames})
         cond = F.lit(True)
@@ -79,27 +79,32 @@ def column_quantiles(
         joined = slim.join(renamed, cond).drop(*[f"__r{g}" for g in gnames])
     else:
         # A scalar subquery: one row, no join.
-        joined = slim.withColumn("__b", brackets.select("__b").scalar())
-    values = F.array(*[F.col(at[wanted[n][0]]) for n in names])
-    hits = F.filter(
-        F.transform(
-            F.arrays_zip(F.col("__b").alias("b"), values.alias("v")),
-            lambda z: F.struct(
-                z["b"]["q"].alias("q"), z["b"]["n"].alias("n"),
-                (z["v"] < z["b"]["low"]).alias("under"),
-                F.when(z["v"] >= z["b"]["low"], z["v"]).alias("v"),
-                (z["v"].isNotNull() & (z["v"] <= z["b"]["high"])).alias("keep"),
-            ),
-        ),
-        lambda s: s["keep"],
+        one = brackets.select(F.struct(*[f"__b{i}" for i in range(len(names))]).alias("b")).scalar()
+        joined = slim.withColumn("__b", one).select("*", "__b.*").drop("__b")
+    value = [F.col(at[wanted[n][0]]) for n in names]
+    low = [F.col(f"__b{i}.low") for i in range(len(names))]
+    high = [F.col(f"__b{i}.high") for i in range(len(names))]
+    inside = [(v >= lo) & (v <= hi) for v, lo, hi in zip(value, low, high)]
+    below = joined.groupBy(*gnames).agg(
+        *[F.count_if(v < lo).alias(f"__u{i}") for i, (v, lo) in enumerate(zip(value, low))],
+        *[F.first(f"__b{i}.n").alias(f"__n{i}") for i in range(len(names))],
     )
+    under = below.select(*gnames, F.inline(F.array(*[
+        F.struct(F.lit(i).alias("__q"), F.col(f"__n{i}").alias("__n"), F.lit(None).cast("double").alias("__v"),
+                 F.col(f"__u{i}").alias("__k")) for i in range(len(names))])))
+    hit = inside[0]
+    for c in inside[1:]:
+        hit = F.coalesce(hit, F.lit(False)) | F.coalesce(c, F.lit(False))
+    near = joined.filter(hit).select(*gnames, F.inline(F.array(*[
+        F.struct(F.lit(i).alias("__q"), F.col(f"__b{i}.n").alias("__n"), F.when(c, v).alias("__v"))
+        for i, (c, v) in enumerate(zip(inside, value))])))
     counted = (
-        joined.select(*gnames, F.explode_outer(hits).alias("h"))
-        .groupBy(*gnames, F.col("h.q").alias("__q"), F.col("h.n").alias("__n"), F.col("h.v").alias("__v"))
-        .agg(F.count(F.lit(1)).alias("__k"))
+        near.filter(F.col("__v").isNotNull()).groupBy(*gnames, "__q", "__n", "__v")
+        .agg(F.count(F.lit(1)).alias("__k")).unionByName(under)
     )
 
-    # 3. Running count over the few remaining distinct values (NULL = everything below, sorts first).
+    # 3. Running count over the few remaining distinct values. The row without a value holds the
+    # count of everything below the bracket and sorts first.
     w = Window.partitionBy(*gnames, "__q").orderBy(F.col("__v").asc_nulls_first())
     ranked = counted.withColumn("__upto", F.sum("__k").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     probs = F.array(*[F.lit(float(wanted[n][1])) for n in names])

@@ -17,7 +17,7 @@ from ..functions.delays import class_centres, class_names, delay_class, pick
 from ..operators.joins import lookup
 from ..operators.quantiles import medians
 from ..operators.sampling import sample_exact
-from ..operators.windows import even_chunks, position, previous_value
+from ..operators.windows import position, previous_value, sampled_chunks
 from .base import Keywords, Saved, boolean, floats, integer, number, string, strings
 
 
@@ -106,12 +106,10 @@ class CategoryCodes(Keywords, Estimator, DefaultParamsReadable, DefaultParamsWri
             value = F.col(c).cast("string").alias("value")
             if self.has("orderCol"):
                 seen = known.groupBy(value).agg(F.min(self["orderCol"]).alias("first"))
-                codes = position(seen, [], ["first", "value"], "code", chunk=even_chunks(seen, "first"), hot_rows=0)
+                codes = position(seen, [], ["first", "value"], "code", chunk=sampled_chunks(seen, "first"), hot_rows=0)
             else:
                 seen = known.select(value).distinct()
-                # First byte of the text never decreases along the text's own order.
-                lead = F.coalesce(F.conv(F.hex(F.substring("value", 1, 1)), 16, 10).cast("bigint"), F.lit(-1))
-                codes = position(seen, [], ["value"], "code", chunk=lead, hot_rows=0)
+                codes = position(seen, [], ["value"], "code", chunk=sampled_chunks(seen, "value"), hot_rows=0)
             tables[c] = codes.select("value", "code")
             sizes.append(tables[c].count())
         return CategoryCodesModel(inputCols=self["inputCols"], sizes=[float(s) for s in sizes]).owning(tables)

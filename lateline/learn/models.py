@@ -19,6 +19,7 @@ from ..functions.conditions import shifted_exp, shifted_log
 from ..functions.delays import class_centres, delay_class
 from ..operators.metrics import with_class_weight
 from ..operators.sampling import hash_fraction, with_fold, with_stratified_fold
+from ..session import checkpoint
 from .base import Keywords, Saved, boolean, floats, integer, number, string, strings
 
 MODEL_COLUMNS = ["prediction", "rawPrediction", "probability"]
@@ -213,7 +214,9 @@ class StackedRegressor(Ensemble):
 
     def _fit(self, df: DataFrame) -> StackedRegressorModel:
         names = [f"__p{i}" for i in range(len(self.bases))]
-        folded = with_fold(df, self["folds"], self["seed"], self["keyCols"])
+        # The rows are read once per fold and model: keep them instead of recomputing their plan.
+        folded = checkpoint(with_fold(df, self["folds"], self["seed"], self["keyCols"]))
+        df = folded.drop("fold")
         oof = out_of_fold(folded, self.bases, self["folds"], names, "prediction", self["parallelism"])
         stacked = oof.withColumn("__meta", array_to_vector(F.array(*names))).drop(self["featuresCol"]).withColumnRenamed(
             "__meta", self["featuresCol"])
@@ -247,7 +250,9 @@ class ResidualStack(Ensemble):
 
     def _fit(self, df: DataFrame) -> ResidualStackModel:
         y = self["labelCol"]
-        folded = with_fold(df, self["folds"], self["seed"], self["keyCols"])
+        # The rows are read once per fold and model: keep them instead of recomputing their plan.
+        folded = checkpoint(with_fold(df, self["folds"], self["seed"], self["keyCols"]))
+        df = folded.drop("fold")
         oof = out_of_fold(folded, [self.first], self["folds"], ["__p"], "prediction", self["parallelism"])
         errors = oof.withColumn(y, F.col(y) - F.col("__p")).drop("__p")
         one, two = fit_all([lambda: self.first.fit(df), lambda: self.second.fit(errors)], self["parallelism"])
@@ -405,7 +410,8 @@ class StackedClassifier(Ensemble):
 
     def _fit(self, df: DataFrame) -> StackedClassifierModel:
         names = [f"__p{i}" for i in range(len(self.bases))]
-        folded = with_stratified_fold(df, self["labelCol"], self["folds"], self["seed"], self["keyCols"])
+        folded = checkpoint(with_stratified_fold(df, self["labelCol"], self["folds"], self["seed"], self["keyCols"]))
+        df = folded.drop("fold")
         oof = out_of_fold(folded, self.bases, self["folds"], names, "probability", self["parallelism"])
         f = self["featuresCol"]
         meta = self.meta.fit(oof.withColumn(f, array_to_vector(F.concat(*names))))

@@ -71,23 +71,26 @@ def column_quantiles(
     )
 
     # 2. Rows below a bracket are only counted; the few rows inside keep their value.
+    value = [F.col(at[wanted[n][0]]) for n in names]
     if gnames:
         renamed = brackets.withColumnsRenamed({g: f"__r{g}" for g in gnames})
         cond = F.lit(True)
         for g in gnames:
             cond = cond & F.col(g).eqNullSafe(F.col(f"__r{g}"))
         joined = slim.join(renamed, cond).drop(*[f"__r{g}" for g in gnames])
+        part = lambda i, f: F.col(f"__b{i}.{f}")
     else:
-        # A scalar subquery: one row, no join.
-        one = brackets.select(F.struct(*[f"__b{i}" for i in range(len(names))]).alias("b")).scalar()
-        joined = slim.withColumn("__b", one).select("*", "__b.*").drop("__b")
-    value = [F.col(at[wanted[n][0]]) for n in names]
-    low = [F.col(f"__b{i}.low") for i in range(len(names))]
-    high = [F.col(f"__b{i}.high") for i in range(len(names))]
+        # One row of three numbers per request: as literals they also reach the scan as filters.
+        row = brackets.first()
+        joined = slim
+        part = lambda i, f: F.lit(row[f"__b{i}"][f])
+    low = [part(i, "low").cast("double") for i in range(len(names))]
+    high = [part(i, "high").cast("double") for i in range(len(names))]
+    size = [part(i, "n") for i in range(len(names))]
     inside = [(v >= lo) & (v <= hi) for v, lo, hi in zip(value, low, high)]
     below = joined.groupBy(*gnames).agg(
         *[F.count_if(v < lo).alias(f"__u{i}") for i, (v, lo) in enumerate(zip(value, low))],
-        *[F.first(f"__b{i}.n").alias(f"__n{i}") for i in range(len(names))],
+        *[F.first(n).alias(f"__n{i}") for i, n in enumerate(size)],
     )
     under = below.select(*gnames, F.inline(F.array(*[
         F.struct(F.lit(i).alias("__q"), F.col(f"__n{i}").alias("__n"), F.lit(None).cast("double").alias("__v"),
@@ -96,8 +99,8 @@ def column_quantiles(
     for c in inside[1:]:
         hit = F.coalesce(hit, F.lit(False)) | F.coalesce(c, F.lit(False))
     near = joined.filter(hit).select(*gnames, F.inline(F.array(*[
-        F.struct(F.lit(i).alias("__q"), F.col(f"__b{i}.n").alias("__n"), F.when(c, v).alias("__v"))
-        for i, (c, v) in enumerate(zip(inside, value))])))
+        F.struct(F.lit(i).alias("__q"), n.alias("__n"), F.when(c, v).alias("__v"))
+        for i, (c, v, n) in enumerate(zip(inside, value, size))])))
     counted = (
         near.filter(F.col("__v").isNotNull()).groupBy(*gnames, "__q", "__n", "__v")
         .agg(F.count(F.lit(1)).alias("__k")).unionByName(under)

@@ -33,7 +33,7 @@ def hash_bucket(hashed: Column, digits: int = PREFIX_DIGITS) -> Column:
     return F.conv(F.substring(hashed, 1, digits), 16, 10).cast("bigint")
 
 
-def _first_by_hash(
+def first_by_hash(
     df: DataFrame, seed: int, key: Sequence[str], strata: Sequence[str], quota: Column | None,
     quotas: DataFrame | None = None, invert: bool = False,
 ) -> DataFrame:
@@ -83,7 +83,7 @@ def sample_exact(df: DataFrame, n: int, seed: int, key: Sequence[str]) -> DataFr
     """Uniform sample of exactly min(n, rows) rows."""
     if n <= 0:
         return df.limit(0)
-    return _first_by_hash(df, seed, key, [], F.lit(n))
+    return first_by_hash(df, seed, key, [], F.lit(n))
 
 
 def fraction_size(total: int, fraction: float) -> int:
@@ -143,7 +143,7 @@ def sample_stratified(
     shares = dict(zip(order, allocate([counts[s] for s in order], n)))
     quota = F.element_at(
         F.create_map(*[x for s in order for x in (F.lit(s), F.lit(shares[s]))]), F.col("__stratum"))
-    picked = _first_by_hash(binned, seed, key, ["__stratum"], quota)
+    picked = first_by_hash(binned, seed, key, ["__stratum"], quota)
     return picked.drop("__stratum")
 
 
@@ -158,8 +158,8 @@ def train_test(
         return df.filter(u >= test_size), df.filter(u < test_size)
     quota = F.ceil(F.col("__all") * F.lit(test_size))
     return (
-        _first_by_hash(df, seed, key, [], quota, invert=True),
-        _first_by_hash(df, seed, key, [], quota),
+        first_by_hash(df, seed, key, [], quota, invert=True),
+        first_by_hash(df, seed, key, [], quota),
     )
 
 
@@ -169,8 +169,8 @@ def stratified_train_test(
     """Split with the same test share (rounded) in every class."""
     quota = F.round(F.col("__all") * F.lit(test_size)).cast("bigint")
     return (
-        _first_by_hash(df, seed, key, [label], quota, invert=True),
-        _first_by_hash(df, seed, key, [label], quota),
+        first_by_hash(df, seed, key, [label], quota, invert=True),
+        first_by_hash(df, seed, key, [label], quota),
     )
 
 

@@ -129,10 +129,16 @@ def distance_to_previous(
     return lagged.withColumn(out, dist).drop(*lags)
 
 
-def even_chunks(df: DataFrame, column: str, pieces: int = 4096) -> Column:
-    """Chunk expression for a numeric ordering column: equal-width pieces of its range."""
-    low, high = df.agg(F.min(column).cast("double"), F.max(column).cast("double")).first()
-    if low is None or high <= low:
+def sampled_chunks(df: DataFrame, column: str, pieces: int = 256, seed: int = 42) -> Column:
+    """Chunk expression that cuts any sortable column into pieces of similar size.
+
+    The borders are a small hash sample of the column's values (``pieces - 1`` of them), so they
+    follow its distribution; a chunk is the number of borders not above the value.
+    """
+    h = F.xxhash64(F.lit(seed), F.col(column))
+    rows = df.select(column).distinct().orderBy(h, column).limit(pieces - 1).collect()
+    borders = [r[0] for r in rows if r[0] is not None]
+    if not borders:
         return F.lit(0)
-    width = (high - low) / pieces
-    return F.floor((F.col(column).cast("double") - F.lit(low)) / F.lit(width)).cast("int")
+    fixed = F.array(*[F.lit(b) for b in sorted(borders)])
+    return F.coalesce(F.size(F.filter(fixed, lambda b: b <= F.col(column))), F.lit(0))

@@ -70,7 +70,7 @@ def _(spark, d):
     return E.RushHourStress().transform(w).select("event_id", "is_rush_hour", "weather_rush_hour_stress")
 
 
-_SEEN = "WITH f AS (SELECT o_orderpriority AS v, row_number() OVER (ORDER BY min({k})) - 1 AS code FROM orders WHERE o_orderpriority <> '2-HIGH' GROUP BY o_orderpriority)"
+_SEEN = "WITH f AS (SELECT o_orderpriority AS v, row_number() OVER (ORDER BY min({k}), o_orderpriority) - 1 AS code FROM orders WHERE o_orderpriority <> '2-HIGH' GROUP BY o_orderpriority)"
 
 
 @query("e06_first_appearance_codes", _SEEN.format(k="o_orderkey") + """
@@ -94,7 +94,7 @@ def _(spark, d):
 SELECT o_orderkey, CAST(coalesce(code, (SELECT count(*) FROM f)) AS INTEGER) AS o_orderpriority FROM orders LEFT JOIN f ON o_orderpriority = v""")
 def _(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
-    # Ties on the ordering column fall back to the text, which the SQL leaves to the group order.
+    # Customers repeat, so first appearances tie here and the text decides.
     m = E.CategoryCodes(inputCols=["o_orderpriority"], orderCol="o_custkey").fit(o.filter("o_orderpriority <> '2-HIGH'"))
     return m.transform(o).select("o_orderkey", "o_orderpriority")
 

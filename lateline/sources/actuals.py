@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -42,42 +44,73 @@ def read_actuals(spark: SparkSession, path, headers: list[str] | None = None) ->
     return null_cells(rename_known(raw, RAW_HEADERS))
 
 
+_MEMBERS = T.StructType([
+    T.StructField("archive", T.StringType()), T.StructField("member", T.StringType()),
+    T.StructField("header", T.StringType()), T.StructField("error", T.StringType()),
+])
 _LINES = T.StructType([
     T.StructField("archive", T.StringType()), T.StructField("member", T.StringType()),
-    T.StructField("line_no", T.LongType()), T.StructField("line", T.StringType()),
+    T.StructField("layout", T.LongType()), T.StructField("line_no", T.LongType()), T.StructField("line", T.StringType()),
     T.StructField("error", T.StringType()),
 ])
 _BATCH = 50_000
 
 
+def _open(path: str) -> zipfile.ZipFile:
+    """Archive opened by random access, so neither it nor a member is held in memory."""
+    if path.startswith("file:"):
+        return zipfile.ZipFile(re.sub("^file:/*", "/", path))
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(path)
+    return zipfile.ZipFile(system.open_input_file(inner))
+
+
+def _list_members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for path in batch["path"]:
+            try:
+                with _open(path) as archive:
+                    names = sorted(n for n in archive.namelist() if n.endswith(".csv"))
+                    for name in names:
+                        header, error = None, None
+                        try:
+                            with archive.open(name) as raw:
+                                header = raw.readline().decode("utf-8-sig", "replace").rstrip("\r\n")
+                        except (NotImplementedError, zipfile.BadZipFile, RuntimeError) as e:
+                            error = str(e)
+                        yield pd.DataFrame({"archive": [path], "member": [name], "header": [header], "error": [error]})
+            except (zipfile.BadZipFile, OSError) as e:
+                yield pd.DataFrame({"archive": [path], "member": [None], "header": [None], "error": [str(e)]})
+
+
 def _member_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Lines of every CSV member; the archive is streamed in batches, never expanded whole."""
     for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
+        for path, member in zip(batch["archive"], batch["member"]):
+            done, layout = 0, 0
             try:
-                archive = zipfile.ZipFile(io.BytesIO(content))
-            except zipfile.BadZipFile as e:
-                yield _frame(path, None, 0, [None], str(e))
-                continue
-            for member in sorted(n for n in archive.namelist() if n.endswith(".csv")):
-                done = 0
-                try:
-                    with archive.open(member) as raw:
-                        block: list[str] = []
-                        for line in io.TextIOWrapper(raw, encoding="utf-8-sig", errors="replace"):
-                            block.append(line.rstrip("\r\n"))
-                            if len(block) >= _BATCH:
-                                yield _frame(path, member, done, block, None)
-                                done, block = done + len(block), []
-                        if block:
-                            yield _frame(path, member, done, block, None)
-                except (NotImplementedError, zipfile.BadZipFile, RuntimeError) as e:
-                    yield _frame(path, member, done, [None], str(e))
-
-
-def _frame(archive, member, start, lines, error) -> pd.DataFrame:
+                with _open(path) as archive, archive.open(member) as raw:
+                    block: list[str] = []
+                    for line in io.TextIOWrapper(raw, encoding="utf-8-sig", errors="replace"):
+                        block.append(line.rstrip("\r\n"))
+                        if done == 0 and len(block) == 1:
+                            layout = layout_id(block[0])
+                        if len(block) >= _BATCH:
+                            yield _frame(path, member, layout, done, block, None)
+                            done, block = done + len(block), []
+                    if block:
+                        yield _frame(path, member, layout, done, block, None)
+            except (NotImplementedError, zipfile.BadZipFile, RuntimeError, OSError) as e:
+                yield _frame(path, member, layout, done, [None], str(e))
+
+
+def layout_id(header: str) -> int:
+    return zlib.crc32(header.encode())
+
+
+def _frame(archive, member, layout, start, lines, error) -> pd.DataFrame:
     return pd.DataFrame({
-        "archive": archive, "member": member, "line_no": range(start, start + len(lines)),
+        "archive": archive, "member": member, "layout": layout, "line_no": range(start, start + len(lines)),
         "line": lines, "error": error,
     })
 
@@ -85,26 +118,28 @@ def _frame(archive, member, start, lines, error) -> pd.DataFrame:
 def read_archives(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(rows, errors) over all CSV members of all ZIP archives under ``path``.
 
-    One task per archive produces text lines; the lines are then parsed by Spark's CSV parser. Run
-    it once as an ingest job and keep the parquet. Broken archives and members become error rows.
+    Members are listed first and then spread over tasks, so one large archive is read in parallel.
+    The lines are parsed by Spark's CSV parser. Run it once as an ingest job and keep the parquet.
+    Broken archives and members become error rows.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
-    lines = files.select("path", "content").mapInPandas(_member_lines, _LINES)
-    errors = lines.filter(F.col("error").isNotNull()).select("archive", "member", "error")
-    good = lines.filter(F.col("error").isNull())
-    header = F.split(F.col("header"), ";")
-    heads = good.filter(F.col("line_no") == 0).select("archive", "member", F.col("line").alias("header"))
-    # Heads are one short row per file; files may differ in column order, so cells go by name.
-    body = good.filter((F.col("line_no") > 0) & (F.col("line") != "")).join(heads, ["archive", "member"])
-    cells = F.map_from_arrays(
-        header, F.transform(F.sequence(F.lit(0), F.size(header) - 1), lambda i: F.get(F.col("cells"), i)))
-    parsed = body.withColumn("cells", F.from_csv(
-        "line", F.lit(", ".join(f"c{i} string" for i in range(64))), {"sep": ";", "mode": "PERMISSIVE"}))
-    parsed = parsed.withColumn("cells", F.array(*[F.col(f"cells.c{i}") for i in range(64)]))
-    by_name = parsed.withColumn("row", cells)
-    rows = by_name.select(
-        "archive", "member",
-        *[F.coalesce(F.try_element_at("row", F.lit(h)), F.try_element_at("row", F.lit(n))).alias(n)
-          for h, n in RAW_HEADERS.items()],
-    )
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path).select("path")
+    members = files.mapInPandas(_list_members, _MEMBERS)
+    readable = members.filter(F.col("header").isNotNull())
+    # One text per file layout, not per file.
+    layouts = sorted(r["header"] for r in readable.select("header").distinct().collect())
+    spread = readable.select("archive", "member").repartition("archive", "member")
+    lines = spread.mapInPandas(_member_lines, _LINES)
+    errors = members.filter(F.col("error").isNotNull()).select("archive", "member", "error").unionByName(
+        lines.filter(F.col("error").isNotNull()).select("archive", "member", "error"))
+    good = lines.filter(F.col("error").isNull() & (F.col("line_no") > 0) & (F.col("line") != ""))
+    parsed, names = {}, []
+    for i, layout in enumerate(layouts):
+        cells = [RAW_HEADERS.get(h.strip(), h.strip()) for h in layout.split(";")]
+        names += [n for n in cells if n not in names]
+        kind = ", ".join(f"`{n}` string" for n in cells)
+        row = F.from_csv("line", kind, {"sep": ";", "mode": "PERMISSIVE"})
+        parsed[f"__l{i}"] = (F.when(F.col("layout") == layout_id(layout), row), cells)
+    typed = good.withColumns({k: c for k, (c, _) in parsed.items()})
+    rows = typed.select("archive", "member", *[
+        F.coalesce(*[F.col(f"{k}.`{n}`") for k, (_, cells) in parsed.items() if n in cells]).alias(n) for n in names])
     return null_cells(rows), errors

@@ -67,4 +67,4 @@ def test_fraction():
 
 def test_quota_above_stratum_size_keeps_all(spark):
     df = base(spark, 70)
-    assert X._first_by_hash(df, 1, ["id"], ["c"], F.lit(100)).count() == 70
+    assert X.first_by_hash(df, 1, ["id"], ["c"], F.lit(100)).count() == 70

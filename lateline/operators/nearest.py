@@ -20,6 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
+
 SIDE = 8  # cells per axis and level
 MAX_LEVEL = 6
 LEAF = 32
@@ -66,14 +68,14 @@ def _levels(boxes: DataFrame, frame) -> int:
     finest = boxes.groupBy(_cell(MAX_LEVEL, F.col("mx"), F.col("my"), frame).alias("c")).count()
     n = SIDE**MAX_LEVEL
     cx, cy = F.floor(F.col("c") / n), F.pmod(F.col("c"), F.lit(n))
-    worst = None
-    for level in range(1, MAX_LEVEL + 1):
-        shrink = SIDE ** (MAX_LEVEL - level)
-        top = (
-            finest.groupBy(F.floor(cx / shrink), F.floor(cy / shrink)).agg(F.sum("count").alias("k"))
-            .agg(F.max("k").alias("k")).select(F.lit(level).alias("level"), "k")
-        )
-        worst = top if worst is None else worst.unionByName(top)
+    coarser = F.inline(F.array(*[
+        F.struct(F.lit(level).alias("level"), F.floor(cx / SIDE ** (MAX_LEVEL - level)).alias("x"),
+                 F.floor(cy / SIDE ** (MAX_LEVEL - level)).alias("y"))
+        for level in range(1, MAX_LEVEL + 1)]))
+    worst = (
+        finest.select("count", coarser).groupBy("level", "x", "y").agg(F.sum("count").alias("k"))
+        .groupBy("level").agg(F.max("k").alias("k"))
+    )
     # MAX_LEVEL rows.
     fits = [r["level"] for r in worst.collect() if r["k"] is not None and r["k"] <= LEAF]
     return min(fits) if fits else MAX_LEVEL
@@ -93,6 +95,8 @@ def nearest_box(
         .dropna().groupBy("minx", "maxx", "miny", "maxy").agg(F.min("id").alias("id"))
         .withColumns({"mx": (F.col("minx") + F.col("maxx")) / 2, "my": (F.col("miny") + F.col("maxy")) / 2})
     )
+    # The dimension is read once per level below.
+    unique = checkpoint(unique)
     corners = ("minx", "maxx", "miny", "maxy")
     ext = unique.agg(
         F.min("mx"), F.max("mx"), F.min("my"), F.max("my"),

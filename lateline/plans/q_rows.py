@@ -64,7 +64,7 @@ def _(spark, d):
 
 @query("s09_station_features", """
 SELECT 'c' || c_custkey AS station_id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'c' || c_custkey ELSE c_name END AS name,
-  c_acctbal AS lon, c_acctbal / 2 AS lat, CASE WHEN c_acctbal > 5000 THEN NULL ELSE 1.5 END AS alt
+  c_acctbal AS lon, c_acctbal / 2 AS lat, CASE WHEN c_acctbal > 5000 THEN NULL ELSE 1.5::DOUBLE END AS alt
 FROM customer WHERE c_mktsegment <> 'MACHINERY'""")
 def _(spark, d):
     body = """to_json(named_struct('features', array(named_struct(

@@ -6,6 +6,7 @@ executors see it, so a lost executor only repeats its own tasks.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -31,6 +32,14 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def importable(spark: SparkSession) -> None:
+    """Let workers import this package from where the driver did, besides what the cluster installs."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write the rows once to the shared folder and read them back: lineage ends here."""
     path = f"{shared_folder(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"

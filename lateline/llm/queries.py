@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import minhash, packing, wavelet
+from .common import importable, shared_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,9 +25,29 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    importable(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer's file; the package lies beside the libraries on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 @query("op1_minhash_dedup")
 def op1(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op2_best_fit_packing")
+def op2(spark, sf_dir):
+    return packing.packed(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@query("op3_wavelet_tokens")
+def op3(spark, sf_dir):
+    folder = f"{shared_folder(spark)}/wavelet-{uuid.uuid4().hex}"
+    made = written(wavelet.write(table(spark, sf_dir, "documents"), folder, vocabulary("word_bpe_49k.json")), "shards")
+    return wavelet.documents(spark, folder, made)

@@ -7,12 +7,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, packing, wavelet
+from . import decontaminate, minhash, packing, pii, wavelet
 from .common import importable, shared_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+# Callers choose their own secret; the registered query needs one that does not change.
+PSEUDONYM_KEY = "registered query"
+
 
 def query(name: str, sql: str | None = None):
     def keep(run):
@@ -51,3 +54,14 @@ def op3(spark, sf_dir):
     folder = f"{shared_folder(spark)}/wavelet-{uuid.uuid4().hex}"
     made = written(wavelet.write(table(spark, sf_dir, "documents"), folder, vocabulary("word_bpe_49k.json")), "shards")
     return wavelet.documents(spark, folder, made)
+
+
+@query("op6_feistel_pii")
+def op6(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, key=PSEUDONYM_KEY, count="n_found")
+
+
+@query("op8_winnowing_decontamination", decontaminate.SQL)
+def op8(spark, sf_dir):
+    return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")

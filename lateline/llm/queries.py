@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, minhash, packing, pii, wavelet
+from . import decontaminate, minhash, packing, pii, repeats, wavelet
 from .common import importable, shared_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,8 @@ def op6(spark, sf_dir):
 @query("op8_winnowing_decontamination", decontaminate.SQL)
 def op8(spark, sf_dir):
     return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
+@query("op4_anchor_substring_dedup", repeats.SQL)
+def op4(spark, sf_dir):
+    return repeats.without_repeats(table(spark, sf_dir, "documents"), keep_text=False)

@@ -6,8 +6,9 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, minhash, packing, pii, repeats, wavelet
+from . import caps, decontaminate, language, minhash, packing, pii, repeats, wavelet
 from .common import importable, shared_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,3 +71,17 @@ def op8(spark, sf_dir):
 @query("op4_anchor_substring_dedup", repeats.SQL)
 def op4(spark, sf_dir):
     return repeats.without_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+
+
+@query("op9_spherical_caps", caps.SQL)
+def op9(spark, sf_dir):
+    return caps.links(table(spark, sf_dir, "embeddings"))
+
+
+@query("op10_output_code_language")
+def op10(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    codes = language.learn(docs.where(~held))
+    told = language.identify(docs.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held_out")), codes)
+    return told.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")

@@ -7,6 +7,7 @@ seen (in a table that is emptied when full). Pieces with two white spaces togeth
 
 from __future__ import annotations
 
+import os
 import re
 from collections.abc import Iterator
 
@@ -21,6 +22,7 @@ class Encoder:
     """``drops_white`` says that the vocabulary gives white space no ids (and lower-cases)."""
 
     def __init__(self, path: str, drops_white: bool):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")   # a task is one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -43,7 +45,7 @@ class Encoder:
             new = list(pieces)
         # A comma or stop after letters is a token of its own.
         stems = {p: p[:-1] if p[-1:] in (",", ".") and p[:-1].isalpha() else p for p in new}
-        asked = list({*stems.values()} - table.keys())
+        asked = [p for p in {*stems.values()} if p not in table]
         table.update(zip(asked, self._ids([space + p for p in asked]), strict=True))
         marks = {m: b for m, b in zip(",.", self._ids([",", "."]), strict=True)}
         for p, stem in stems.items():

@@ -2,17 +2,21 @@
 
 Both vocabularies cut a text before they merge: no token crosses a single space between two other characters, nor a
 line break. So the ids of a text are the ids of its pieces in a row, and a worker keeps the ids of the pieces it has
-seen (in a table that is emptied when full). Pieces with two white spaces together go to the library unsplit.
+seen (in a table of two halves). Pieces with two white spaces together go to the library unsplit.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
-KEPT = 1_000_000          # pieces a worker remembers
+KEPT = 500_000          # pieces a worker remembers
 SEGMENT = 1 << 20         # characters cut into pieces at a time
+# Byte-level vocabularies show a byte as the character of its number where that prints, as one from 256 on elsewhere.
+_PRINTS = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTS)}
 _DOUBLE = re.compile(r"\s\s")
 _LONE = re.compile(r"(?<=\S) (?=\S)")
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
@@ -28,29 +32,49 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.drops_white = drops_white
-        self.lead, self.rest = ({}, {})  # ids of a piece at a line's start; of one after a space
+        self.lead, self.rest = [{}, {}], [{}, {}]  # ids of a piece at a line's start; of one after a space
+        self.model = self.tokenizer.model
+        self.marks = dict(zip(",.", self._ids([",", "."]), strict=True))
         self.line = b"" if drops_white else self._ids(["\n"])[0]
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
-        import numpy as np
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _learn(self, table: dict[str, bytes], pieces: set[str], space: str) -> None:
-        new = [p for p in pieces if p not in table]
+    def _learn(self, table: list[dict[str, bytes]], pieces: set[str], space: bool) -> dict[str, bytes]:
+        """The newer half of ``table`` with all ``pieces`` in it. When it is full it becomes the older half, so pieces that
+        come again stay and the many that occur once go."""
+        young, old = table
+        new = [p for p in pieces if p not in young]
         if not new:
-            return
-        if len(table) + len(new) > KEPT:
-            table.clear()
-            new = list(pieces)
-        # A comma or stop after letters is a token of its own.
-        stems = {p: p[:-1] if p[-1:] in (",", ".") and p[:-1].isalpha() else p for p in new}
-        asked = [p for p in {*stems.values()} if p not in table]
-        table.update(zip(asked, self._ids([space + p for p in asked]), strict=True))
-        marks = {m: b for m, b in zip(",.", self._ids([",", "."]), strict=True)}
-        for p, stem in stems.items():
-            if p is not stem:
-                table[p] = table[stem] + marks[p[-1]]
+            return young
+        if len(young) > KEPT:
+            table[1], table[0] = young, {}
+            return self._learn(table, pieces, space)
+        rest, tokenize, lead = [], self.model.tokenize, "\u0120" if space else ""
+        for p in new:
+            ids = old.get(p)
+            if ids is not None:
+                young[p] = ids
+                continue
+            # A comma or stop after letters is a unit of its own.
+            mark = self.marks.get(p[-1:])
+            word = p if mark is None else p[:-1]
+            if not word.isalpha():
+                rest.append(p)
+                continue
+            # A word of Latin letters is one unit to the vocabulary's splitter, so the library's model takes it as it is.
+            if not word.isascii():
+                if max(word) >= "\u0130":
+                    rest.append(p)
+                    continue
+                word = (word.lower() if self.drops_white else word).encode().decode("latin-1").translate(_SHOWN)
+            elif self.drops_white:
+                word = word.lower()
+            ids = array("I", [t.id for t in tokenize(lead + word)]).tobytes()
+            young[p] = ids if mark is None else ids + mark
+        if rest:
+            young.update(zip(rest, self._ids([" " + p for p in rest] if space else rest), strict=True))
+        return young
 
     def _segments(self, text: str) -> Iterator[str]:
         """Parts of a long text that start with the space or line break they were cut before."""
@@ -80,17 +104,15 @@ class Encoder:
     def _part(self, text: str) -> bytes:
         if self.drops_white:
             pieces = text.replace("\n", " ").split(" ")
-            self._learn(self.rest, set(pieces), "")
-            return b"".join(map(self.rest.__getitem__, pieces))
+            return b"".join(map(self._learn(self.lead, set(pieces), False).__getitem__, pieces))
         if _DOUBLE.search(text):
             first, *others = _LONE.split(text)
-            self._learn(self.rest, set(others), " ")
-            return self._ids([first])[0] + b"".join(map(self.rest.__getitem__, others))
+            rest = self._learn(self.rest, set(others), True)
+            return self._ids([first])[0] + b"".join(map(rest.__getitem__, others))
         lines = [x.split(" ") for x in text.split("\n")]
-        self._learn(self.lead, {x[0] for x in lines}, "")
-        self._learn(self.rest, {p for x in lines for p in x[1:]}, " ")
-        get = self.rest.__getitem__
-        return self.line.join([self.lead[x[0]] + b"".join(map(get, x[1:])) for x in lines])
+        lead = self._learn(self.lead, {x[0] for x in lines}, False)
+        get = self._learn(self.rest, {p for x in lines for p in x[1:]}, True).__getitem__
+        return self.line.join([lead[x[0]] + b"".join(map(get, x[1:])) for x in lines])
 
 
 def encoder(path: str, drops_white: bool) -> Encoder:

@@ -50,9 +50,14 @@ def _hashed(rows: DataFrame) -> DataFrame:
     return rows.withColumn("h", F.expr("transform(words, w -> xxhash64(w))")).withColumn("g", _grams(K))
 
 
+def row_key(id: str, text: str) -> Column:
+    """Names a row by its id and text, so null and repeated ids do no harm."""
+    return F.xxhash64(F.col(id), F.col(text))
+
+
 def hits(docs: DataFrame, items: DataFrame, *, id: str = "doc_id", text: str = "text", item_id: str = "item_id",
          item_text: str = "text", window: int = 13, hit_share: int = 20) -> DataFrame:
-    """Rows (id, n_words, n_hit, n_items, items_sha256, contaminated, items), one per document.
+    """Rows (id, n_words, n_hit, n_items, items_sha256, items, key, contaminated), one per document; see ``row_key``.
 
     Contaminated: at least one word is hit and hit_share * n_hit >= n_words.
     """
@@ -70,7 +75,7 @@ def hits(docs: DataFrame, items: DataFrame, *, id: str = "doc_id", text: str = "
         marks = marks.unionAll(_hashed(bench.where(F.size("words") == n)).select(F.explode(_grams(n)).alias("mark")))
     marks = written(marks.distinct(), "marks")
 
-    rows = docs.select(F.col(id).alias("id"), F.xxhash64(F.col(id), F.col(text)).alias("key"), F.col(text).alias("text"))
+    rows = docs.select(F.col(id).alias("id"), row_key(id, text).alias("key"), F.col(text).alias("text"))
     worded = _hashed(rows.select("id", "key", words_of("text").alias("words")))
     parts = [_smallest(per), *[_grams(n) for n in short]]
     base = written(worded.select("id", "key", F.size("words").cast("long").alias("n_words"),
@@ -104,7 +109,7 @@ def hits(docs: DataFrame, items: DataFrame, *, id: str = "doc_id", text: str = "
                     F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"),
                     F.sha2(F.array_join(F.coalesce("items", F.expr("cast(array() as array<string>)")), ",").cast("binary"), 256)
                     .alias("items_sha256"),
-                    "items")
+                    "items", "key")
             .withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(hit_share) * F.col("n_hit") >= F.col("n_words"))))
 
 

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import caps, decontaminate, language, minhash, packing, pii, repeats, wavelet
+from . import caps, decontaminate, hosts, language, minhash, packing, pii, repeats, toxicity, wavelet
 from .common import importable, shared_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,15 +57,29 @@ def op3(spark, sf_dir):
     return wavelet.documents(spark, folder, made)
 
 
+@query("op5_noisy_channel_toxicity")
+def op5(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    scorer = toxicity.learn(table(spark, sf_dir, "labels").where(~held), docs)
+    told = toxicity.score(docs.withColumn("held_out", F.coalesce(held, F.lit(False))), scorer)
+    return told.select("doc_id", "held_out", "score", "predicted")
+
+
 @query("op6_feistel_pii")
 def op6(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return pii.pseudonymise(docs, key=PSEUDONYM_KEY, count="n_found")
 
 
+@query("op7_consensus_html")
+def op7(spark, sf_dir):
+    return hosts.extract(table(spark, sf_dir, "pages"))
+
+
 @query("op8_winnowing_decontamination", decontaminate.SQL)
 def op8(spark, sf_dir):
-    return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+    return decontaminate.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "key")
 
 
 @query("op4_anchor_substring_dedup", repeats.SQL)

@@ -6,8 +6,8 @@ random unit vectors, and every pair of them is a direction. So a vector scores t
 scores add up to enough, best first, without looking at the others. Vectors that share a filter are candidates; their
 cosine in double precision decides.
 
-A vector in few caps takes its ``least`` best directions, and so do its neighbours, whose scores are alike. With the
-defaults a vector lies in about 30 caps and one at cosine 0.95 shares half of them. Equal vectors are merged first.
+A vector in few caps takes its ``least`` best directions, and so do its neighbours, whose scores are alike. In 64
+dimensions a vector lies in about 30 caps and one at cosine 0.95 shares half of them. Equal vectors are merged first.
 
 Nulls and edge cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors
 of another length than the first usable one, too; a null id is reported with a null component and is not kept; rows that
@@ -23,18 +23,38 @@ from pyspark.sql import functions as F
 
 from .common import components, written
 
-CODES = 1220              # unit vectors per half: 1.5 million directions
-ALPHA = 0.5               # four standard deviations of a random inner product in 64 dimensions
-LEAST = 24
+CODES = 1220              # unit vectors per half at most: 1.5 million directions
+MEAN = 30                 # caps a random vector should lie in
+LEAST = 24                # caps every vector takes at least
 
 
 def _codes(dim: int, codes: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors for both halves, scaled so that their pairs are unit vectors. Few dimensions are not halved."""
     rng = np.random.default_rng(seed)
-    out = []
-    for d in (dim // 2, dim - dim // 2):
-        x = rng.standard_normal((codes, max(d, 1)))
-        out.append((x / np.linalg.norm(x, axis=1, keepdims=True))[:, :d])
-    return out[0], out[1]
+    if dim < 16:
+        x = rng.standard_normal((codes, dim))
+        return x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros((1, 0))
+    x, y = rng.standard_normal((codes, dim // 2)), rng.standard_normal((codes, dim - dim // 2))
+    return tuple(z / np.linalg.norm(z, axis=1, keepdims=True) / np.sqrt(2) for z in (x, y))
+
+
+def _scores(v: np.ndarray, codes: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    cut = codes[0].shape[1]
+    return v[:, :cut] @ codes[0].T, v[:, cut:] @ codes[1].T
+
+
+def fitted(dim: int, seed: int = 7) -> tuple[int, float]:
+    """Codes per half and least inner product: four standard deviations of a random one, with just enough directions."""
+    alpha = min(0.85, 4 / np.sqrt(dim))
+    v = np.random.default_rng(seed + 1).standard_normal((100, dim))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    codes = 8
+    while codes < CODES:
+        x, y = _scores(v, _codes(dim, codes, seed))
+        if ((x[:, :, None] + y[:, None, :]) >= alpha).sum((1, 2)).mean() >= MEAN:
+            break
+        codes = min(CODES, codes * 2) if codes < 256 else CODES
+    return codes, alpha
 
 
 def decode(x: np.ndarray, y: np.ndarray, need: float, least: int) -> np.ndarray:
@@ -58,11 +78,14 @@ def decode(x: np.ndarray, y: np.ndarray, need: float, least: int) -> np.ndarray:
 
 
 def links(vectors: DataFrame, *, id: str = "vec_id", embedding: str = "embedding", cosine: float = 0.95,
-          codes: int = CODES, alpha: float = ALPHA, least: int = LEAST, seed: int = 7) -> DataFrame:
-    """Rows (id, n_links, component_id, kept), one per row of ``vectors``."""
+          codes: int | None = None, alpha: float | None = None, least: int = LEAST, seed: int = 7) -> DataFrame:
+    """Rows (id, n_links, component_id, kept), one per row of ``vectors``. Unless given, the number of directions and the
+    cap follow from the dimension alone (see ``fitted``)."""
     own = vectors.select(F.col(id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("e"))
     first = own.where("size(e) > 0").select(F.size("e").alias("n")).first()
     dim = first["n"] if first else 1
+    if codes is None or alpha is None:
+        codes, alpha = fitted(dim, seed)
 
     def unit(batches):
         for b in batches:
@@ -82,12 +105,11 @@ def links(vectors: DataFrame, *, id: str = "vec_id", embedding: str = "embedding
                       .where("cid is not null").withColumn("rep", F.xxhash64("v")), "classes")
 
     def filters(batches):
-        left, right = _codes(dim, codes, seed)
-        need = alpha * np.sqrt(2)
+        code = _codes(dim, codes, seed)
         for b in batches:
             v = np.frombuffer(b"".join(b["v"]), np.float64).reshape(-1, dim)
-            xs, ys = v[:, :dim // 2] @ left.T, v[:, dim // 2:] @ right.T
-            found = [decode(x, y, need, least) for x, y in zip(xs, ys, strict=True)]
+            xs, ys = _scores(v, code)
+            found = [decode(x, y, alpha, least) for x, y in zip(xs, ys, strict=True)]
             size = [len(f) for f in found]
             yield pd.DataFrame({"rep": np.repeat(b["rep"].to_numpy(), size), "f": np.concatenate([np.empty(0, np.int64), *found])})
 

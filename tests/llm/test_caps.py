@@ -8,7 +8,7 @@ from lateline.llm import caps
 def brute(rows, cosine=0.95):
     def unit(e):
         v = None if e is None or not len(e) or any(x is None for x in e) else np.array(e, float)
-        return None if v is None or not np.isfinite(v).all() or not v.any() else v / np.linalg.norm(v)
+        return None if v is None or not np.isfinite(v).all() or not v.any() else (v / abs(v).max()) / np.linalg.norm(v / abs(v).max())
     us = [(i, unit(e)) for i, e in rows]
     near = [[x is not None and y is not None and len(x) == len(y) and a != b and x @ y >= cosine for b, (_, y) in enumerate(us)] for a, (_, x) in enumerate(us)]
     low = [i for i, _ in us]

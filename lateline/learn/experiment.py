@@ -93,14 +93,20 @@ def draw(space: Mapping[str, tuple], rng: random.Random) -> dict:
 
 def search(
     train: DataFrame, test: DataFrame, build: Callable[[dict], Estimator], space: Mapping[str, tuple], *,
-    key: Sequence[str], label: str = "label", trials: int = 10, sample: int = 50_000, seed: int = 42,
+    key: Sequence[str], label: str = "label", trials: int = 10, sample: int | None = None, seed: int = 42,
     classify: bool = False,
 ) -> tuple[dict, DataFrame, object]:
-    """(best setting, test metrics, model): trials on a sample, best one refitted on all rows.
+    """(best setting, test metrics, model): trials, and the best one refitted on all rows.
 
-    The sample keeps the label's distribution; every trial has its own inner split.
+    Trials use all rows unless the caller states a ``sample``, which keeps the label's distribution; every trial has its
+    own inner split.
     """
-    small = sample_stratified(train, sample, label, seed, key) if not classify else sample_exact(train, sample, seed, key)
+    if sample is None:
+        small = train
+    elif classify:
+        small = sample_exact(train, sample, seed, key)
+    else:
+        small = sample_stratified(train, sample, label, seed, key)
     small = small.cache()
     try:
         best, best_score = None, None

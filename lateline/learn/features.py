@@ -18,6 +18,7 @@ from ..operators.joins import lookup
 from ..operators.quantiles import medians
 from ..operators.sampling import sample_exact
 from ..operators.windows import position, previous_value, sampled_chunks
+from ..session import checkpoint
 from .base import Keywords, Saved, boolean, floats, integer, number, string, strings
 
 
@@ -110,7 +111,7 @@ class CategoryCodes(Keywords, Estimator, DefaultParamsReadable, DefaultParamsWri
             else:
                 seen = known.select(value).distinct()
                 codes = position(seen, [], ["value"], "code", chunk=sampled_chunks(seen, "value"), hot_rows=0)
-            tables[c] = codes.select("value", "code")
+            tables[c] = checkpoint(codes.select("value", "code"))  # fitted once, whatever the files become
             sizes.append(tables[c].count())
         return CategoryCodesModel(inputCols=self["inputCols"], sizes=[float(s) for s in sizes]).owning(tables)
 
@@ -142,7 +143,7 @@ class HistoricalMean(Keywords, Estimator, DefaultParamsReadable, DefaultParamsWr
         if y not in df.columns:
             raise ValueError(f"label column {y} is required")
         overall = df.agg(F.avg(y)).first()[0]
-        table = df.dropna(subset=self["keyCols"]).groupBy(*self["keyCols"]).agg(F.avg(y).alias("mean"))
+        table = checkpoint(df.dropna(subset=self["keyCols"]).groupBy(*self["keyCols"]).agg(F.avg(y).alias("mean")))
         return HistoricalMeanModel(
             keyCols=self["keyCols"], outputCol=self["outputCol"], overall=float(overall)).owning({"means": table})
 
@@ -255,7 +256,7 @@ class PrincipalParts(Keywords, Estimator, DefaultParamsReadable, DefaultParamsWr
 
     def _fit(self, df: DataFrame) -> PrincipalPartsModel:
         cols = self["inputCols"]
-        means = [float(v or 0.0) for v in df.agg(*[F.avg(c) for c in cols]).first()]
+        means = [float(v or 0.0) for v in df.agg(*[F.avg(F.coalesce(F.col(c).cast("double"), F.lit(0.0))) for c in cols]).first()]
         filled = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
         vectors = VectorAssembler(inputCols=cols, outputCol="v").transform(filled)
         full = self["k"] if self.has("k") else len(cols)

@@ -62,6 +62,10 @@ class Learner(Keywords, Estimator):
         self.defaults = {**Learner.base, **self.defaults}
         super().__init__(**kw)
 
+    def fit(self, dataset: DataFrame, params=None):
+        """Rows without a label teach nothing; every learner sees only the others."""
+        return super().fit(dataset.filter(F.col(self["labelCol"]).isNotNull()), params)
+
 
 class Ridge(Learner, DefaultParamsReadable, DefaultParamsWritable):
     """L2-penalised least squares: minimise |y - Xw - b|² + alpha |w|².

@@ -168,7 +168,11 @@ def add_weather(
     fact: DataFrame, stop_station: DataFrame, weather: DataFrame, *, ts: str = "timestamp",
     zone: str = "Europe/Zurich", columns: Sequence[str] = tuple(WEATHER), required: bool = False,
 ) -> DataFrame:
-    """Hourly weather of the stop's station at the row's UTC hour; ``required`` drops misses."""
+    """Hourly weather of the stop's station at the row's UTC hour; ``required`` drops misses.
+
+    Of repeated rows for a station and hour the largest values count, so the fact never grows.
+    """
+    weather = weather.groupBy("station_id", "timestamp").agg(*[F.max(c).alias(c) for c in columns])
     keyed = lookup(fact, stop_station, {"stop_id": "stop_id"}, {"weather_station": "__station"})
     keyed = keyed.withColumn("__hour", utc_hour(ts, zone))
     out = lookup(

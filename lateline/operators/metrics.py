@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+MOST_CLASSES = 1000
+
+
 def regression_metrics(df: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
     """(n, mse, rmse, r2) in one pass.
 
@@ -95,7 +98,10 @@ def with_class_weight(df: DataFrame, label: str, mode: str | None = "balanced",
     """Weight on every row. A literal map, because the class list is as short as the bin list."""
     if mode is None:
         return df.withColumn(out, F.lit(1.0))
-    table = {r[label]: r["weight"] for r in class_weights(df, label, mode).collect()}
+    rows = class_weights(df, label, mode).limit(MOST_CLASSES + 1).collect()
+    if len(rows) > MOST_CLASSES:
+        raise ValueError(f"{label} has more than {MOST_CLASSES} values: no class")
+    table = {r[label]: r["weight"] for r in rows}
     pairs = [x for k, v in table.items() for x in (F.lit(k), F.lit(v))]
     return df.withColumn(out, F.element_at(F.create_map(*pairs), F.col(label)))
 

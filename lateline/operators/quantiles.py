@@ -2,8 +2,8 @@
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one aggregation buffer.
 Here a bounded sketch only narrows the search: rows outside the sketch's bracket are counted,
-rows inside are grouped by value, and the ranks are read from the running count. The sketch
-decides how much work is done, never the result.
+rows inside are counted per value and per piece of the bracket, and the ranks are read from the
+running count of the pieces that hold them. The sketch decides how much work is done, never the result.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 SMALL_GROUP = 20_000
 MARGIN = 1.0 / 2000
 ACCURACY = 10_000
+PIECES = 1024
 
 
 def exact_quantiles(
@@ -93,26 +94,40 @@ def column_quantiles(
         *[F.first(n).alias(f"__n{i}") for i, n in enumerate(size)],
     )
     under = below.select(*gnames, F.inline(F.array(*[
-        F.struct(F.lit(i).alias("__q"), F.col(f"__n{i}").alias("__n"), F.lit(None).cast("double").alias("__v"),
-                 F.col(f"__u{i}").alias("__k")) for i in range(len(names))])))
+        F.struct(F.lit(i).alias("__q"), F.col(f"__n{i}").alias("__n"), F.lit(-1).alias("__b"),
+                 F.lit(None).cast("double").alias("__v"), F.col(f"__u{i}").alias("__k")) for i in range(len(names))])))
+    # Place of a value in its bracket, for brackets with two ends.
+    piece = lambda v, lo, hi: F.when(
+        (lo > -infinity) & (hi < infinity) & (hi > lo), F.floor((v - lo) / (hi - lo) * (PIECES - 1))).otherwise(0).cast("int")
     hit = inside[0]
     for c in inside[1:]:
         hit = F.coalesce(hit, F.lit(False)) | F.coalesce(c, F.lit(False))
     near = joined.filter(hit).select(*gnames, F.inline(F.array(*[
-        F.struct(F.lit(i).alias("__q"), n.alias("__n"), F.when(c, v).alias("__v"))
-        for i, (c, v, n) in enumerate(zip(inside, value, size))])))
+        F.struct(F.lit(i).alias("__q"), n.alias("__n"), F.when(c, piece(v, lo, hi)).alias("__b"), F.when(c, v).alias("__v"))
+        for i, (c, v, n, lo, hi) in enumerate(zip(inside, value, size, low, high))])))
     counted = (
-        near.filter(F.col("__v").isNotNull()).groupBy(*gnames, "__q", "__n", "__v")
+        near.filter(F.col("__v").isNotNull()).groupBy(*gnames, "__q", "__n", "__b", "__v")
         .agg(F.count(F.lit(1)).alias("__k")).unionByName(under)
     )
 
-    # 3. Running count over the few remaining distinct values. The row without a value holds the
-    # count of everything below the bracket and sorts first.
-    w = Window.partitionBy(*gnames, "__q").orderBy(F.col("__v").asc_nulls_first())
-    ranked = counted.withColumn("__upto", F.sum("__k").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # 3. Counts per piece of the bracket say which piece holds a rank; only its distinct values are put in order. The row
+    # without a value holds the count of everything below the bracket and is a piece of its own.
     probs = F.array(*[F.lit(float(wanted[n][1])) for n in names])
     target = F.get(probs, F.col("__q")) * (F.col("__n") - 1)
     floor, ceil = F.floor(target), F.ceil(target)
+    along = Window.partitionBy(*gnames, "__q").orderBy("__b")
+    pieces = (
+        counted.groupBy(*gnames, "__q", "__n", "__b").agg(F.sum("__k").alias("__c"))
+        .withColumn("__base", F.sum("__c").over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__c"))
+        .filter((F.col("__base") <= ceil) & (F.col("__base") + F.col("__c") > floor))
+        .select(*[F.col(g).alias(f"__r{g}") for g in gnames], F.col("__q").alias("__rq"), F.col("__b").alias("__rb"), "__base")
+    )
+    same = (F.col("__q") == F.col("__rq")) & (F.col("__b") == F.col("__rb"))
+    for g in gnames:
+        same = same & F.col(g).eqNullSafe(F.col(f"__r{g}"))
+    w = Window.partitionBy(*gnames, "__q", "__b").orderBy(F.col("__v").asc_nulls_first())
+    ranked = counted.join(pieces, same).drop(*[f"__r{g}" for g in gnames], "__rq", "__rb").withColumn(
+        "__upto", F.col("__base") + F.sum("__k").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     at_rank = lambda r: F.max(F.when((F.col("__upto") - F.col("__k") <= r) & (r < F.col("__upto")), F.col("__v")))
     picked = (
         ranked.groupBy(*gnames, "__q", "__n")

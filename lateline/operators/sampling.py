@@ -118,7 +118,7 @@ def allocate(counts: Sequence[int], n: int) -> list[int]:
         # Never push a stratum below one row while a larger one can give.
         small = [s for s in shares if s > 1]
         if not small:
-            break
+            raise ValueError(f"{n} rows cannot cover {len(shares)} strata")
         shares[shares.index(min(small))] -= 1
     return shares
 
@@ -130,9 +130,13 @@ def _half_even(x: float) -> int:
 
 
 def sample_stratified(
-    df: DataFrame, n: int, on: str, seed: int, key: Sequence[str], bins: int = 10, exact: bool = False
+    df: DataFrame, n: int, on: str, seed: int, key: Sequence[str], bins: int = 10, exact: bool = True
 ) -> DataFrame:
-    """Exactly n rows, spread over quantile bins of ``on`` like the whole table."""
+    """Exactly n rows, spread over quantile bins of ``on`` like the whole table.
+
+    ``exact=False`` takes the bin edges from a sketch, which may depend on the partitioning. An n below the number of
+    bins that hold rows is an error, because every bin gives at least one.
+    """
     edges = exact_edges(df, on, bins) if exact else quantile_edges(df, on, bins)
     if len(edges) < 2:
         return sample_exact(df, n, seed, key)

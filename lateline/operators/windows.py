@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.conditions import planar_distance
 
+# Decides how a key is computed, never its result.
 HOT_ROWS = 1_000_000
 
 
@@ -40,8 +41,9 @@ def with_previous(
     """Add previous-row values (``{new: source}``) and/or the position within ``keys``.
 
     ``order`` must end in a unique tie-break. ``chunk`` is an expression that never decreases along
-    ``order``; without it every key is handled by one window partition. ``hot_rows=0`` chunks every
-    key, which is the right choice for an empty or a handful of keys.
+    ``order``; its NULLs, like those of the order, come first and are a chunk of their own. Without it
+    every key is handled by one window partition. ``hot_rows=0`` chunks every key, which is the right
+    choice for an empty or a handful of keys.
     """
     lags = dict(lags or {})
     if chunk is None:
@@ -51,27 +53,29 @@ def with_previous(
             new[index] = F.row_number().over(w) - 1 + base
         return df.withColumns(new)
 
+    # NULL must sort first and stay apart from "not hot", so the chunk is a pair.
+    pair = F.struct(chunk.isNotNull().alias("known"), chunk.alias("at"))
     inputs = {f"__v{i}": src for i, src in enumerate(lags.values())}
     rows = df.withColumns({v: F.col(src) for v, src in inputs.items()})
     if hot_rows <= 0:
-        rows = rows.withColumn("__chunk", chunk)
+        rows = rows.withColumns({"__hot": F.lit(True), "__chunk": pair})
     else:
-        # At most total/hot_rows keys survive this filter, so the hint has a proven bound.
+        # Few keys as a rule, but their number grows with the rows: Spark decides by measured size how to join.
         hot = (
             df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
             .filter(F.col("__rows") > hot_rows)
             .select(*[F.col(k).alias(f"__h{k}") for k in keys], F.lit(True).alias("__hot"))
         )
         rows = (
-            rows.join(F.broadcast(hot), _null_safe(rows, hot, keys, "__h"), "left")
-            .withColumn("__chunk", F.when(F.col("__hot"), chunk))
-            .drop(*[f"__h{k}" for k in keys], "__hot")
+            rows.join(hot, _null_safe(rows, hot, keys, "__h"), "left")
+            .withColumns({"__hot": F.coalesce("__hot", F.lit(False)), "__chunk": F.when(F.col("__hot"), pair)})
+            .drop(*[f"__h{k}" for k in keys])
         )
 
     # One row per hot key and chunk: how many rows, and the values of the last one.
     last = F.max_by(F.struct(*[F.col(v) for v in inputs], F.lit(1).alias("__one")), F.struct(*order))
     summary = (
-        rows.filter(F.col("__chunk").isNotNull())
+        rows.filter("__hot")
         .groupBy(*keys, "__chunk")
         .agg(F.count(F.lit(1)).alias("__n"), last.alias("__last"))
     )

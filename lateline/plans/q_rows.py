@@ -11,7 +11,7 @@ from ..functions import timeparts as P
 from ..operators import rows as R
 from ..operators.aggregates import keyed_json, standard_score
 from ..operators.quantiles import medians
-from ..schema import COLUMN_SETS, SERVING_DEFAULTS
+from ..schema import SERVING_DEFAULTS
 from ..sources.actuals import null_cells
 from ..sources.tables import merge_tables, with_column_once
 from ..sources.weather import hourly_rows, station_time, stations_from_json
@@ -273,7 +273,7 @@ def _(spark, d):
 SELECT arr AS prev_stop_delay, price AS dist_to_prev_stop FROM o""")
 def _(spark, d):
     o = observations(spark, d).selectExpr("arr as prev_stop_delay", "price as dist_to_prev_stop", "trip_id")
-    return R.keep_columns(o, COLUMN_SETS["trip"])
+    return R.keep_columns(o, ["prev_stop_delay", "dist_to_prev_stop"])
 
 
 @query("p19_numeric_matrix", f"""WITH o AS ({OBS_SQL})

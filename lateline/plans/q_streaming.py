@@ -15,7 +15,9 @@ from .registry import query, table
 
 def scratch(spark) -> str:
     """A new folder below the shared checkpoint folder of the session."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/lateline"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if root is None:
+        raise ValueError("spark.checkpoint.dir names no shared folder")
     return f"{root}/{uuid.uuid4().hex}"
 
 

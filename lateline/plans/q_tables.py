@@ -231,7 +231,7 @@ def _(spark, d):
 
 @query("a09_median_global", "SELECT round(median(l_quantity), 6) AS l_quantity, round(median(l_extendedprice), 6) AS l_extendedprice FROM lineitem")
 def _(spark, d):
-    m = Q.medians(table(spark, d, "lineitem"), [], ["l_quantity", "l_extendedprice"], small_group=100)
+    m = Q.medians(table(spark, d, "lineitem"), [], ["l_quantity", "l_extendedprice"])
     return m.select(*[_r(F.col(c)).alias(c) for c in m.columns])
 
 
@@ -247,7 +247,7 @@ def _(spark, d):
 
 @query("a10_quantile_edges", "SELECT " + ", ".join(f"round(quantile_cont(o_totalprice, {i / 10}), 4) AS e{i}" for i in range(11)) + " FROM orders")
 def _(spark, d):
-    q = Q.exact_quantiles(table(spark, d, "orders"), [], "o_totalprice", [i / 10 for i in range(11)], [f"e{i}" for i in range(11)], small_group=100)
+    q = Q.exact_quantiles(table(spark, d, "orders"), [], "o_totalprice", [i / 10 for i in range(11)], [f"e{i}" for i in range(11)])
     return q.select(*[_r(F.col(c), 4).alias(c) for c in q.columns])
 
 

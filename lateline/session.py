@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 # Only settings that change plans. Executor sizing belongs to the cluster.
@@ -27,13 +29,15 @@ def build_session(app: str = "lateline", master: str | None = None, **conf: str)
 def checkpoint(df, fallback_dir: str | None = None):
     """Cut lineage through the reliable checkpoint folder the cluster names.
 
-    A folder is only set here when the session names none (tests, notebooks), because a
-    machine-local folder does not survive the loss of an executor.
+    A folder is only set here when the session names none. Without one only a local master may use a folder of its own,
+    because a machine-local folder does not survive the loss of an executor; a cluster must name one.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or fallback_dir
         if named is None:
-            return df
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir names no shared folder")
+            named = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(named)
     return df.checkpoint(eager=True)

@@ -27,21 +27,42 @@ def null_cells(df: DataFrame) -> DataFrame:
     })
 
 
+def csv_layouts(spark: SparkSession, path) -> list[tuple[list[str], list[str]]]:
+    """(header line's cells, files that have it): a CSV scan binds cells by position, so each layout needs its own.
+
+    One pass finds the first line of every file; the driver, which lists the files anyway, receives one line per file.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value",
+        F.monotonically_increasing_id().alias("at"))
+    heads = lines.filter("start = 0").groupBy("file").agg(F.min_by("value", "at").alias("head")).collect()
+    found: dict[str, list[str]] = {}
+    for r in sorted(heads, key=lambda r: r["file"]):
+        found.setdefault(r["head"].lstrip("\ufeff").rstrip("\r"), []).append(r["file"])
+    return [([c.strip().strip('"') for c in head.split(";")], files) for head, files in found.items()]
+
+
+def by_layout(spark: SparkSession, path) -> list[DataFrame]:
+    """A lazy all-string scan per header layout; cells that a row lacks are NULL."""
+    options = dict(sep=";", header=True, mode="PERMISSIVE", enforceSchema=True)
+    return [spark.read.schema(raw_schema(names)).options(**options).csv(files) for names, files in csv_layouts(spark, path)]
+
+
 def read_actuals(spark: SparkSession, path, headers: list[str] | None = None) -> DataFrame:
     """Splittable scan, every cell a string, headers translated, short rows padded with NULL.
 
-    ``headers`` gives the header of the files where it differs from the published one; the
-    declared order is not relied on, because the header line is matched by name.
+    Columns are matched by name: files are scanned per header layout and united. ``headers`` states the one header that
+    all files have and saves the pass that looks for it.
     """
-    if headers is None:
-        # One header line, not the data: the scan itself stays lazy and typed.
-        headers = spark.read.options(sep=";", header=True).csv(path).columns
-    raw = (
-        spark.read.schema(raw_schema(headers))
-        .options(sep=";", header=True, mode="PERMISSIVE", enforceSchema=True)
-        .csv(path)
-    )
-    return null_cells(rename_known(raw, RAW_HEADERS))
+    if headers is not None:
+        parts = [spark.read.schema(raw_schema(headers)).options(sep=";", header=True, mode="PERMISSIVE", enforceSchema=True).csv(path)]
+    else:
+        parts = by_layout(spark, path)
+    named = [rename_known(p, RAW_HEADERS) for p in parts]
+    out = named[0]
+    for p in named[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return null_cells(out)
 
 
 _MEMBERS = T.StructType([

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import col
 from ..functions.conditions import kmh_to_ms, sunshine_fraction
 from ..schema import HOURLY_NAMES, STATION_CODES, WEATHER
+from .actuals import by_layout
 
 _FEATURES = """struct<features: array<struct<
   id: string, geometry: struct<coordinates: array<double>>,
@@ -75,8 +76,18 @@ def station_time(text) -> Column:
 
 
 def read_station_csv(spark: SparkSession, path: str, year: int | None = None) -> DataFrame:
-    """Station files to hourly rows; unknown codes are dropped, absent ones become NULL columns."""
-    raw = spark.read.options(sep=";", header=True).csv(path)
+    """Station files to hourly rows; unknown codes are dropped, absent ones become NULL columns.
+
+    Files are read per header layout, so cells follow their own file's header, and so does the choice of the time column.
+    """
+    parts = [_station_rows(raw) for raw in by_layout(spark, path)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out if year is None else out.filter(F.year("timestamp") == year)
+
+
+def _station_rows(raw: DataFrame) -> DataFrame:
     raw = raw.toDF(*[c.strip().lower() for c in raw.columns])
     known = [c for c in raw.columns if c in TIME_HEADERS]
     if known:
@@ -91,9 +102,8 @@ def read_station_csv(spark: SparkSession, path: str, year: int | None = None) ->
     clean = raw.withColumns({c: F.when(~F.col(c).isin(*MISSING), F.col(c)) for c in raw.columns})
     station = F.col(raw.columns[0]) if raw.columns[0] in ("stn", "station", "station_id") else F.regexp_extract(
         F.input_file_name(), r"([^/]+)\.csv$", 1)
-    out = clean.select(
+    return clean.select(
         station.alias("station_id"), station_time(F.col(time)).alias("timestamp"),
         *[(F.col(code).try_cast("float") if code in clean.columns else F.lit(None).cast("float")).alias(name)
           for code, name in STATION_CODES.items()],
     )
-    return out if year is None else out.filter(F.year("timestamp") == year)

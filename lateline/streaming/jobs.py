@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,10 +15,15 @@ from ..operators.windows import with_previous
 from ..schema import RAW_HEADERS, raw_schema
 from ..sources.actuals import null_cells
 
+
 def new_actuals(spark: SparkSession, path: str, headers: list[str] | None = None, files: int = 100) -> DataFrame:
-    """Stream of daily files that have not been read before."""
+    """Stream of daily files that have not been read before, all with the stated header.
+
+    A stream cannot look at files that are yet to come: one whose header differs fails the batch instead of putting its
+    cells into other columns. Read it with a stream of its own.
+    """
     raw = (
-        spark.readStream.schema(raw_schema(headers)).options(sep=";", header=True, mode="PERMISSIVE")
+        spark.readStream.schema(raw_schema(headers)).options(sep=";", header=True, mode="PERMISSIVE", enforceSchema=False)
         .option("maxFilesPerTrigger", files).csv(path)
     )
     return null_cells(rename_known(raw, RAW_HEADERS))
@@ -64,18 +70,26 @@ def previous_value_job(
     previous value, because the row that follows it has been written already. ``expire`` is a
     condition on the keys that drops finished ones (for example days that have passed).
 
-    Output and state of a batch go to folders named after it: a replayed batch overwrites itself
-    and reads the state of the batch before, so every row is written exactly once.
+    The output of a batch goes to a folder named after it and its state to one of two slots in turn: a
+    replayed batch overwrites itself and reads the state of the batch before, so every row is written
+    exactly once and no older state is left behind.
     """
     first = order[0]
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        batch = batch.persist(StorageLevel.DISK_ONLY)  # read for the output and again for the state
+        try:
+            advance(spark, batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def advance(spark: SparkSession, batch: DataFrame, batch_id: int) -> None:
         shape = T.StructType([f for f in batch.schema.fields if f.name in {*keys, first, value}])
         if batch_id == 0:
             seen = spark.createDataFrame([], shape)
         else:
-            seen = spark.read.schema(shape).parquet(f"{state}/batch={batch_id - 1}")
+            seen = spark.read.schema(shape).parquet(f"{state}/slot={(batch_id - 1) % 2}")
         newest = seen.select(*[F.col(k).alias(f"__k{k}") for k in keys], F.col(first).alias("__newest"))
         same = F.lit(True)
         for k in keys:
@@ -96,7 +110,7 @@ def previous_value_job(
         last = last.select(*keys, "r.*")
         if expire is not None:
             last = last.filter(~expire)
-        last.select(*shape.names).write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
+        last.select(*shape.names).write.mode("overwrite").parquet(f"{state}/slot={batch_id % 2}")
 
     return (
         stream.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)

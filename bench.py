@@ -27,6 +27,9 @@ HEADLINE = [
     "x01_sample_exact", "x02_sample_stratified", "x04_train_test_exact", "x07_stratified_folds",
     # stages and models
     "e06_first_appearance_codes", "e07_historical_mean", "e16_fit_on_train_only", "m01_ridge_one_feature", "m10_log_target",
+    "m02_boosted_stump", "m05_single_split_classes", "m08_stacked_ridges",
+    # files and increments
+    "s01_mixed_headers", "r03_incremental_lag",
 ]
 
 

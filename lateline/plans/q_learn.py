@@ -14,6 +14,7 @@ from ..learn import features as E
 from ..learn import models as M
 from ..operators import metrics as K
 from ..operators.windows import with_previous
+from ..session import checkpoint
 from .registry import query, table
 
 BINS = [5.0, 20.0, 60.0]
@@ -226,7 +227,8 @@ FEATURES = ["hour", "dow", "pos", "prev", "user"]
 
 def _split(spark, d):
     from ..operators.sampling import train_test
-    rows = X.vectors(FEATURES).transform(_rows(spark, d)).cache()
+    # Read once per fit and fold; the written rows need no release.
+    rows = checkpoint(X.vectors(FEATURES).transform(_rows(spark, d)))
     return train_test(rows, 42, KEY, 0.2, exact=False)
 
 

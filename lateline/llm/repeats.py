@@ -61,7 +61,24 @@ def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return v[first], np.diff(np.append(first, len(v))) > 1
 
 
-def _packed(group: int, values: np.ndarray, blocks: np.ndarray, ranges: int) -> pd.DataFrame:
+def _short(values: np.ndarray) -> np.ndarray:
+    """The upper 48 bits. Anchors only point to windows that are compared afterwards, so they travel without the rest."""
+    return values & ~np.uint64(0xFFFF)
+
+
+def _bytes(values: np.ndarray, short: bool) -> bytes:
+    return values.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes() if short else values.tobytes()
+
+
+def _numbers(raw: bytes, short: bool) -> np.ndarray:
+    if not short:
+        return np.frombuffer(raw, np.uint64)
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(np.uint64).ravel()
+
+
+def _packed(group: int, values: np.ndarray, blocks: np.ndarray, ranges: int, short: bool) -> pd.DataFrame:
     """A row per range of hashes: distinct values in order, and two flags each (repeats here, starts a block) as bits."""
     v, many = _distinct(values)
     part = (v >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
@@ -69,7 +86,7 @@ def _packed(group: int, values: np.ndarray, blocks: np.ndarray, ranges: int) ->
     spans = list(zip(edge[:-1], edge[1:], strict=True))
     mark = _member(v, np.sort(blocks))
     return pd.DataFrame({"part": part[edge[:-1]].astype(np.int64), "grp": np.full(len(spans), group, np.int64),
-                         "v": [v[f:t].tobytes() for f, t in spans], "many": [np.packbits(many[f:t]).tobytes() for f, t in spans],
+                         "v": [_bytes(v[f:t], short) for f, t in spans], "many": [np.packbits(many[f:t]).tobytes() for f, t in spans],
                          "mark": [np.packbits(mark[f:t]).tobytes() for f, t in spans]})
 
 
@@ -79,7 +96,7 @@ _PACKED = "part long, grp long, v binary, many binary, mark binary"
 def _repeated(anchored: bool):
     """Of a range of hashes: those that repeat (and, for anchors, start a block), for each group that has them."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        vs = [np.frombuffer(x, np.uint64) for x in pdf["v"]]
+        vs = [_numbers(x, anchored) for x in pdf["v"]]
 
         def flagged(name):
             return np.sort(np.concatenate([v[np.unpackbits(np.frombuffer(f, np.uint8), count=len(v)).view(bool)]
@@ -90,13 +107,13 @@ def _repeated(anchored: bool):
         if anchored:
             keep &= _member(v, flagged("mark"))
         kept = v[keep]
-        rows = [(g, x[_member(x, kept)].tobytes()) for g, x in zip(pdf["grp"], vs, strict=True)]
+        rows = [(g, _bytes(x[_member(x, kept)], anchored)) for g, x in zip(pdf["grp"], vs, strict=True)]
         return pd.DataFrame([r for r in rows if r[1]], columns=["grp", "v"])
     return run
 
 
-def _values(pdf: pd.DataFrame) -> np.ndarray:
-    return np.sort(np.concatenate([np.empty(0, np.uint64), *[np.frombuffer(x, np.uint64) for x in pdf["v"]]]))
+def _values(pdf: pd.DataFrame, short: bool) -> np.ndarray:
+    return np.sort(np.concatenate([np.empty(0, np.uint64), *[_numbers(x, short) for x in pdf["v"]]]))
 
 
 def _search(rows: DataFrame, window: int, ranges: int) -> DataFrame:
@@ -106,18 +123,19 @@ def _search(rows: DataFrame, window: int, ranges: int) -> DataFrame:
     def probe(key, pdf):
         _, at, run, place = _hashes(pdf["text"], block)
         start = at[np.searchsorted(at, place, "right") - 1]
-        return _packed(key[0], run, run[(place - start) % block == 0], ranges)
+        run = _short(run)
+        return _packed(key[0], run, run[(place - start) % block == 0], ranges, True)
 
     def extend(key, left, right):
         h, at, run, place = _hashes(left["text"], block)
         near = np.zeros(len(h) + 1, np.int64)
-        hit = place[_member(run, _values(right))]
+        hit = place[_member(_short(run), _values(right, True))]
         np.add.at(near, np.maximum(hit - (window - block), 0), 1)
         np.add.at(near, hit + 1, -1)
         near = np.cumsum(near)[:-1] > 0
         wide = np.flatnonzero(_within(at, len(h), window))
         wide = wide[near[wide]]
-        return _packed(key[0], run_hashes(h, window)[wide], np.empty(0, np.uint64), ranges)
+        return _packed(key[0], run_hashes(h, window)[wide], np.empty(0, np.uint64), ranges, False)
 
     anchors = (rows.groupBy("grp").applyInPandas(probe, _PACKED)
                .groupBy("part").applyInPandas(_repeated(True), "grp long, v binary"))
@@ -140,7 +158,7 @@ def without_repeats(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     found = _search(rows, window, int(ranges))
 
     def remove(key, left, right):
-        repeated = _values(right)
+        repeated = _values(right, False)
         h, at, run, place = _hashes(left["text"], window)
         edge = np.zeros(len(h) + 1, np.int64)
         hit = place[np.isin(run, repeated)]

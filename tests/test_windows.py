@@ -60,3 +60,13 @@ def test_filled_lag(spark):
     out = W.previous_value_filled(df, ["k"], ["t"], "v", "p", 7.5)
     assert sorted((r.k, r.t, r.p) for r in out.collect()) == [(1, 1, 7.5), (1, 2, 10.0), (2, 1, 7.5)]
     assert dict(out.dtypes)["p"] == "float"
+
+
+@pytest.mark.parametrize("hot_rows", [0, 50, 10**9])
+def test_null_order_is_the_first_chunk(spark, hot_rows):
+    df = skewed(spark, 2000).withColumn("t", F.when(F.col("t") % 4 != 0, F.col("t")))
+    kw = dict(lags={"pv": "v"}, index="pos")
+    plain = W.with_previous(df, ["k"], ["t", "id"], **kw)
+    cut = W.with_previous(df, ["k"], ["t", "id"], chunk=F.floor(F.col("t") / 7).cast("int"), hot_rows=hot_rows, **kw)
+    key = lambda d: sorted((tuple(r) for r in d.collect()), key=lambda r: r[0])
+    assert key(plain) == key(cut)

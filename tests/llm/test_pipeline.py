@@ -39,6 +39,7 @@ def test_stages(spark, sf, docs):
 
 
 def test_run(spark, sf):
+    sf = sf.replace("0.001", "0.01")         # the smallest tables have eleven toxic rows, too few to learn from
     got = corpus_pipeline.run(spark, sf)
     rows = got.collect()
     assert rows and {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(got.columns)

@@ -47,3 +47,15 @@ def test_run(spark, sf):
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     assert sum(labels.get(i) == 1 for i in left) <= 0.5 * sum(y == 1 for y in labels.values())
     assert len(left) >= 0.4 * spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
+def test_near_on_two_words_is_not_near_on_five(spark, sf):
+    first = [f"w{i}" for i in range(100)]
+    second = [f"x{i}" if i % 20 == 10 else w for i, w in enumerate(first)]      # two words: 89 of 109; five words: 71 of 121
+    third = first[:-1] + ["end"]                                                # near on both
+    rows = [(1, " ".join(first)), (2, " ".join(second)), (3, " ".join(third))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    from lateline.llm import minhash
+
+    assert {r["doc_id"] for r in minhash.near_duplicates(df).where("kept").collect()} == {1}
+    assert {r["doc_id"] for r in corpus_pipeline.one_of_each(spark, df, sf).collect()} == {1, 2}

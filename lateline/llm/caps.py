@@ -9,13 +9,17 @@ cosine in double precision decides.
 A vector in few caps takes its ``least`` best directions, and so do its neighbours, whose scores are alike. In 64
 dimensions a vector lies in about 30 caps and one at cosine 0.95 shares half of them. Equal vectors are merged first.
 
-Nulls and edge cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors
-of another length than the first usable one, too; a null id is reported with a null component and is not kept; rows that
-repeat an id are separate vectors of one id; other columns are ignored. An empty table gives an empty result.
+Vectors of different lengths are never compared; each length that occurs has its own directions.
+
+Nulls and edge cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing; a null
+id is reported with a null component and is not kept; rows that repeat an id are separate vectors of one id; other
+columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -80,19 +84,19 @@ def decode(x: np.ndarray, y: np.ndarray, need: float, least: int) -> np.ndarray:
 def links(vectors: DataFrame, *, id: str = "vec_id", embedding: str = "embedding", cosine: float = 0.95,
           codes: int | None = None, alpha: float | None = None, least: int = LEAST, seed: int = 7) -> DataFrame:
     """Rows (id, n_links, component_id, kept), one per row of ``vectors``. Unless given, the number of directions and the
-    cap follow from the dimension alone (see ``fitted``)."""
+    cap follow from the dimension alone (see ``fitted``), for each length that a worker meets."""
     own = vectors.select(F.col(id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("e"))
-    first = own.where("size(e) > 0").select(F.size("e").alias("n")).first()
-    dim = first["n"] if first else 1
-    if codes is None or alpha is None:
-        codes, alpha = fitted(dim, seed)
+
+    def directions(dim):
+        n, cap = (codes, alpha) if codes is not None and alpha is not None else fitted(dim, seed)
+        return _codes(dim, n, seed), cap
 
     def unit(batches):
         for b in batches:
             out = []
             for e in b["e"]:
                 v = None if e is None else np.asarray(e, np.float64)
-                if v is None or len(v) != dim or not np.isfinite(v).all() or not v.any():
+                if v is None or not len(v) or not np.isfinite(v).all() or not v.any():
                     out.append(None)
                     continue
                 v = v / np.abs(v).max()                   # no overflow of the squares
@@ -100,18 +104,22 @@ def links(vectors: DataFrame, *, id: str = "vec_id", embedding: str = "embedding
             yield pd.DataFrame({"id": b["id"], "v": out})
 
     rows = written(own.mapInPandas(unit, "id long, v binary"), "units")
-    # A class is one vector with the ids that carry it; ids number the classes.
+    # A class is one vector, its length included, with the ids that carry it; ids number the classes.
     classes = written(rows.where("v is not null").groupBy("v").agg(F.min("id").alias("cid"), F.count("*").alias("n"))
                       .where("cid is not null").withColumn("rep", F.xxhash64("v")), "classes")
 
     def filters(batches):
-        code = _codes(dim, codes, seed)
+        of = lru_cache(8)(directions)
         for b in batches:
-            v = np.frombuffer(b"".join(b["v"]), np.float64).reshape(-1, dim)
-            xs, ys = _scores(v, code)
-            found = [decode(x, y, alpha, least) for x, y in zip(xs, ys, strict=True)]
-            size = [len(f) for f in found]
-            yield pd.DataFrame({"rep": np.repeat(b["rep"].to_numpy(), size), "f": np.concatenate([np.empty(0, np.int64), *found])})
+            for n, own in b.groupby(b["v"].map(len)):
+                dim = int(n) // 8
+                code, cap = of(dim)
+                v = np.frombuffer(b"".join(own["v"]), np.float64).reshape(-1, dim)
+                xs, ys = _scores(v, code)
+                found = [decode(x, y, cap, least) for x, y in zip(xs, ys, strict=True)]
+                size = [len(f) for f in found]
+                f = np.concatenate([np.empty(0, np.int64), *found]) + (dim << 40)      # caps of one length only
+                yield pd.DataFrame({"rep": np.repeat(own["rep"].to_numpy(), size), "f": f})
 
     caps = written(classes.select("rep", "v").mapInPandas(filters, "rep long, f long"), "caps")
     pairs = (caps.alias("x").join(caps.alias("y"), "f").where("x.rep < y.rep")
@@ -119,8 +127,9 @@ def links(vectors: DataFrame, *, id: str = "vec_id", embedding: str = "embedding
 
     def verify(batches):
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b[c]), np.float64).reshape(-1, dim) for c in ("va", "vb"))
-            yield b[["a", "b"]][np.einsum("ij,ij->i", x, y) >= cosine]
+            for n, own in b.groupby(b["va"].map(len)):
+                x, y = (np.frombuffer(b"".join(own[c]), np.float64).reshape(-1, int(n) // 8) for c in ("va", "vb"))
+                yield own[["a", "b"]][np.einsum("ij,ij->i", x, y) >= cosine]
 
     unit_of = classes.select("rep", "v")
     near = written(pairs.join(unit_of.toDF("a", "va"), "a").join(unit_of.toDF("b", "vb"), "b")

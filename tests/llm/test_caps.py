@@ -65,3 +65,14 @@ def test_empty_and_unusable(spark):
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in caps.links(df).collect()}
     assert got == {1: (0, 1, True), 2: (0, 2, True), None: (0, None, False)}
     assert caps.links(df.limit(0)).collect() == []
+
+
+def test_two_lengths_and_an_odd_first_row(spark):
+    rng = np.random.default_rng(4)
+    rows = [(0, [0.0] * 5), (1, [1.0, 2.0, 3.0]), (2, []), (3, [1.0, 0.0]), (4, [1.0, 0.0, 0.0])]
+    for c in range(12):
+        for dim in (64, 24):
+            base = rng.standard_normal(dim)
+            rows += [(100 * c + dim + k, (base + 0.05 * k * rng.standard_normal(dim)).tolist()) for k in range(3)]
+    got = told(caps.links(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)))
+    assert got == brute(rows) and sum(r[1] for r in got) >= 100

@@ -1,9 +1,11 @@
 """Toxicity with noisy-channel deobfuscation.
 
 Obfuscated spellings (digits and signs for letters, letters set apart, letters repeated) are channel noise over ordinary
-letters. Each suspicious token becomes a lattice of the letters its characters may stand for; a Viterbi search with a
-trigram character model, counted over all documents, restores the likeliest spelling. The score is taken from the plain
-and the restored words.
+letters. Each token with a choice (a sign or digit that may be a letter or a gap, a letter twice) becomes a lattice of the
+letters its characters may stand for; a Viterbi search with a trigram character model, counted over all documents, restores
+the likeliest spelling. Only what has neither a letter nor a sign for one, such as a number, is not read as a word. Letters set
+apart by white space are restored together, at wider gaps apart, and searched for lexicon words. The score is taken from the
+plain and the restored words.
 
 The lexicon is learnt: for every word and word beginning, how many toxic and other documents of a bounded labelled sample
 hold it; entries with enough support and a high rate ratio are kept. A logistic function of the summed and the strongest
@@ -30,7 +32,7 @@ ENTRIES = 20_000          # lexicon entries, the strongest
 SUPPORT = 4               # toxic documents that must hold an entry
 RATIO = 3.0               # least log ratio of the rates
 STEMS = (4, 5, 6)         # lengths of word beginnings
-LONGEST = 48              # characters of a token that is taken for an obfuscated word
+WITHIN = 4                # letters of a lexicon word that is looked for within letters set apart
 
 # Letters that a sign stands for.
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "tl", "8": "b", "9": "g", "@": "a", "$": "s",
@@ -38,10 +40,13 @@ SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 GAPS = set(".-_*'’·~^/\\,")
 _EDGE = ".,;:!?\"'()[]{}<>«»“”„…#$%&*+-/=@\\^_`|~"        # around a plain word
 _FRAME = ".,;:?\"')[]{}>«»“”„…#%&*=~^`"                   # around a disguised one, where other signs may be letters
-_TRIPLE = re.compile(r"([^\W\d_])\1\1")
-_RUN = re.compile(r"([^\w\s])\1+")
-_SUSPECT = re.compile(r"[^\W\d_][\d@$!|+€£(<]|[\d@$|+€£<][^\W\d_]|([^\W\d_])\1\1|[^\W\d_][.\-_*'’·~^/\\,]+[^\W\d_]")
-_APART = re.compile(r"(?<!\S)(?:[^\s.,;] ){3,24}[^\s](?!\S)")
+_CHOICE = re.compile(r"[0-9@$!|+€£(<¡ß*.\-_'’·~^/\\,]|([a-z])\1")
+_LETTERS = re.compile(r"[^\W\d_]|[@$!|+€£(<¡]")
+# Longer repeats only add a constant to all paths: gaps always stand for nothing, and more than 40 masked letters cost more
+# than the characters beside them can gain.
+_REPEAT = re.compile(r"([.\-_'’·~^/\\,])\1+|([^*])\2{3,}|(\*)\3{40,}")
+_APART = re.compile(r"(?<!\S)(?:[^\s.,;]\s+){3,}[^\s](?!\S)")
+_GAP = re.compile(r"\s+")
 
 _PLACE = np.zeros(256, np.int64)                      # 0: other, 1 to 26: letters
 for _c in range(26):
@@ -98,47 +103,85 @@ def _lattice(token: str) -> list[list[tuple[str, float]]]:
     return out
 
 
-def restore(token: str, model: np.ndarray) -> str:
+def _collapsed(token: str) -> str:
+    return _REPEAT.sub(lambda m: m[1] or (m[2] or "") * 3 or m[3] * 40, token)
+
+
+def restore(token: str, model: list | np.ndarray) -> str:
     """The likeliest letters behind a token. States are the last two letters; other letters count as a break."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}      # with the letters so far, last first
     for options in _lattice(token):
-        new: dict[tuple[int, int], tuple[float, str]] = {}
+        new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (i, j), (p, s) in states.items():
             for letters, cost in options:
                 q, a, b = p - cost, i, j
                 for x in letters:
                     k = ord(x) - 96 if "a" <= x <= "z" else 0
-                    q, a, b = q + (model[a, b, k] if k else -3.0), b, k
+                    q, a, b = q + (model[a][b][k] if k else -3.0), b, k
                 if (a, b) not in new or q > new[a, b][0]:
-                    new[a, b] = (q, s + letters)
+                    new[a, b] = (q, (s, letters) if letters else s)
         states = new
-    return max((p + model[i, j, 0], s) for (i, j), (p, s) in states.items())[1]
+    (_, _), (_, s) = max(states.items(), key=lambda x: x[1][0] + model[x[0][0]][x[0][1]][0])
+    out = []
+    while s is not None:
+        s, letters = s
+        out.append(letters)
+    return "".join(reversed(out))
 
 
 class Reader:
     """Words of a text, plain and restored."""
 
     def __init__(self, model: np.ndarray):
-        self.restored = lru_cache(200_000)(lambda token: restore(token, model))
-
-    def words(self, text: str | None) -> set[str]:
+        model = model.tolist()
+        self.restored = lambda token: restore(token, model)
+        self.read = lru_cache(200_000)(self._read)
+
+    def _read(self, w: str) -> tuple[str, ...]:
+        """What a token may be: itself, restored, and restored without the signs at its ends that close a sentence."""
+        out = {w if w.isalpha() else w.strip(_EDGE)}
+        if not _CHOICE.search(w) or not _LETTERS.search(w):
+            return tuple(out)
+        bare = _collapsed(w).strip(_FRAME)
+        for x in {bare, bare.rstrip("!" + _FRAME), bare.rstrip("!" + _FRAME).lstrip("(<¡" + _FRAME)}:
+            if _CHOICE.search(x):
+                out.add(self.restored(x))
+        return tuple(out)
+
+    def apart(self, text: str | None) -> list[str]:
+        """Letters set apart, restored: each run as a whole, and what wider gaps part it into."""
+        out = []
+        for m in _APART.findall(text.lower() if text else ""):
+            if not _LETTERS.search(m):
+                continue
+            gaps = _GAP.findall(m)
+            least = min(map(len, gaps))
+            parts, at = [""], iter([*gaps, ""])
+            for c in _GAP.split(m):
+                parts[-1] += c
+                if len(next(at)) > least:
+                    parts.append("")
+            out.append("".join(parts))
+            if len(parts) > 1:
+                out += parts
+        return [self.restored(_collapsed(x)) for x in out]
+
+    def told(self, text: str | None) -> tuple[set[str], list[str]]:
+        """All words, and those of letters set apart once more."""
         if not text:
-            return set()
-        tokens = set(text.lower().split())
-        triple = _TRIPLE.search(text.lower()) is not None
+            return set(), []
         out = set()
-        for w in tokens:
-            plain = w if w.isalpha() else w.strip(_EDGE)
-            out.add(plain)
-            if len(w) > LONGEST or w.isalpha() and not triple:
-                continue
-            bare = _RUN.sub("", w).strip(_FRAME)
-            if (triple or not bare.isalpha()) and _SUSPECT.search(bare):
-                out.add(self.restored(bare))
-        for m in _APART.findall(text.lower()):
-            out.add(self.restored(m))
+        tokens = set(text.lower().split())
+        for read in map(self.read, tokens):
+            out.update(read)
+        # Fewer tokens of one character than two make no word of letters set apart.
+        apart = self.apart(text) if sum(len(w) == 1 for w in tokens) > 1 else []
+        out.update(apart)
         out.discard("")
-        return out
+        return out, apart
+
+    def words(self, text: str | None) -> set[str]:
+        return self.told(text)[0]
 
     def entries(self, text: str | None) -> set[str]:
         words = self.words(text)
@@ -151,15 +194,36 @@ class Reader:
 class Scorer:
     def __init__(self, model: np.ndarray, weights: dict[str, float], line: tuple[float, float, float]):
         self.model, self.weights, self.line = model, weights, line
+        self.longest = max(map(len, weights), default=0)
+
+    def within(self, run: str) -> list[float]:
+        """Weights of the lexicon words in restored letters, apart from each other, that add up to most."""
+        best: list[tuple[float, tuple | None]] = [(0.0, None)]
+        for end in range(1, len(run) + 1):
+            top = best[-1]
+            for n in range(WITHIN, min(self.longest, end) + 1):
+                x = self.weights.get(run[end - n:end])
+                if x is not None and best[end - n][0] + x > top[0]:
+                    top = (best[end - n][0] + x, (best[end - n][1], x))
+            best.append(top)
+        found, out = best[-1][1], []
+        while found is not None:
+            found, x = found
+            out.append(x)
+        return out
 
     def facts(self, reader: Reader, text: str | None) -> tuple[float, float]:
         """Summed weights, of which a word gives its strongest entry only, and the strongest."""
         best: list[float] = []
         w = self.weights
-        for word in reader.words(text):
+        words, apart = reader.told(text)
+        for word in words:
             here = [w[k] for k in (word, *(f"{word[:n]}*" for n in STEMS)) if k in w]
             if here:
                 best.append(max(here))
+        for run in apart:
+            if run not in w:
+                best += self.within(run)
         return (sum(best), max(best)) if best else (0.0, 0.0)
 
 

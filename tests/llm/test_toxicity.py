@@ -52,3 +52,25 @@ def test_registered_query_on_held_out_rows(spark, sf):
     both = got[got.held_out].merge(true, on="doc_id")
     assert len(got) == 10000 and (both.predicted == both.toxic).mean() > 0.96
     assert both.predicted[both.toxic == 0].mean() < 0.01
+
+
+def test_obfuscations_reach_the_search():
+    import numpy as np
+
+    n = np.zeros((27, 27, 27))
+    for w in [*CLEAN, "idiot", "stupid", "asshole", "pussy", "idiot"] * 50:
+        x = [0, 0, *(ord(c) - 96 for c in w), 0]
+        for a, b, c in zip(x, x[1:], x[2:], strict=False):
+            n[a, b, c] += 1
+    two = n.sum(0) + 0.5
+    two /= two.sum(1, keepdims=True)
+    model = np.log((n + 5 * two[None]) / (n.sum(2, keepdims=True) + 5))
+    reader = toxicity.Reader(model)
+    for text, word in [("a$$hole", "asshole"), ("pu$$y", "pussy"), ("i--d--i--o--t", "idiot"), ("i..d..i..o..t", "idiot"), ("st" + "u" * 50 + "pid", "stupid"),
+                       ("idiiot", "idiot"), ("iddiot", "idiot"), ("!diot", "idiot"), ("!d!ot!!", "idiot"), ("1d10t.", "idiot"), ("s  t  u  p  i  d", "stupid"),
+                       ("s\tt\tu\tp\ti\td", "stupid"), ("y o u  i d i o t", "idiot"), ("(idiot)", "idiot")]:
+        assert word in reader.words(text), (text, reader.words(text))
+    assert any(w[0] == "f" and w[-1] == "k" for w in reader.words("f**k") - {"f**k"})
+    scorer = toxicity.Scorer(model, {"stupid": 4.0, "idiot": 5.0}, (0.0, 0.0, 0.0))
+    assert scorer.facts(reader, "s t u p i d i d i o t") == (9.0, 5.0)
+    assert scorer.facts(reader, "12 3 4 5 6 walk along the river") == (0.0, 0.0)

@@ -78,3 +78,18 @@ def test_long_text_ties_extra_columns_and_empty_table(spark):
     assert n == sum(w != "word" for w in text.split()) and out.count("word") == text.count("word") and len(set(out.split())) == 3
     df = spark.createDataFrame([], "doc_id long, text string")
     assert pii.pseudonymise(df, key="k").collect() == [] and pii.pseudonymise(df, key="k").columns == ["doc_id", "text"]
+
+
+def test_whole_international_numbers_and_timestamps(spark):
+    numbers = ["+33 6 12 34 56 78", "+33 (0)6 12 34 56 78", "+49 (0) 30 1234 56-78", "+33.6.12.34.56.78", "+4915112345678", "+352 27 12 34 56 7"]
+    got = run(spark, [f"call {n}, or not" for n in numbers])
+    for old, (text, n) in zip(numbers, got, strict=True):
+        new = text[5:-8]
+        assert n == 1 and re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", old)
+        assert " " not in old or new[:3] == old[:3]
+        assert not new.endswith(old[-8:]) and not old[3:] == new[3:]
+    (a, n), (b, m) = run(spark, ["at 2024-05-06T10:00 it", "at 2024-05-06 it"])
+    assert n == m == 1 and a != "at 2024-05-06T10:00 it" and a[13:] == "T10:00 it" and a[:13] == b[:13]
+    for other in ("1984-02-29", "192.168.1.7", "123-45-6789", "4111 1111 1111 1111", "+33 6 12 34 56 79"):
+        (text, n), = run(spark, [f"+33 6 12 34 56 78 {other}"])
+        assert n == 2 and "12 34" not in text and other not in text

@@ -57,7 +57,7 @@ def pseudonymised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their places in sequences of 1024 ids."""
     importable(spark)
-    return packing.packed(docs, vocabulary("byte_bpe_50k.json"))
+    return packing.packed(docs, vocabulary("byte_bpe_50k.json"), special=True)
 
 
 STAGES = [

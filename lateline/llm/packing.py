@@ -101,12 +101,12 @@ def slots(kinds: list[Kind]) -> list[tuple[int, int, int, int, int, int]]:
 
 
 def pieces(docs: DataFrame, path: str, *, id: str = "doc_id", text: str = "text", capacity: int = 1024, end: int = 2,
-           drops_white: bool = False, keep_ids: bool = False) -> DataFrame:
+           drops_white: bool = False, keep_ids: bool = False, special: bool = False) -> DataFrame:
     """Rows (id, piece, start, length, ids_crc32[, ids]): each document's ids, the end id last, cut where over capacity."""
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches):
-        enc = encoder(path, drops_white)
+        enc = encoder(path, drops_white, special)
         for b in batches:
             rows = []
             for i, raw in zip(b["id"], enc.encode(b["text"]), strict=True):
@@ -148,10 +148,10 @@ def pack(cut: DataFrame, *, capacity: int = 1024, bucket: int = BUCKET) -> DataF
 
 
 def packed(docs: DataFrame, path: str, *, id: str = "doc_id", text: str = "text", capacity: int = 1024, end: int = 2,
-           drops_white: bool = False, keep_ids: bool = False) -> DataFrame:
+           drops_white: bool = False, keep_ids: bool = False, special: bool = False) -> DataFrame:
     """Rows (id, piece, start, length, ids_crc32[, ids], sequence_id, offset)."""
     cut = written(pieces(docs, path, id=id, text=text, capacity=capacity, end=end, drops_white=drops_white,
-                         keep_ids=keep_ids), "pieces")
+                         keep_ids=keep_ids, special=special), "pieces")
     return pack(cut, capacity=capacity).withColumnRenamed("id", id)
 
 

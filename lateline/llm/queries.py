@@ -47,13 +47,13 @@ def op1(spark, sf_dir):
 
 @query("op2_best_fit_packing")
 def op2(spark, sf_dir):
-    return packing.packed(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+    return packing.packed(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), special=True)
 
 
 @query("op3_wavelet_tokens")
 def op3(spark, sf_dir):
     folder = f"{shared_folder(spark)}/wavelet-{uuid.uuid4().hex}"
-    made = written(wavelet.write(table(spark, sf_dir, "documents"), folder, vocabulary("word_bpe_49k.json")), "shards")
+    made = written(wavelet.write(table(spark, sf_dir, "documents"), folder, vocabulary("word_bpe_49k.json"), special=True), "shards")
     return wavelet.documents(spark, folder, made)
 
 

@@ -3,6 +3,9 @@
 Both vocabularies cut a text before they merge: no token crosses a single space between two other characters, nor a
 line break. So the ids of a text are the ids of its pieces in a row, and a worker keeps the ids of the pieces it has
 seen (in a table of two halves). Pieces with two white spaces together go to the library unsplit.
+
+Special tokens written in a text are one id each where ``special`` is set, as the library has it unless told otherwise; else
+they are read like other text. They hold no white space, so a piece that holds one goes to the library, too.
 """
 
 from __future__ import annotations
@@ -19,18 +22,18 @@ _PRINTS = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTS)}
 _DOUBLE = re.compile(r"\s\s")
 _LONE = re.compile(r"(?<=\S) (?=\S)")
-_ENCODERS: dict[tuple[str, bool], Encoder] = {}
+_ENCODERS: dict[tuple[str, bool, bool], Encoder] = {}
 
 
 class Encoder:
     """``drops_white`` says that the vocabulary gives white space no ids (and lower-cases)."""
 
-    def __init__(self, path: str, drops_white: bool):
+    def __init__(self, path: str, drops_white: bool, special: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")   # a task is one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
         self.drops_white = drops_white
         self.lead, self.rest = [{}, {}], [{}, {}]  # ids of a piece at a line's start; of one after a space
         self.model = self.tokenizer.model
@@ -115,8 +118,8 @@ class Encoder:
         return self.line.join([lead[x[0]] + b"".join(map(get, x[1:])) for x in lines])
 
 
-def encoder(path: str, drops_white: bool) -> Encoder:
+def encoder(path: str, drops_white: bool, special: bool = False) -> Encoder:
     """One encoder per worker process."""
-    if (path, drops_white) not in _ENCODERS:
-        _ENCODERS[path, drops_white] = Encoder(path, drops_white)
-    return _ENCODERS[path, drops_white]
+    if (path, drops_white, special) not in _ENCODERS:
+        _ENCODERS[path, drops_white, special] = Encoder(path, drops_white, special)
+    return _ENCODERS[path, drops_white, special]

@@ -161,12 +161,12 @@ def _put(folder: str, name: str, data: bytes) -> None:
 
 
 def write(docs: DataFrame, folder: str, path: str, *, id: str = "doc_id", text: str = "text", end: int = 2,
-          drops_white: bool = True, shard: int = SHARD) -> DataFrame:
+          drops_white: bool = True, shard: int = SHARD, special: bool = False) -> DataFrame:
     """Write the shards; rows (part, shard, file, n_tokens), lazily: the files exist once these rows are computed."""
     tail = np.array([end], "<u4").tobytes()
 
     def run(batches):
-        enc = encoder(path, drops_white)
+        enc = encoder(path, drops_white, special)
         names, raws, total, k, part = [], [], 0, 0, None
 
         def close():

@@ -100,3 +100,25 @@ def test_one_length_held_by_all(spark):
     df = spark.range(0, 500).selectExpr("id", "0 as piece", "0L as start", "3L as length", "id as ids_crc32")
     got = packing.pack(df, capacity=8, bucket=7).collect()
     assert len({r["sequence_id"] for r in got}) == 250 and len({(r["sequence_id"], r["offset"]) for r in got}) == 500
+
+
+def test_special_tokens_are_the_librarys():
+    rng = random.Random(6)
+    pool = ["<|endoftext|>", "<|startoftext|>", "a<|endoftext|>b", "<|endoftext|>,", "the", "word,", "", "\n", "\t", "é", "<|ENDOFTEXT|>", "x1"]
+    texts = ["<|endoftext|>", " <|endoftext|> ", "a  <|endoftext|>\n\nb"] + [s.join(rng.choice(pool) for _ in range(15)) for s in (" ", "\n", "  ") for _ in range(60)]
+    for name, drops, end in (("byte_bpe_50k.json", False, 50256), ("word_bpe_49k.json", True, 49407)):
+        library = Tokenizer.from_file(public_tokenizers.path(name))
+        want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert list(Encoder(public_tokenizers.path(name), drops, special=True).encode(texts)) == want
+        assert np.frombuffer(want[0], "<u4").tolist() == [end]
+
+
+def test_queries_and_pipeline_keep_special_tokens(spark, folder):
+    import corpus_pipeline
+    from lateline.llm.queries import QUERIES
+
+    df = spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string")
+    df.write.parquet(f"{folder}/documents.parquet")
+    assert [r["length"] for r in QUERIES["op2_best_fit_packing"](spark, folder).collect()] == [5]
+    assert [r["n_tokens"] for r in QUERIES["op3_wavelet_tokens"](spark, folder).collect()] == [4]
+    assert [r["length"] for r in corpus_pipeline.packed(spark, df, folder).collect()] == [5]

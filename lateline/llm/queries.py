@@ -8,7 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import caps, decontaminate, hosts, language, minhash, packing, pii, repeats, toxicity, wavelet
+from . import caps, decontaminate, gnat, hosts, language, manifest, minhash, packing, pii, polytope, repeats, toxicity, wavelet
+from .blocks import usable
 from .common import importable, shared_folder, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +100,26 @@ def op10(spark, sf_dir):
     codes = language.learn(docs.where(~held))
     told = language.identify(docs.select("doc_id", "text", F.coalesce(held, F.lit(False)).alias("held_out")), codes)
     return told.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+@query("op11_gnat_hard_negatives", gnat.SQL)
+def op11(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    e = F.col("embedding").cast("array<double>")
+    rows = rows.where(usable(e)).select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        F.transform(e, lambda x: F.floor(x * 256)).alias("vector"))
+    return gnat.hard_negatives(rows, rows.where("vec_id % 100 = 0").select("vec_id"))
+
+
+@query("op12_merkle_manifest", manifest.SQL)
+def op12(spark, sf_dir):
+    third = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return manifest.manifest(table(spark, sf_dir, "documents"), found={"text": F.when(third, lower).otherwise(F.col("text"))})
+
+
+@query("op13_cross_polytope_search")
+def op13(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return polytope.nearest(rows, rows.where("vec_id % 50 = 0"))

@@ -40,6 +40,7 @@ EXACT = 1 << 53           # sums up to here are exact in double
 SLACK = 1e-6              # relative error allowed to distances computed in double
 
 SEARCH = "s long, anchor_id long, other_id long, label long, v array<bigint>, low long, high long, node string"
+NAMES = [c.split()[0] for c in SEARCH.split(", ")]
 
 
 def inner(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -122,7 +123,7 @@ class Tree:
 
         sent = written(paired(points, rows, "node", "node", "c").applyInPandas(
             assign, "c long, label long, v array<bigint>, ids array<long>, parent string, i int, d array<double>"), "sent")
-        bounds = [f(F.col("d")[k]).alias(f"{name}{k}") for k in range(ways) for name, f in (("a", F.min), ("b", F.max))]
+        bounds = [f(F.get("d", F.lit(k))).alias(f"{name}{k}") for k in range(ways) for name, f in (("a", F.min), ("b", F.max))]
         ranges = (sent.groupBy("parent", "i").agg(F.count("*").alias("n"), *bounds)
                   .select(F.col("parent").alias("node"), "i", "n", F.array(*[f"a{k}" for k in range(ways)]).alias("least"),
                           F.array(*[f"b{k}" for k in range(ways)]).alias("most")))
@@ -140,7 +141,7 @@ class Tree:
 
         def eliminate(left, level):
             if not len(left) or not len(level):
-                return left
+                return left[NAMES]
             level = level.sort_values("i")
             v = matrix(left["v"]).astype(np.float64)
             top = tops[v.shape[1]]
@@ -150,13 +151,14 @@ class Tree:
             slack = SLACK * (1 + np.sqrt(square))[:, None]
             nearest = np.maximum(d - far[:, None], near[:, None] - d) - slack
             farthest = d + far[:, None] + slack
-            out = []
+            out = [left[NAMES].iloc[:0]]
             for i, n, least, most in zip(level["i"], level["n"], level["least"], level["most"], strict=True):
                 if not n > 0:
                     continue
                 least, most = (np.array(list(x)[:len(level)], np.float64) for x in (least, most))
                 open_ = ((least <= farthest) & (most >= nearest)).all(1)
-                out.append(left[open_].assign(node=left["node"] + f".{i}"))
+                went = left.loc[open_, NAMES]
+                out.append(went.assign(node=went["node"] + f".{i}"))
             return pd.concat(out)
 
         for level in self.levels:

@@ -9,6 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,8 @@ def shared_folder(spark: SparkSession) -> str:
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         named = tempfile.mkdtemp(prefix="spark-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
@@ -113,6 +116,19 @@ def text_hashes(texts, lower: bool) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(first, ends)
 
 
+def slices(lengths, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts that hold about ``size`` characters (a longer text is a run of its own), so that working
+    memory follows the size and not the batch."""
+    at = total = 0
+    for i, n in enumerate(lengths):
+        if total and total + n > size:
+            yield at, i
+            at, total = i, 0
+        total += n + 1
+    if at < len(lengths):
+        yield at, len(lengths)
+
+
 def run_hashes(h: np.ndarray, length: int) -> np.ndarray:
     """Hash of every run of ``length`` hashes that starts at a position; the caller drops runs over a text's end."""
     n = len(h)

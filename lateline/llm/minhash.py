@@ -1,19 +1,23 @@
 """Near duplicates by bottom-k sketches of one hash function.
 
-A document's set of word shingles is hashed once; its sketch is the k smallest hashes. Equal sets are merged first,
-so copies cost one row. Inverted lists then bring merged sets together: a list's key is a run of consecutive retained
-values (large sets) or a pair from the prefix that sets of that similarity must share (small sets, where no link can
-be missed). Within a list, sets meet the list's leader only, so a list of n sets gives n - 1 candidates; what is left
-between different components is compared in a second pass, where sets of a crowded list rely on their other lists as
-long as they have enough of them. A candidate stays if the sketch of the union suggests a
-similarity well below the threshold or more, and becomes a link if the full sets, taken from the texts, confirm it.
+A document's set of word shingles is hashed once; its sketch is the k smallest hashes. Equal sets are merged into
+numbered classes first, so copies cost one row. Inverted lists then bring classes together: a list's key is a run of
+consecutive retained values (large sets) or a pair from the prefix that sets of that similarity must share (small sets, where
+no link can be missed). Within a list, sets meet the list's leader only, so a list of n sets gives n - 1 candidates. A candidate
+stays if the sketch of the union suggests a similarity well below the threshold or more, and becomes a link if the full sets,
+taken from the texts, confirm it.
+
+Lists that still hold different components are opened: their sets meet by exact prefixes. Values are ordered by how few of
+these sets hold them; two similar sets share one of their first (1 - similarity) * size + 1 values, at places that leave room for
+enough shared values behind them. A passage in many otherwise different documents is frequent, so it comes last and brings
+nobody together, and no link is lost.
 
 With similarity s a run of three retained values survives somewhere in 64 values but for about 1e-10 of the pairs at
 s = 0.8 (the chance that 64 trials of 0.8 have no three successes in a row).
 
-Nulls and edge cases: a null or empty text has an empty set and links with nothing; a null ``id`` gets a null
-component and is not kept; rows that repeat an id with the same text are one document, each row is returned; columns
-besides the id and text are ignored. An empty table gives an empty result.
+Nulls and edge cases: a null or empty text has an empty set and links with nothing; a null ``id`` gets a null component, is
+not kept and links nothing; rows that repeat an id are a document each, with the same text or another; columns besides the id
+and text are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,33 +26,33 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, run_hashes, text_hashes, written
+from .common import components, run_hashes, text_hashes, slices, written
 
 K = 64            # retained values
 RUN = 3           # consecutive values that make a list's key
 SMALL = 64        # sets up to this size also use prefix pairs; runs serve sets from LARGE on
 LARGE = 48        # LARGE * 1.25 < SMALL, so two similar sets always have one kind of key in common
-CROWD = 50        # components in a list from which its sets rely on their other lists, if they have
-ENOUGH = 40       # other keys: 0.695 ** 40 = 5e-7 of partners at the threshold share none
 SLACK = 0.5       # estimates below this are dropped: 6 standard deviations under 0.8 at k = 64
 
 
 def shingle_sets(texts, words: int) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text; with fewer words the whole sequence is one shingle."""
-    h, at = text_hashes(texts, lower=True)
-    runs = run_hashes(h, words)
-    for i in range(len(at) - 1):
-        n = int(at[i + 1] - at[i])
-        if n >= words:
-            yield np.unique(runs[at[i]:at[i + 1] - words + 1])
-        elif n:
-            short = run_hashes(h[at[i]:at[i + 1]], n)
-            yield short ^ np.uint64(0x5851F42D4C957F2D + n)
-        else:
-            yield np.empty(0, np.uint64)
+    texts = list(texts)
+    for start, end in slices([len(t or "") for t in texts]):
+        h, at = text_hashes(texts[start:end], lower=True)
+        runs = run_hashes(h, words)
+        for i in range(len(at) - 1):
+            n = int(at[i + 1] - at[i])
+            if n >= words:
+                yield np.unique(runs[at[i]:at[i + 1] - words + 1])
+            elif n:
+                short = run_hashes(h[at[i]:at[i + 1]], n)
+                yield short ^ np.uint64(0x5851F42D4C957F2D + n)
+            else:
+                yield np.empty(0, np.uint64)
 
 
 def _sketches(words: int):
@@ -60,7 +64,7 @@ def _sketches(words: int):
                 f1.append(int(s.sum(dtype=np.uint64)))
                 f2.append(int((s * (s | np.uint64(1)) ^ (s >> np.uint64(29))).sum(dtype=np.uint64)))
                 sk.append(s[:K].tobytes())
-            yield pd.DataFrame({"id": b["id"], "n": np.array(n, np.int64), "f1": np.array(f1, np.uint64).view(np.int64),
+            yield pd.DataFrame({"id": b["id"], "h": b["h"], "n": np.array(n, np.int64), "f1": np.array(f1, np.uint64).view(np.int64),
                                 "f2": np.array(f2, np.uint64).view(np.int64), "sketch": sk})
     return run
 
@@ -107,8 +111,8 @@ def _compare(words: int, percent: int, told: bool):
     """Exact comparison of two texts' sets: linked pairs, or (``told``) all with what they share and what each has alone."""
     def run(batches):
         for b in batches:
-            for at in range(0, len(b), 256):
-                p = b.iloc[at:at + 256]
+            for at, to in slices(list(b["ta"].map(len) + b["tb"].map(len))):
+                p = b.iloc[at:to]
                 rows = []
                 for i, j, x, y in zip(p["a"], p["b"], shingle_sets(p["ta"], words), shingle_sets(p["tb"], words), strict=True):
                     both = np.intersect1d(x, y, assume_unique=True)
@@ -123,30 +127,46 @@ def _compare(words: int, percent: int, told: bool):
     return run
 
 
+def _values(words: int):
+    """Every value of every set."""
+    def run(batches):
+        for b in batches:
+            for start, end in slices(list(b["text"].map(len))):
+                p = b.iloc[start:end]
+                sets = list(shingle_sets(p["text"], words))
+                size = [len(s) for s in sets]
+                yield pd.DataFrame({"id": np.repeat(p["c"].to_numpy(), size), "v": np.concatenate(sets).view(np.int64)})
+    return run
+
+
 def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text", words: int = 2,
                     percent: int = 80) -> DataFrame:
     """Rows (id, n_shingles, component_id, kept): one per row of ``docs``.
 
     Two documents link if 100 * shared shingles >= percent * shingles of the union; a component is what links reach.
     """
-    base = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    rows = written(base.mapInPandas(_sketches(words), "id long, n long, f1 long, f2 long, sketch binary"), "sketches")
-    links = written(_links(base, rows, words, percent), "links")
-    comp = components(links)
-    same = (rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("rep")))
-    reached = (same.join(comp, F.col("rep") == F.col("id"), "left")
-               .select("f1", "f2", "n", F.coalesce("component", "rep").alias("component")))
-    return (rows.drop("sketch").join(reached, ["f1", "f2", "n"], "left")
+    base = (docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
+            .withColumn("h", F.xxhash64("text")))
+    rows = written(base.mapInPandas(_sketches(words), "id long, h long, n long, f1 long, f2 long, sketch binary"), "sketches")
+    # A class is one set with all its rows; a row with the smallest id gives its text.
+    classes = written(rows.where("n > 0 and id is not null").groupBy("f1", "f2", "n")
+                      .agg(F.min(F.struct("id", "h")).alias("r"), F.first("sketch").alias("sketch"))
+                      .select(F.monotonically_increasing_id().alias("c"), "r.*", "f1", "f2", "n", "sketch"), "classes")
+    reached = components(written(_links(base, classes, words, percent), "links"))
+    rooted = (classes.join(reached.select(F.col("id").alias("c"), "component"), "c", "left")
+              .select("f1", "f2", "n", F.col("id").alias("low"), F.coalesce("component", "c").alias("root")))
+    lowest = rooted.groupBy("root").agg(F.min("low").alias("component"))
+    told = rooted.join(lowest, "root").select("f1", "f2", "n", "component")
+    return (rows.drop("sketch", "h").join(told, ["f1", "f2", "n"], "left")
             .select(F.col("id").alias(id), F.col("n").alias("n_shingles"),
                     F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
             .withColumn("kept", F.coalesce(F.col(id) == F.col("component_id"), F.lit(False))))
 
 
-def _links(base: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """Confirmed links between representatives of equal sets; what they reach equals what all links reach."""
-    same = rows.where("n > 0").groupBy("f1", "f2", "n").agg(F.min("id").alias("id"))
-    reps = written(same.join(rows.select("id", "f1", "f2", "sketch"), ["id", "f1", "f2"])
-                   .select("id", "n", "sketch").dropDuplicates(["id"]), "sets")
+def _links(base: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
+    """Confirmed links between classes, by number; what they reach equals what all links reach."""
+    base = _Texts(base, classes.select("c", "id", "h"))
+    reps = classes.select(F.col("c").alias("id"), "n", "sketch")
     # A list of one set gives nothing: only keys with two or more are written.
     keyed = reps.mapInPandas(_list_keys(percent), "id long, n long, key long")
     shared = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
@@ -175,19 +195,36 @@ def _links(base: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFr
     rows = (lists.join(home.select("id", "home", "comp"), "id", "left")
             .join(label.withColumnRenamed("component", "own"), "id", "left")
             .select("key", "id", "n", F.coalesce("comp", "own", "id").alias("comp"), F.coalesce("home", "id").alias("home")))
-    split = rows.groupBy("key", "comp").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("*").alias("comps")).where("comps > 1")
-    rows = written(_needed(rows.join(split, "key"), percent), "open")
     mixed = (rows.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.min("home").alias("g"), F.max("home").alias("h"))
              .where("c < d and g < h").select("key"))
-    rows = rows.join(mixed, "key")
-    pairs = (rows.alias("x").join(rows.alias("y"), "key").where("x.comp < y.comp and x.home <> y.home")
-             .where(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
-             .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-             .unionAll(_at_home(home, percent)).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti"))
+    open_ = written(rows.join(mixed, "key").select("id", "n", "comp", "home").distinct(), "open")
+    pairs = (_by_prefix(open_, base, words, percent).unionAll(_at_home(home, percent)).distinct()
+             .join(star.select("a", "b"), ["a", "b"], "left_anti"))
     last = written(_likely(pairs, reps).select("a", "b"), "pairs")
     return links.unionAll(_confirmed(last, base, words, percent))
 
 
+def _by_prefix(sets: DataFrame, base: _Texts, words: int, percent: int) -> DataFrame:
+    """Pairs of ``sets`` (id, n, comp, home) of different components and homes that may link. Exact: no link is lost.
+
+    Values in the order of (how many of these sets hold it, value). Sets that link share at least percent of the larger one,
+    so they share one of the first n - ceil(percent n) + 1 values of each; at the first value they share, at places i and j,
+    what is left of both sets must suffice for the overlap that percent of the union takes.
+    """
+    values = written(base.of(sets.select(F.col("id").alias("c"))).mapInPandas(_values(words), "id long, v long"), "values")
+    shared = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
+    held = values.join(shared, "v").join(sets, "id")
+    own = Window.partitionBy("id")
+    # A set's values that no other set holds come first in its order.
+    first = (held.withColumn("i", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "v")))
+             .where(f"i <= n - ({percent} * n + 99) div 100 + 1").select("v", "id", "n", "comp", "home", "i"))
+    first = written(first, "prefixes")
+    need = f"({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent}"
+    return (first.alias("x").join(first.alias("y"), "v").where("x.comp < y.comp and x.home <> y.home")
+            .where(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and 1 + least(x.n - x.i, y.n - y.i) >= {need}")
+            .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
+
+
 def _at_home(home: DataFrame, percent: int) -> DataFrame:
     """Pairs of one home that may link though one of them, x, does not link with the home itself.
 
@@ -209,15 +246,6 @@ def _at_home(home: DataFrame, percent: int) -> DataFrame:
     return met.unionAll(inner)
 
 
-def _needed(rows: DataFrame, percent: int) -> DataFrame:
-    """List rows that must still be compared. A list of many components is one passage in otherwise different documents;
-    a set that has enough other keys meets each of its partners there, so it need not meet them in such a list."""
-    crowded = rows.where(f"comps > {CROWD}").groupBy("id").agg(F.count("*").alias("crowded"))
-    keys = f"if(n >= {LARGE}, least(n, {K}) - {RUN - 1}, 0) + if(n <= {SMALL}, (n * {100 - percent} div 100 + 2) * (n * {100 - percent} div 100 + 1) div 2, 0)"
-    return (rows.join(crowded, "id", "left")
-            .where(f"comps <= {CROWD} or {keys} - coalesce(crowded, 0) < {ENOUGH}").select("key", "id", "n", "comp", "home"))
-
-
 def _between(pairs: DataFrame, label: DataFrame) -> DataFrame:
     """Pairs whose ends no link chain joins yet."""
     a, b = label.toDF("a", "ca"), label.toDF("b", "cb")
@@ -231,17 +259,29 @@ def _likely(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").mapInPandas(_estimates, "a long, b long, est double")
 
 
-def _texts_of(pairs: DataFrame, base: DataFrame) -> DataFrame:
-    text = base.where("id is not null")
-    return written(pairs.select("a", "b"), "wanted").join(text.toDF("a", "ta"), "a").join(text.toDF("b", "tb"), "b")
+class _Texts:
+    """Texts of classes: ``who`` says which row's id and text hash stand for a class."""
+
+    def __init__(self, base: DataFrame, who: DataFrame):
+        self.base, self.who = base.where("id is not null"), who
+
+    def of(self, classes: DataFrame) -> DataFrame:
+        """Rows (c, text), one per class; only the texts asked for leave the scan's side of the join."""
+        need = self.who.join(classes.distinct(), "c")
+        return written(self.base.join(need, ["id", "h"]).select("c", "text").dropDuplicates(["c"]), "texts")
+
+    def beside(self, pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs.select("a", "b"), "wanted")
+        text = self.of(pairs.select(F.col("a").alias("c")).unionAll(pairs.select("b")))
+        return pairs.join(text.toDF("a", "ta"), "a").join(text.toDF("b", "tb"), "b")
 
 
-def _confirmed(pairs: DataFrame, base: DataFrame, words: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, base: _Texts, words: int, percent: int) -> DataFrame:
     """Pairs whose full sets meet the threshold."""
-    return _texts_of(pairs, base).mapInPandas(_compare(words, percent, False), "a long, b long")
+    return base.beside(pairs).mapInPandas(_compare(words, percent, False), "a long, b long")
 
 
-def _compared(pairs: DataFrame, base: DataFrame, words: int, percent: int) -> DataFrame:
-    return _texts_of(pairs, base).mapInPandas(
+def _compared(pairs: DataFrame, base: _Texts, words: int, percent: int) -> DataFrame:
+    return base.beside(pairs).mapInPandas(
         _compare(words, percent, True),
         "a long, b long, shared long, na long, nb long, linked boolean, outside_a array<long>, outside_b array<long>")

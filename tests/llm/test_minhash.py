@@ -85,3 +85,52 @@ def test_components_of_chains_rings_and_hubs(spark):
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in range(1, 21)}, 30: 30, 31: 30, 32: 30, **{50 + i: 50 for i in range(12)}, 99: 50}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_a_repeated_id_with_another_text(spark):
+    a, b = [" ".join(f"{p}{i}" for i in range(60)) for p in "ab"]
+    rows = [(1, a), (1, b), (2, a + " z"), (3, b + " z"), (3, b + " z")]
+    df = spark.createDataFrame([(*r, None, None) for r in rows], DOCS)
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df).collect())
+    assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (3, 1, False)]
+
+
+def passage_rows(n, seed, size=70, own=(20, 60)):
+    """Documents with one long passage and their own rest, some of them near each other."""
+    rng = random.Random(seed)
+    passage, rows = [f"p{i}" for i in range(size)], []
+    for i in range(n):
+        rest = [f"q{i if rng.random() < 0.9 else i // 7}x{k}" for k in range(rng.randrange(*own))]
+        rows.append((i, " ".join(rest[:len(rest) // 2] + passage + rest[len(rest) // 2:])))
+    return rows
+
+
+def test_a_third_share_a_passage(spark):
+    rng = random.Random(2)
+    rows = passage_rows(120, 3) + [(1000 + i, " ".join(rng.choice("abcdefgh") + str(rng.randrange(900)) for _ in range(100))) for i in range(60)]
+    df = spark.createDataFrame([(*r, None, None) for r in rows], DOCS)
+    assert told(minhash.near_duplicates(df)) == brute(rows)
+
+
+def test_candidates_of_a_passage_grow_with_its_rows(spark, monkeypatch):
+    counts = []
+    likely = minhash._likely
+    monkeypatch.setattr(minhash, "_likely", lambda pairs, reps: (counts.append(pairs.count()), likely(pairs, reps))[1])
+    for n in (100, 200, 400):
+        before = len(counts)
+        df = spark.createDataFrame([(*r, None, None) for r in passage_rows(n, 5)], DOCS)
+        minhash.near_duplicates(df).count()
+        counts[before:] = [sum(counts[before:])]
+    assert counts[1] <= 3 * max(counts[0], 50) and counts[2] <= 3 * max(counts[1], 100), counts
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(1)
+    long = [f"w{rng.randrange(5000)}" for _ in range(300_000)]
+    near = list(long)
+    for k in range(0, 300_000, 100):
+        near[k] = "new"
+    rows = [(1, " ".join(long)), (2, " ".join(near)), (3, "short text")]
+    df = spark.createDataFrame([(*r, None, None) for r in rows], DOCS)
+    got = told(minhash.near_duplicates(df))
+    assert got == {1: (len(shingles(rows[0][1])), 1, True), 2: (len(shingles(rows[1][1])), 1, False), 3: (1, 3, True)}

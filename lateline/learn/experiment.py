@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 from ..operators.metrics import class_report, class_summary, leaderboard, regression_metrics
 from ..operators.rows import drop_columns, fill_constant
-from ..operators.sampling import sample_exact, sample_stratified, stratified_train_test, train_test
+from ..operators.sampling import hash_fraction, sample_exact, sample_stratified, stratified_train_test, train_test
+from ..session import checkpoint
 from .features import DelayClass
+from .models import fit_all
 
 
 def load(
@@ -131,6 +133,40 @@ def search(
     return best, metrics, model
 
 
+def race(
+    train: DataFrame, test: DataFrame, build: Callable[[dict], Estimator], space: Mapping[str, tuple], *,
+    key: Sequence[str], label: str = "label", trials: int = 9, rungs: Sequence[float] = (1 / 9, 1 / 3, 1.0), keep: float = 1 / 3,
+    seed: int = 42, classify: bool = False, parallelism: int = 4,
+) -> tuple[dict, DataFrame, object, list[tuple[float, int, float]]]:
+    """(best setting, test metrics, model, [(share, trial, score)]): all trials side by side on a little of the data, the better ones on more.
+
+    All settings are drawn first and share one inner split. A rung trains every trial left on the rows whose hash lies below its
+    share, so a larger rung holds the smaller one, and judges all on the same held rows; ``keep`` of them (at least one, ties
+    to the earlier) go on. Trials of a rung run at the same time and do not see each other: ``parallelism`` changes the
+    time, never the winner. The winner is fitted on all rows.
+    """
+    rng = random.Random(seed)
+    settings = [draw(space, rng) for _ in range(trials)]
+    split = stratified_train_test(train, label, seed, key) if classify else train_test(train, seed, key)
+    inner, held = (checkpoint(part) for part in split)
+
+    def judge(trial: int, rows: DataFrame) -> float:
+        scored = build(settings[trial]).fit(rows).transform(held)
+        return class_summary(scored, label).first()["macro_f1"] if classify else -regression_metrics(scored, label).first()["rmse"]
+
+    left, told = list(range(trials)), []
+    for share in rungs:
+        rows = inner if share >= 1 else inner.filter(hash_fraction(f"{seed}/rung", key) < share)
+        scores = fit_all([lambda t=t: judge(t, rows) for t in left], parallelism)
+        told += [(share, t, s) for t, s in zip(left, scores)]
+        ranked = sorted(zip(scores, left), key=lambda x: (-x[0], x[1]))
+        left = sorted(t for _, t in ranked[:max(1, int(len(ranked) * keep))]) if share < rungs[-1] else [ranked[0][1]]
+    best = settings[left[0]]
+    model = build(best).fit(train)
+    scored = model.transform(test)
+    return best, class_summary(scored, label) if classify else regression_metrics(scored, label), model, told
+
+
 def score(spark: SparkSession, model_path: str, df: DataFrame) -> DataFrame:
     """Apply a saved model to a table."""
     return PipelineModel.load(model_path).transform(df)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.conditions import shifted_exp, shifted_log
 from ..functions.delays import class_centres, delay_class
-from ..operators.metrics import with_class_weight
+from ..operators.metrics import class_values, with_class_weight
 from ..operators.sampling import hash_fraction, with_fold, with_stratified_fold
 from ..session import checkpoint
 from .base import Keywords, Saved, boolean, floats, integer, number, string, strings
@@ -177,6 +177,56 @@ def perceptron(inputs: int, classes: int, hidden=(128, 64, 32), **kw) -> Estimat
     return MultilayerPerceptronClassifier(layers=[inputs, *hidden, classes], **kw)
 
 
+class StoppingPerceptron(Learner):
+    """Perceptron trained in blocks of iterations, each from the weights of the last, until a held-out slice stops improving.
+
+    ``hidden`` are the layer sizes between inputs and classes. A block that does not lower the held-out log loss by ``tolerance``
+    (relative) counts against ``patience``; the best block's weights are kept. The rows are written once for all blocks.
+    """
+
+    keyCols = strings("keyCols", "row key that picks the slice")
+    slice = number("slice", "share held out")
+    seed = integer("seed", "seed of the slice and the first weights")
+    hidden = floats("hidden", "sizes of the hidden layers")
+    block = integer("block", "iterations between two looks")
+    most = integer("most", "iterations in all")
+    patience = integer("patience", "blocks without improvement before stopping")
+    tolerance = number("tolerance", "least relative improvement that counts")
+    defaults = {"slice": 0.1, "seed": 42, "hidden": [128.0, 64.0, 32.0], "block": 10, "most": 200, "patience": 2, "tolerance": 1e-3}
+
+    def _fit(self, df: DataFrame) -> StoppedPerceptronModel:
+        x, y = self["featuresCol"], self["labelCol"]
+        rows = checkpoint(df.select(x, F.col(y).cast("double").alias(y), held_out(self["seed"], self["keyCols"]).alias("__u")))
+        train, held = rows.filter(F.col("__u") >= self["slice"]), rows.filter(F.col("__u") < self["slice"])
+        width, classes = train.select(F.size(vector_to_array(x)), F.lit(0)).first()[0], int(train.agg(F.max(y)).first()[0]) + 1
+        judge = MulticlassClassificationEvaluator(metricName="logLoss", labelCol=y)
+        layers = [width, *[int(h) for h in self["hidden"]], max(2, classes)]
+        best, losses, weights, waited = None, [], None, 0
+        for _ in range(0, self["most"], self["block"]):
+            est = MultilayerPerceptronClassifier(featuresCol=x, labelCol=y, layers=layers, maxIter=self["block"], seed=self["seed"])
+            if weights is not None:
+                est.setInitialWeights(weights)
+            model = est.fit(train)
+            weights = model.weights
+            losses.append(float(judge.evaluate(model.transform(held))))
+            if best is None or losses[-1] < min(losses[:-1]) * (1 - self["tolerance"]):
+                best, waited = (model, len(losses)), 0
+            else:
+                waited += 1
+                if waited >= self["patience"]:
+                    break
+        return StoppedPerceptronModel(iterations=len(losses) * self["block"], kept=best[1] * self["block"], losses=losses).owning(parts={"inner": best[0]})
+
+
+class StoppedPerceptronModel(Keywords, Model, Saved):
+    iterations = integer("iterations", "iterations run")
+    kept = integer("kept", "iterations behind the weights kept")
+    losses = floats("losses", "held-out log loss after each block")
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return self.parts["inner"].transform(df.drop(*MODEL_COLUMNS))
+
+
 # --- ensembles ------------------------------------------------------------------------------------
 
 class Ensemble(Learner):
@@ -353,7 +403,7 @@ class Ordinal(Learner):
     def _fit(self, df: DataFrame) -> OrdinalModel:
         y = self["labelCol"]
         coded = df.withColumn(y, delay_class(y, self["bins"]).cast("double")) if self["expected"] else df
-        classes = sorted(r[0] for r in coded.select(y).distinct().collect())  # one row per class
+        classes = class_values(coded, y)
         jobs = [
             (lambda c=c: self.model.fit(coded.withColumn(y, (F.col(y) >= c).cast("double")))) for c in classes[1:]
         ]

@@ -94,6 +94,14 @@ def class_weights(df: DataFrame, label: str, mode: str | None = "balanced") -> D
     return per.withColumn("weight", weight)
 
 
+def class_values(df: DataFrame, label: str) -> list:
+    """The label's values in order; more than ``MOST_CLASSES`` of them are an error, not a list."""
+    rows = df.select(label).distinct().limit(MOST_CLASSES + 1).collect()
+    if len(rows) > MOST_CLASSES:
+        raise ValueError(f"{label} has more than {MOST_CLASSES} values: no class")
+    return sorted(r[0] for r in rows)
+
+
 def with_class_weight(df: DataFrame, label: str, mode: str | None = "balanced", out: str = "weight") -> DataFrame:
     """Weight on every row. A literal map, because the class list is as short as the bin list."""
     if mode is None:

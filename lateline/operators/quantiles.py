@@ -1,9 +1,9 @@
-"""Exact quantiles that never hold a group in one task.
+"""Exact quantiles by repeated selection: no task ever orders more than a stated number of rows.
 
-Spark's exact ``percentile`` keeps every distinct value of a group in one aggregation buffer.
-Here a bounded sketch only narrows the search: rows outside the sketch's bracket are counted,
-rows inside are counted per value and per piece of the bracket, and the ranks are read from the
-running count of the pieces that hold them. The sketch decides how much work is done, never the result.
+Spark's exact ``percentile`` keeps every distinct value of a group in one aggregation buffer. Here a sketch brackets the
+ranks asked for; as long as a bracket may hold more than ``limit`` rows, its rows are sketched again and the bracket moves to the
+counted borders around the rank. What lies strictly inside the last brackets is ranked; what lies below or on a border is
+only counted, so values that repeat a billion times cost a counter. The sketches decide how often the rows are read, never the result.
 """
 
 from __future__ import annotations
@@ -13,10 +13,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SMALL_GROUP = 20_000
-MARGIN = 1.0 / 2000
-ACCURACY = 10_000
-PIECES = 1024
+from ..session import checkpoint
+
+SMALL_GROUP = 20_000      # rows that one task may put in order
+MARGIN = 1.0 / 2000       # half width of the first bracket, in ranks
+ACCURACY = 10_000         # a sketch's ranks are off by this part of its rows at most
+GRID = 64                 # borders a repeated sketch offers
+ROUNDS = 20
 
 
 def exact_quantiles(
@@ -33,111 +36,166 @@ def medians(df: DataFrame, keys: Sequence[str], columns: Sequence[str], **kw) ->
     return column_quantiles(df, keys, {c: (c, 0.5) for c in columns}, **kw)
 
 
+class _Requests:
+    """Quantiles asked for: request i takes column ``source[i]`` at probability ``prob[i]``; a column's requests rise."""
+
+    def __init__(self, wanted: dict[str, tuple[str, float]]):
+        self.columns = sorted({c for c, _ in wanted.values()})
+        asked = sorted((self.columns.index(c), p, n) for n, (c, p) in wanted.items())
+        self.source = [s for s, _, _ in asked]
+        self.prob = [float(p) for _, p, _ in asked]
+        self.name = [n for _, _, n in asked]
+
+    def of(self, s: int) -> list[int]:
+        return [i for i, x in enumerate(self.source) if x == s]
+
+    def __len__(self):
+        return len(self.name)
+
+
+def _null_safe(names: Sequence[str]):
+    cond = F.lit(True)
+    for g in names:
+        cond = cond & F.col(g).eqNullSafe(F.col(f"__r{g}"))
+    return cond
+
+
 def column_quantiles(
     df: DataFrame, keys: Sequence[str], wanted: dict[str, tuple[str, float]],
     small_group: int = SMALL_GROUP,
 ) -> DataFrame:
     """Several quantiles of several columns at once: ``{output: (column, probability)}``."""
-    names = list(wanted)
-    # Wide enough that a bracketed group always has its two ranks (and the sketch error) inside.
-    margin = max(MARGIN, 4.0 / small_group)
-    sources = sorted({c for c, _ in wanted.values()})
-    group = [F.col(k).alias(f"__g{i}") for i, k in enumerate(keys)]
-    gnames = [f"__g{i}" for i in range(len(keys))]
-    slim = df.select(*group, *[F.col(c).cast("double").alias(f"__c{i}") for i, c in enumerate(sources)])
-    at = {c: f"__c{i}" for i, c in enumerate(sources)}
-
-    # 1. Per group and request: size and a bracket that is sure to contain the ranks.
+    asked = _Requests(wanted)
+    groups = [f"__g{i}" for i in range(len(keys))]
+    slim = df.select(*[F.col(k).alias(g) for k, g in zip(keys, groups)],
+                     *[F.col(c).cast("double").alias(f"__c{s}") for s, c in enumerate(asked.columns)])
+    brackets = checkpoint(_first_brackets(slim, groups, asked, small_group))
+    for _ in range(ROUNDS):
+        if not _crowded(brackets, asked, small_group):
+            break
+        brackets = checkpoint(_narrowed(slim, brackets, groups, asked))
+    picked = _ranked(slim, brackets, groups, asked)
+    out = picked.groupBy(*groups).agg(*[F.max(F.when(F.col("__q") == i, F.col("__p"))).alias(n) for i, n in enumerate(asked.name)])
+    # A group without any value has no ranks, but a row.
+    whole = brackets.select(*[F.col(g).alias(f"__r{g}") for g in groups]).join(out, _null_safe(groups), "left") if groups else out
+    return whole.select(*[F.col(f"__r{g}").alias(k) for g, k in zip(groups, keys)], *[F.col(n) for n in wanted])
+
+
+def _first_brackets(slim: DataFrame, groups: list[str], asked: _Requests, limit: int) -> DataFrame:
+    """Per group and request: rows, the borders and at most how many rows lie strictly between them."""
+    margin = max(MARGIN, 4.0 / limit)
     stats = []
-    for i, n in enumerate(names):
-        c, p = wanted[n]
-        edges = F.approx_percentile(
-            at[c], F.array(F.lit(max(0.0, p - margin)), F.lit(min(1.0, p + margin))), F.lit(ACCURACY)
-        )
-        stats += [F.count(at[c]).alias(f"__n{i}"), edges.alias(f"__e{i}")]
-    summary = slim.groupBy(*gnames).agg(*stats)
-    infinity = float("inf")
-    brackets = summary.select(
-        *gnames,
-        *[
-            F.struct(
-                F.col(f"__n{i}").alias("n"),
-                F.when((F.col(f"__n{i}") <= small_group) | F.lit(wanted[n][1] - margin <= 0), -infinity)
-                .otherwise(F.get(f"__e{i}", F.lit(0))).alias("low"),
-                F.when((F.col(f"__n{i}") <= small_group) | F.lit(wanted[n][1] + margin >= 1), infinity)
-                .otherwise(F.get(f"__e{i}", F.lit(1))).alias("high"),
-            ).alias(f"__b{i}")
-            for i, n in enumerate(names)
-        ],
-    )
-
-    # 2. Rows below a bracket are only counted; the few rows inside keep their value.
-    value = [F.col(at[wanted[n][0]]) for n in names]
-    if gnames:
-        renamed = brackets.withColumnsRenamed({g: f"__r{g}" for g in gnames})
-        cond = F.lit(True)
-        for g in gnames:
-            cond = cond & F.col(g).eqNullSafe(F.col(f"__r{g}"))
-        joined = slim.join(renamed, cond).drop(*[f"__r{g}" for g in gnames])
-        part = lambda i, f: F.col(f"__b{i}.{f}")
+    for s in range(len(asked.columns)):
+        c = f"__c{s}"
+        points = sorted({x for i in asked.of(s) for x in (asked.prob[i] - margin, asked.prob[i] + margin) if 0 < x < 1})
+        stats += [F.count(c).alias(f"n{s}"), F.min(c).alias(f"a{s}"), F.max(c).alias(f"b{s}")]
+        if points:
+            stats.append(F.approx_percentile(c, F.array(*[F.lit(x) for x in points]), F.lit(ACCURACY)).alias(f"e{s}"))
+    out = slim.groupBy(*groups).agg(*stats)
+    parts = []
+    for i, s in enumerate(asked.source):
+        p = asked.prob[i]
+        points = sorted({x for j in asked.of(s) for x in (asked.prob[j] - margin, asked.prob[j] + margin) if 0 < x < 1})
+        border = lambda x, end: F.get(f"e{s}", F.lit(points.index(x))) if 0 < x < 1 else F.col(end)
+        n, low, high = F.col(f"n{s}"), border(p - margin, f"a{s}"), border(p + margin, f"b{s}")
+        whole = n <= limit
+        at = 0.0 if p in (0.0, 1.0) else 2 * margin + 4.0 / ACCURACY
+        if p in (0.0, 1.0):
+            low = high = F.col(f"a{s}" if p == 0 else f"b{s}")
+        else:
+            low, high = F.when(whole, F.col(f"a{s}")).otherwise(low), F.when(whole, F.col(f"b{s}")).otherwise(high)
+        low = _rising(low, parts, asked, i)
+        parts.append(F.struct(n.alias("n"), low.alias("low"), high.alias("high"),
+                              F.when(whole, n).otherwise(n * at).cast("double").alias("most")).alias(f"__b{i}"))
+    return out.select(*groups, *parts)
+
+
+def _rising(low, parts: list, asked: _Requests, i: int):
+    """A request's low border, not below that of the one before it in its column, whose rank is no higher."""
+    return F.greatest(low, parts[i - 1].getField("low")) if i and asked.source[i - 1] == asked.source[i] else low
+
+
+def _crowded(brackets: DataFrame, asked: _Requests, limit: int) -> bool:
+    """Whether some bracket with two different borders may hold more rows than a task may order."""
+    most = [F.max(F.when(F.col(f"__b{i}.low") < F.col(f"__b{i}.high"), F.col(f"__b{i}.most"))) for i in range(len(asked))]
+    return brackets.agg(F.greatest(*most, F.lit(0.0), F.lit(0.0)).alias("m")).first()["m"] > limit
+
+
+def _beside(slim: DataFrame, brackets: DataFrame, groups: list[str], asked: _Requests):
+    """Rows with their group's brackets: a join, or literals where there is one group (they also reach the scan)."""
+    if groups:
+        joined = slim.join(brackets.withColumnsRenamed({g: f"__r{g}" for g in groups}), _null_safe(groups)).drop(*[f"__r{g}" for g in groups])
+        return joined, lambda i, f: F.col(f"__b{i}.{f}")
+    row = brackets.first()
+    return slim, lambda i, f: F.lit(row[f"__b{i}"][f]).cast("bigint" if f == "n" else "double")
+
+
+def _narrowed(slim: DataFrame, brackets: DataFrame, groups: list[str], asked: _Requests) -> DataFrame:
+    """Brackets moved to borders of a new sketch of what they hold, chosen by the counts below and on them."""
+    rows, part = _beside(slim, brackets, groups, asked)
+    grid = F.array(*[F.lit(k / GRID) for k in range(GRID + 1)])
+    stats = []
+    for i, s in enumerate(asked.source):
+        v, low, high = F.col(f"__c{s}"), part(i, "low"), part(i, "high")
+        inner = F.when((v > low) & (v < high), v)
+        stats += [F.count_if(v < low).alias(f"u{i}"), F.count_if(v == low).alias(f"l{i}"), F.count(inner).alias(f"m{i}"),
+                  F.approx_percentile(inner, grid, F.lit(ACCURACY)).alias(f"e{i}"), F.first(F.struct(part(i, "n").alias("n"), low.alias("low"), high.alias("high"))).alias(f"o{i}")]
+    out = rows.groupBy(*groups).agg(*stats)
+    error = 2.0 / ACCURACY
+    parts = []
+    for i in range(len(asked)):
+        n, low, high = (F.col(f"o{i}.{f}") for f in ("n", "low", "high"))
+        under, on, inside = F.col(f"u{i}"), F.col(f"l{i}"), F.col(f"m{i}")
+        rank = F.lit(asked.prob[i]) * (n - 1)
+        first, last = F.floor(rank) - under - on, F.ceil(rank) - under - on        # places strictly inside, from 0
+        left = F.floor((F.try_divide(first, inside) - error) * GRID).cast("int")
+        right = F.ceil((F.try_divide(last + 1, inside) + error) * GRID).cast("int")
+        new_low = F.when(last < 0, low).when(first >= inside, high).when(left > 0, F.get(f"e{i}", left)).otherwise(low)
+        new_high = F.when(last < 0, low).when(first >= inside, high).when(right < GRID, F.get(f"e{i}", right)).otherwise(high)
+        most = (F.least(right, F.lit(GRID)) - F.greatest(left, F.lit(0))) / GRID + 2 * error
+        new_low = _rising(new_low, parts, asked, i)
+        parts.append(F.struct(n.alias("n"), new_low.alias("low"), new_high.alias("high"),
+                              F.least(inside.cast("double"), inside * most).alias("most")).alias(f"__b{i}"))
+    return out.select(*groups, *parts)
+
+
+def _ranked(slim: DataFrame, brackets: DataFrame, groups: list[str], asked: _Requests) -> DataFrame:
+    """Rows (groups, __q, __p) from one more pass: a row of the table tells how many low borders of its column it reaches, and
+    becomes a value of its own only for the requests whose bracket holds it."""
+    rows, part = _beside(slim, brackets, groups, asked)
+    entry = lambda q, reached, v: F.struct(F.lit(q).alias("__q"), reached.alias("__s"), v.alias("__v"))
+    none, zero = F.lit(None).cast("double"), F.lit(0)
+    told = []
+    for s in range(len(asked.columns)):
+        v, mine = F.col(f"__c{s}"), asked.of(s)
+        reached = sum([F.when(v >= part(i, "low"), 1).otherwise(0) for i in mine], F.lit(0))
+        told.append(F.when(v.isNotNull() & (reached < len(mine)), entry(-1 - s, reached, none)))
+        told += [F.when((v >= part(i, "low")) & (v <= part(i, "high")), entry(i, zero, v)) for i in mine]
+    counted = (rows.select(*groups, F.inline(F.filter(F.array(*told), lambda e: e.isNotNull())))
+               .groupBy(*groups, "__q", "__s", "__v").agg(F.count(F.lit(1)).alias("__k")))
+    # Rows that reach r of a column's borders lie below the borders of its requests from the r-th on.
+    below = F.lit(None).cast("array<int>")
+    for s in range(len(asked.columns)):
+        mine = F.array(*[F.lit(i) for i in asked.of(s)])
+        below = F.when(F.col("__q") == -1 - s, F.slice(mine, F.col("__s") + 1, len(asked.of(s)))).otherwise(below)
+    spread = counted.select(*groups, F.explode(F.when(F.col("__q") >= 0, F.array("__q")).otherwise(below)).alias("__q"), "__v", "__k")
+    sizes = brackets.select(*[F.col(g).alias(f"__r{g}") for g in groups], *[F.col(f"__b{i}.n").alias(f"__n{i}") for i in range(len(asked))])
+    n = F.lit(None).cast("bigint")
+    if groups:
+        spread = spread.join(sizes, _null_safe(groups)).drop(*[f"__r{g}" for g in groups])
+        for i in range(len(asked)):
+            n = F.when(F.col("__q") == i, F.col(f"__n{i}")).otherwise(n)
     else:
-        # One row of three numbers per request: as literals they also reach the scan as filters.
         row = brackets.first()
-        joined = slim
-        part = lambda i, f: F.lit(row[f"__b{i}"][f])
-    low = [part(i, "low").cast("double") for i in range(len(names))]
-    high = [part(i, "high").cast("double") for i in range(len(names))]
-    size = [part(i, "n") for i in range(len(names))]
-    inside = [(v >= lo) & (v <= hi) for v, lo, hi in zip(value, low, high)]
-    below = joined.groupBy(*gnames).agg(
-        *[F.count_if(v < lo).alias(f"__u{i}") for i, (v, lo) in enumerate(zip(value, low))],
-        *[F.first(n).alias(f"__n{i}") for i, n in enumerate(size)],
-    )
-    under = below.select(*gnames, F.inline(F.array(*[
-        F.struct(F.lit(i).alias("__q"), F.col(f"__n{i}").alias("__n"), F.lit(-1).alias("__b"),
-                 F.lit(None).cast("double").alias("__v"), F.col(f"__u{i}").alias("__k")) for i in range(len(names))])))
-    # Place of a value in its bracket, for brackets with two ends.
-    piece = lambda v, lo, hi: F.when(
-        (lo > -infinity) & (hi < infinity) & (hi > lo), F.floor((v - lo) / (hi - lo) * (PIECES - 1))).otherwise(0).cast("int")
-    hit = inside[0]
-    for c in inside[1:]:
-        hit = F.coalesce(hit, F.lit(False)) | F.coalesce(c, F.lit(False))
-    near = joined.filter(hit).select(*gnames, F.inline(F.array(*[
-        F.struct(F.lit(i).alias("__q"), n.alias("__n"), F.when(c, piece(v, lo, hi)).alias("__b"), F.when(c, v).alias("__v"))
-        for i, (c, v, n, lo, hi) in enumerate(zip(inside, value, size, low, high))])))
-    counted = (
-        near.filter(F.col("__v").isNotNull()).groupBy(*gnames, "__q", "__n", "__b", "__v")
-        .agg(F.count(F.lit(1)).alias("__k")).unionByName(under)
-    )
-
-    # 3. Counts per piece of the bracket say which piece holds a rank; only its distinct values are put in order. The row
-    # without a value holds the count of everything below the bracket and is a piece of its own.
-    probs = F.array(*[F.lit(float(wanted[n][1])) for n in names])
-    target = F.get(probs, F.col("__q")) * (F.col("__n") - 1)
-    floor, ceil = F.floor(target), F.ceil(target)
-    along = Window.partitionBy(*gnames, "__q").orderBy("__b")
-    pieces = (
-        counted.groupBy(*gnames, "__q", "__n", "__b").agg(F.sum("__k").alias("__c"))
-        .withColumn("__base", F.sum("__c").over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__c"))
-        .filter((F.col("__base") <= ceil) & (F.col("__base") + F.col("__c") > floor))
-        .select(*[F.col(g).alias(f"__r{g}") for g in gnames], F.col("__q").alias("__rq"), F.col("__b").alias("__rb"), "__base")
-    )
-    same = (F.col("__q") == F.col("__rq")) & (F.col("__b") == F.col("__rb"))
-    for g in gnames:
-        same = same & F.col(g).eqNullSafe(F.col(f"__r{g}"))
-    w = Window.partitionBy(*gnames, "__q", "__b").orderBy(F.col("__v").asc_nulls_first())
-    ranked = counted.join(pieces, same).drop(*[f"__r{g}" for g in gnames], "__rq", "__rb").withColumn(
-        "__upto", F.col("__base") + F.sum("__k").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    at_rank = lambda r: F.max(F.when((F.col("__upto") - F.col("__k") <= r) & (r < F.col("__upto")), F.col("__v")))
-    picked = (
-        ranked.groupBy(*gnames, "__q", "__n")
-        .agg(at_rank(floor).alias("__lo"), at_rank(ceil).alias("__hi"))
-        .withColumn("__p", F.col("__lo") + (F.col("__hi") - F.col("__lo")) * (target - floor))
-    )
-    final = picked.groupBy(*gnames).agg(
-        *[F.max(F.when(F.col("__q") == i, F.col("__p"))).alias(n) for i, n in enumerate(names)]
-    )
-    return final.withColumnsRenamed({g: k for g, k in zip(gnames, keys)})
+        for i in range(len(asked)):
+            n = F.when(F.col("__q") == i, F.lit(row[f"__b{i}"]["n"])).otherwise(n)
+    probs = F.array(*[F.lit(p) for p in asked.prob])
+    along = Window.partitionBy(*groups, "__q").orderBy(F.col("__v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    placed = spread.withColumn("__t", F.get(probs, F.col("__q")) * (n - 1)).withColumn("__upto", F.sum("__k").over(along))
+    at = lambda r: F.max(F.when((F.col("__upto") - F.col("__k") <= r) & (r < F.col("__upto")), F.col("__v")))
+    low, high = F.floor("__t"), F.ceil("__t")
+    return (placed.groupBy(*groups, "__q").agg(at(low).alias("lo"), at(high).alias("hi"), F.max(F.col("__t") - low).alias("part"))
+            .withColumn("__p", F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part")))
 
 
 def quantile_edges(df: DataFrame, column: str, pieces: int) -> list[float]:

@@ -2,7 +2,7 @@
 
 Rows are ordered by a seeded hash of their key. To take the first n of that order without sorting
 the table in one task, rows are counted per hash prefix; every prefix below the cut is taken whole
-and only the one prefix at the cut is ranked.
+and only the one prefix at the cut is ranked. The cut is found once and every row compared with it.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import col
+from ..session import checkpoint
 from .quantiles import exact_edges, quantile_edges
 from .windows import with_previous
 
@@ -33,50 +34,99 @@ def hash_bucket(hashed: Column, digits: int = PREFIX_DIGITS) -> Column:
     return F.conv(F.substring(hashed, 1, digits), 16, 10).cast("bigint")
 
 
+class HashCut:
+    """The first ``quota`` rows of each stratum in hash order, as a mark on every row.
+
+    Two narrow passes over key and strata find the cut: rows are counted per hash prefix, then only the prefix at the cut is
+    put in order, and its last row taken is remembered (one row per stratum, written to the checkpoint folder). ``marked`` then
+    compares every row with the cut of its stratum, so both sides of a split come from one reading without another shuffle.
+    """
+
+    def __init__(self, df: DataFrame, seed: int, key: Sequence[str], strata: Sequence[str], quota: Column | None, quotas: DataFrame | None = None):
+        self.seed, self.key, self.strata = seed, list(key), list(strata)
+        slim = self._placed(df.select(*dict.fromkeys([*key, *strata])))
+        per = slim.groupBy(*strata, "__pre").agg(F.count(F.lit(1)).alias("__k"))
+        w = Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(1))
+        upto = w.orderBy("__pre").rowsBetween(Window.unboundedPreceding, 0)
+        cum = per.withColumns({"__upto": F.sum("__k").over(upto), "__all": F.sum("__k").over(w)})
+        if quotas is not None:
+            cum = cum.join(quotas.withColumnsRenamed({s: f"__s{s}" for s in strata}), self._same()).drop(*[f"__s{s}" for s in strata])
+            quota = F.col("__quota")
+        cum = cum.withColumn("__need", quota)
+        # The prefix that the quota reaches; those before it are taken whole.
+        edge = F.when(F.col("__upto") >= F.col("__need"), F.col("__pre"))
+        prefix = checkpoint(cum.groupBy(*[F.col(s).alias(f"__s{s}") for s in strata]).agg(
+            F.coalesce(F.min(edge), F.lit(16**PREFIX_DIGITS)).alias("__cut"),
+            (F.max("__need") - F.coalesce(F.max(F.when(F.col("__upto") < F.col("__need"), F.col("__upto"))), F.lit(0))).alias("__room")))
+        border = self._beside(slim, prefix).filter(F.col("__pre") == F.col("__cut"))
+        place = Window.partitionBy(*strata).orderBy("__hash", *key) if strata else Window.partitionBy(F.lit(1)).orderBy("__hash", *key)
+        ranked = checkpoint(border.select(*strata, "__room", self._mark().alias("__mark"), F.row_number().over(place).alias("__rn")))
+        last = F.max(F.when(F.col("__rn") <= F.col("__room"), F.col("__mark")))
+        ends = ranked.groupBy(*[F.col(s).alias(f"__s{s}") for s in strata]).agg(last.alias("__last"))
+        # Rows that repeat hash and key of the last one taken cannot be told apart; how many of them belong to the cut is counted.
+        tied = self._beside(ranked, ends).filter(F.col("__mark") == F.col("__last")).groupBy(*[F.col(s).alias(f"__t{s}") for s in strata]).agg(
+            F.count_if(F.col("__rn") <= F.col("__room")).alias("__few"), F.count(F.lit(1)).alias("__ties"))
+        cut = self._beside(prefix, ends, "__s")
+        self.cut = checkpoint(self._beside(cut, tied, "__s", "__t"))
+        self.ties = not self.cut.filter("__few < __ties").isEmpty()
+
+    def _placed(self, df: DataFrame) -> DataFrame:
+        return df.withColumn("__hash", key_hash(self.seed, self.key)).withColumn("__pre", hash_bucket(F.col("__hash")))
+
+    def _mark(self) -> Column:
+        return F.struct(F.col("__hash"), *[F.col(k).alias(f"k{i}") for i, k in enumerate(self.key)])
+
+    def _same(self, left: str = "", right: str = "__s") -> Column:
+        cond = F.lit(True)
+        for s in self.strata:
+            cond = cond & F.col(left + s).eqNullSafe(F.col(right + s))
+        return cond
+
+    def _beside(self, rows: DataFrame, per: DataFrame, left: str = "", right: str = "__s") -> DataFrame:
+        """Rows with what their stratum has in ``per``; without strata that is one row, taken as literals."""
+        if self.strata:
+            if left == right:
+                per = per.withColumnsRenamed({f"{right}{s}": f"__o{s}" for s in self.strata})
+                right = "__o"
+            return rows.join(per, self._same(left, right), "left").drop(*[f"{right}{s}" for s in self.strata])
+        one = per.first()
+        kinds = {f.name: f.dataType for f in per.schema.fields}
+        return rows.withColumns({c: _literal(one[c] if one else None, kinds[c]) for c in per.columns})
+
+    def marked(self, df: DataFrame, out: str = "__first") -> DataFrame:
+        """``df`` with ``out``: whether the row is among the first of its stratum."""
+        rows = self._beside(self._placed(df), self.cut)
+        mark, last = self._mark(), F.col("__last")
+        at = F.coalesce(mark < last if self.ties else mark <= last, F.lit(False))
+        rows = rows.withColumn(out, (F.col("__pre") < F.col("__cut")) | ((F.col("__pre") == F.col("__cut")) & at))
+        if self.ties:
+            tie = F.coalesce(mark == last, F.lit(False))
+            w = Window.partitionBy(*self.strata, tie).orderBy("__hash") if self.strata else Window.partitionBy(tie).orderBy("__hash")
+            ties = rows.filter(tie).withColumn(out, F.row_number().over(w) <= F.col("__few"))
+            rows = rows.filter(~tie).unionByName(ties)
+        return rows.select(*df.columns, out)
+
+
+def _literal(value, kind) -> Column:
+    if value is None:
+        return F.lit(None).cast(kind)
+    if hasattr(kind, "fields"):
+        return F.struct(*[_literal(v, f.dataType).alias(f.name) for v, f in zip(value, kind.fields)])
+    return F.lit(value).cast(kind)
+
+
 def first_by_hash(
     df: DataFrame, seed: int, key: Sequence[str], strata: Sequence[str], quota: Column | None,
     quotas: DataFrame | None = None, invert: bool = False,
 ) -> DataFrame:
     """Rows among the first ``quota`` of each stratum in hash order (or all the others)."""
-    names = df.columns
-    rows = df.withColumn("__hash", key_hash(seed, key))
-    rows = rows.withColumn("__pre", hash_bucket(F.col("__hash")))
-    per = rows.groupBy(*strata, "__pre").agg(F.count(F.lit(1)).alias("__k"))
-    w = Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(1))
-    upto = w.orderBy("__pre").rowsBetween(Window.unboundedPreceding, 0)
-    cum = per.withColumns({"__upto": F.sum("__k").over(upto), "__all": F.sum("__k").over(w)})
-    if quotas is not None:
-        cond = F.lit(True)
-        renamed = quotas.withColumnsRenamed({s: f"__q{s}" for s in strata})
-        for s in strata:
-            cond = cond & F.col(s).eqNullSafe(F.col(f"__q{s}"))
-        cum = cum.join(renamed, cond).drop(*[f"__q{s}" for s in strata])
-        quota = F.col("__quota")
-    cum = cum.withColumn("__need", quota)
-    # The cut: last prefix reached by the quota; prefixes before it are taken whole.
-    edge = F.when((F.col("__upto") >= F.col("__need")), F.col("__pre"))
-    cut = cum.groupBy(*[F.col(s).alias(f"__s{s}") for s in strata]).agg(
-        F.coalesce(F.min(edge), F.lit(16**PREFIX_DIGITS)).alias("__cut"),
-        F.max("__need").alias("__want"),
-        F.coalesce(F.max(F.when(F.col("__upto") < F.col("__need"), F.col("__upto"))), F.lit(0)).alias("__have"),
-    )
-    if strata:
-        cond = F.lit(True)
-        for s in strata:
-            cond = cond & F.col(s).eqNullSafe(F.col(f"__s{s}"))
-        rows = rows.join(cut, cond).drop(*[f"__s{s}" for s in strata])
-    else:
-        one = cut.select(F.struct("__cut", "__want", "__have").alias("c")).scalar()
-        rows = rows.withColumn("__c", one).select("*", "__c.*").drop("__c")
-    pre, at = F.col("__pre"), F.col("__cut")
-    border = Window.partitionBy(*strata, "__pre").orderBy("__hash", *key)
-    ranked = rows.filter(pre == at).withColumn("__rn", F.row_number().over(border))
-    room = F.col("__want") - F.col("__have")
-    if invert:
-        return rows.filter(pre > at).select(*names).unionByName(
-            ranked.filter(F.col("__rn") > room).select(*names))
-    return rows.filter(pre < at).select(*names).unionByName(
-        ranked.filter(F.col("__rn") <= room).select(*names))
+    rows = HashCut(df, seed, key, strata, quota, quotas).marked(df)
+    return rows.filter(~F.col("__first") if invert else F.col("__first")).select(*df.columns)
+
+
+def _both(df: DataFrame, cut: HashCut) -> tuple[DataFrame, DataFrame]:
+    rows = cut.marked(df)
+    return rows.filter(~F.col("__first")).select(*df.columns), rows.filter("__first").select(*df.columns)
 
 
 def sample_exact(df: DataFrame, n: int, seed: int, key: Sequence[str]) -> DataFrame:
@@ -161,10 +211,7 @@ def train_test(
         u = hash_fraction(seed, key)
         return df.filter(u >= test_size), df.filter(u < test_size)
     quota = F.ceil(F.col("__all") * F.lit(test_size))
-    return (
-        first_by_hash(df, seed, key, [], quota, invert=True),
-        first_by_hash(df, seed, key, [], quota),
-    )
+    return _both(df, HashCut(df, seed, key, [], quota))
 
 
 def stratified_train_test(
@@ -172,10 +219,7 @@ def stratified_train_test(
 ) -> tuple[DataFrame, DataFrame]:
     """Split with the same test share (rounded) in every class."""
     quota = F.round(F.col("__all") * F.lit(test_size)).cast("bigint")
-    return (
-        first_by_hash(df, seed, key, [label], quota, invert=True),
-        first_by_hash(df, seed, key, [label], quota),
-    )
+    return _both(df, HashCut(df, seed, key, [label], quota))
 
 
 def time_ordered_split(df: DataFrame, ts: str, cut) -> tuple[DataFrame, DataFrame]:

@@ -15,9 +15,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.conditions import planar_distance
+from ..session import checkpoint
 
 # Decides how a key is computed, never its result.
 HOT_ROWS = 1_000_000
+CHUNK_ROWS = 250_000      # rows a chunk of a hot key should have
+CHUNKS = 4096             # chunks of a key at most; a larger key has larger ones
+SAMPLED = 8               # sampled rows per border
+MEASURED = "measured"
 
 
 def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: str) -> Column:
@@ -27,6 +32,41 @@ def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], prefix: s
     return cond
 
 
+def _hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
+    """Keys with more than ``hot_rows`` rows and their counts, written once: from here on they are a small table."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > max(hot_rows, 0))
+    return checkpoint(counts.withColumnsRenamed({k: f"__h{k}" for k in keys}))
+
+
+def _with_borders(df: DataFrame, hot: DataFrame, keys: Sequence[str], order: Sequence[str], chunk_rows: int) -> DataFrame:
+    """Hot keys with the borders of their chunks: every ``SAMPLED``-th of a hash sample of their order values.
+
+    ``__coarse`` holds every 64th border, so that a row is placed by two short comparisons instead of one long one."""
+    pieces = F.least(F.ceil(F.col("__rows") / chunk_rows), F.lit(CHUNKS))
+    every = F.greatest(F.lit(1).cast("bigint"), F.floor(F.col("__rows") / (pieces * SAMPLED)))
+    slim = df.select(*[F.col(k).alias(f"__k{k}") for k in keys], F.col(order[0]).alias("__b"), F.xxhash64(*order).alias("__o"))
+    cond = F.lit(True)
+    for k in keys:
+        cond = cond & F.col(f"__k{k}").eqNullSafe(F.col(f"__h{k}"))
+    sample = slim.join(hot, cond).filter(F.col("__b").isNotNull() & (F.pmod(F.col("__o"), every) == 0))
+    names = [f"__h{k}" for k in keys]
+    lists = sample.groupBy(*names).agg(F.sort_array(F.collect_list("__b")).alias("__l"))
+    borders = F.array_distinct(F.filter("__l", lambda x, i: i % SAMPLED == SAMPLED - 1))
+    lists = lists.select(*[F.col(n).alias(f"__l{n}") for n in names], borders.alias("__borders"))
+    same = F.lit(True)
+    for n in names:
+        same = same & F.col(n).eqNullSafe(F.col(f"__l{n}"))
+    out = hot.join(lists, same, "left").drop(*[f"__l{n}" for n in names])
+    return checkpoint(out.withColumn("__borders", F.coalesce("__borders", F.slice("__borders", 1, 0)))
+                      .withColumn("__coarse", F.filter("__borders", lambda x, i: i % 64 == 0)))
+
+
+def _chunk_of(value: Column) -> Column:
+    """Number of borders not above the value; never decreases with it."""
+    start = F.greatest(F.size(F.filter("__coarse", lambda b: b <= value)) - 1, F.lit(0)) * 64
+    return start + F.size(F.filter(F.slice("__borders", start + 1, F.lit(64)), lambda b: b <= value))
+
+
 def with_previous(
     df: DataFrame,
     keys: Sequence[str],
@@ -35,15 +75,18 @@ def with_previous(
     lags: Mapping[str, str] | None = None,
     index: str | None = None,
     base: int = 0,
-    chunk: Column | None = None,
+    chunk: Column | str | None = None,
     hot_rows: int = HOT_ROWS,
+    chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """Add previous-row values (``{new: source}``) and/or the position within ``keys``.
 
-    ``order`` must end in a unique tie-break. ``chunk`` is an expression that never decreases along
-    ``order``; its NULLs, like those of the order, come first and are a chunk of their own. Without it
-    every key is handled by one window partition. ``hot_rows=0`` chunks every key, which is the right
-    choice for an empty or a handful of keys.
+    ``order`` must end in a unique tie-break. ``chunk=MEASURED`` cuts hot keys at borders taken from their own
+    rows, about ``chunk_rows`` apart (rows equal in the first order column stay together); an expression
+    that never decreases along ``order`` cuts them as the caller says. NULLs of the chunk, like those
+    of the order, come first and are a chunk of their own. Without ``chunk`` every key is handled by
+    one window partition. ``hot_rows=0`` chunks every key, which is the right choice for an empty
+    or a handful of keys.
     """
     lags = dict(lags or {})
     if chunk is None:
@@ -53,24 +96,30 @@ def with_previous(
             new[index] = F.row_number().over(w) - 1 + base
         return df.withColumns(new)
 
-    # NULL must sort first and stay apart from "not hot", so the chunk is a pair.
-    pair = F.struct(chunk.isNotNull().alias("known"), chunk.alias("at"))
+    measured = isinstance(chunk, str)
+    if measured and not keys:
+        raise ValueError("borders are measured per key; without keys give a chunk expression")
     inputs = {f"__v{i}": src for i, src in enumerate(lags.values())}
     rows = df.withColumns({v: F.col(src) for v, src in inputs.items()})
-    if hot_rows <= 0:
-        rows = rows.withColumns({"__hot": F.lit(True), "__chunk": pair})
+    if hot_rows <= 0 and not measured:
+        hot = None
+        rows = rows.withColumn("__hot", F.lit(True))
     else:
+        hot = _hot_keys(df, keys, hot_rows)
+        if hot.isEmpty():
+            return with_previous(df, keys, order, lags=lags, index=index, base=base)
+        if measured:
+            hot = _with_borders(df, hot, keys, order, chunk_rows)
         # Few keys as a rule, but their number grows with the rows: Spark decides by measured size how to join.
-        hot = (
-            df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-            .filter(F.col("__rows") > hot_rows)
-            .select(*[F.col(k).alias(f"__h{k}") for k in keys], F.lit(True).alias("__hot"))
-        )
-        rows = (
-            rows.join(hot, _null_safe(rows, hot, keys, "__h"), "left")
-            .withColumns({"__hot": F.coalesce("__hot", F.lit(False)), "__chunk": F.when(F.col("__hot"), pair)})
-            .drop(*[f"__h{k}" for k in keys])
-        )
+        rows = rows.join(hot.withColumn("__hot", F.lit(True)), _null_safe(rows, hot, keys, "__h"), "left")
+        rows = rows.withColumn("__hot", F.coalesce("__hot", F.lit(False)))
+    at = _chunk_of(F.col(order[0])) if measured else chunk
+    known = F.col(order[0]).isNotNull() if measured else chunk.isNotNull()
+    # NULL must sort first and stay apart from "not hot", so the chunk is a pair.
+    pair = F.struct(known.alias("known"), F.when(known, at).alias("at"))
+    rows = rows.withColumn("__chunk", F.when(F.col("__hot"), pair))
+    if hot is not None:
+        rows = rows.drop(*hot.columns)
 
     # One row per hot key and chunk: how many rows, and the values of the last one.
     last = F.max_by(F.struct(*[F.col(v) for v in inputs], F.lit(1).alias("__one")), F.struct(*order))

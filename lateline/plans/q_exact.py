@@ -12,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
+from ..learn import boosting as B
 from ..learn import experiment as X
 from ..learn import features as E
 from ..learn import models as M
@@ -48,6 +49,31 @@ def _(spark, d):
     return _told(M.EarlyStopped(booster=GBTRegressor(maxIter=1, maxDepth=1, seed=42), keyCols=KEY).fit(rows), rows)
 
 
+# Of the three ways to part known zeros, known ones and missing values in two, the one that explains most.
+@query("m02_missing_sides", """
+WITH e AS (SELECT event_id, CASE event_type WHEN 'view' THEN NULL WHEN 'error' THEN 1.0 ELSE 0.0 END AS x, value AS y FROM events),
+g AS (SELECT CAST(count(*) FILTER (x = 0) AS DOUBLE) AS n0, sum(y) FILTER (x = 0) AS s0, CAST(count(*) FILTER (x = 1) AS DOUBLE) AS n1, sum(y) FILTER (x = 1) AS s1,
+  CAST(count(*) FILTER (x IS NULL) AS DOUBLE) AS nm, sum(y) FILTER (x IS NULL) AS sm FROM e),
+w AS (SELECT (s0 + sm) * (s0 + sm) / (n0 + nm) + s1 * s1 / n1 AS l, s0 * s0 / n0 + (s1 + sm) * (s1 + sm) / (n1 + nm) AS r, (s0 + s1) * (s0 + s1) / (n0 + n1) + sm * sm / nm AS a FROM g),
+p AS (SELECT event_id, y, CASE WHEN l >= greatest(r, a) THEN coalesce(x = 1, false) WHEN r >= a THEN coalesce(x = 0, false) ELSE x IS NULL END AS side FROM e, w)
+SELECT event_id, round(avg(y) OVER (PARTITION BY side), 4) AS prediction FROM p""")
+def _(spark, d):
+    rows = table(spark, d, "events").select(
+        "event_id", F.when(F.col("event_type") == "error", 1.0).when(F.col("event_type") != "view", 0.0).alias("x"), F.col("value").alias("label"))
+    return _told(B.with_missing(["x"], GBTRegressor(maxIter=1, maxDepth=1, seed=42), flags=False).fit(rows), rows)
+
+
+@query("m02_missing_medians", """
+WITH e AS (SELECT event_id, CASE WHEN event_type = 'view' THEN NULL WHEN event_type = 'error' THEN CAST('nan' AS DOUBLE) ELSE CAST(user_id % 7 AS DOUBLE) END AS x FROM events),
+k AS (SELECT event_id, CASE WHEN NOT isnan(x) THEN x END AS x FROM e), m AS (SELECT quantile_disc(x, 0.5) AS m FROM k)
+SELECT event_id, coalesce(x, m) AS x, CAST(x IS NULL AS INTEGER) AS x_missing FROM k, m""")
+def _(spark, d):
+    rows = table(spark, d, "events").select(
+        "event_id", F.when(F.col("event_type") == "error", float("nan")).when(F.col("event_type") != "view", (F.col("user_id") % 7).cast("double")).alias("x"))
+    out = B.MissingSides(inputCols=["x"], how="median").fit(rows).transform(rows)
+    return out.select("event_id", "x", F.col("x_missing").cast("int").alias("x_missing"))
+
+
 @query("m03_single_split_forest", f"WITH {_E}, m AS (SELECT x, avg(y) AS p FROM e GROUP BY x) SELECT event_id, round(p, 4) AS prediction FROM e JOIN m USING (x)")
 def _(spark, d):
     rows = _rows(spark, d, "x")
@@ -75,6 +101,21 @@ def _(spark, d):
     return _told(M.boosted_classifier(maxIter=1, maxDepth=1, seed=42, parallelism=2).fit(rows), rows)
 
 
+# One round from equal weighted shares: each side's score moves by step * (share - 1/K) / (1/K * (1 - 1/K)).
+@query("m04_joint_round", f"""
+WITH {_E}, c AS (SELECT *, {_CLASS} AS k FROM e), n AS (SELECT k, count(*) AS n FROM c GROUP BY k), t AS (SELECT count(*) AS classes FROM n),
+s AS (SELECT x, k, count(*) / any_value(n) AS w FROM c JOIN n USING (k) GROUP BY x, k), a AS (SELECT x, sum(w) AS w FROM s GROUP BY x),
+f AS (SELECT a.x, n.k, exp(0.5 * (coalesce(s.w, 0) / a.w - 1.0 / classes) / (1.0 / classes * (1 - 1.0 / classes))) AS f
+  FROM a CROSS JOIN n CROSS JOIN t LEFT JOIN s ON s.x = a.x AND s.k = n.k),
+p AS (SELECT x, k, f / sum(f) OVER (PARTITION BY x) AS p FROM f),
+b AS (SELECT x, CAST(arg_max(k, p) AS DOUBLE) AS prediction, {", ".join(f"max(p) FILTER (k = {k}) AS p{k}" for k in range(4))} FROM p GROUP BY x)
+SELECT event_id, prediction, {", ".join(f"round(p{k}, 4) AS p{k}" for k in range(4))} FROM e JOIN b USING (x)""")
+def _(spark, d):
+    rows = _classes(spark, d)
+    model = B.BoostedClasses(keyCols=KEY, slice=0.0, rounds=1, depth=1, step=0.5).fit(rows)
+    return model.transform(rows).select("event_id", "prediction", *[_r(F.get("probability", F.lit(k)), 4).alias(f"p{k}") for k in range(4)])
+
+
 @query("m06_saturated_logistic", f"""
 WITH {_E}, m AS (SELECT x, avg(CASE WHEN y > 20 THEN 1.0 ELSE 0.0 END) AS p FROM e GROUP BY x) SELECT event_id, round(p, 3) AS p FROM e JOIN m USING (x)""")
 def _(spark, d):
@@ -253,3 +294,18 @@ def _(spark, d):
     fact = e.select("event_id", F.col("user_id").alias("stop_id"), F.lit("2025-07-01 12:15:00").cast("timestamp_ntz").alias("timestamp"))
     stations = e.select(F.col("user_id").alias("stop_id"), F.col("user_id").cast("string").alias("weather_station")).distinct()
     return add_weather(fact, stations, weather, columns=["temperature"]).select("event_id", "temperature")
+
+
+@query("m07_separable_perceptron", f"WITH {_E} SELECT event_id, x AS prediction FROM e")
+def _(spark, d):
+    rows = _rows(spark, d, "x").withColumn("label", F.col("x"))
+    return _told(M.StoppingPerceptron(keyCols=KEY, hidden=[3.0], block=5, most=60).fit(rows), rows)
+
+
+# A tree of depth 0 gives one class to all rows, one of depth 1 tells the two sides apart and wins the race.
+@query("m16_race_classes", _BALANCED)
+def _(spark, d):
+    rows = _classes(spark, d)
+    build = lambda s: M.forest_classifier(numTrees=1, maxDepth=s["depth"], bootstrap=False, featureSubsetStrategy="all", seed=42)
+    _, _, model, _ = X.race(rows, rows, build, {"depth": ("choice", [0, 1])}, key=KEY, trials=4, rungs=[0.5, 1.0], classify=True)
+    return _told(model, rows)

@@ -396,13 +396,9 @@ def _(spark, d):
 _DAYTRIP = "PARTITION BY CAST(ts AS DATE), user_id ORDER BY ts"
 
 
-def _minute(c="ts"):
-    return F.hour(c) * 60 + F.minute(c)
-
-
 def _daily(spark, d, **kw):
     e = _events(spark, d).select("event_id", "ts", "user_id", "value", P.service_date("ts").alias("service_date"))
-    return W.with_previous(e, ["service_date", "user_id"], ["ts"], lags={"prev": "value"}, index="pos", base=1, chunk=_minute(), **kw)
+    return W.with_previous(e, ["service_date", "user_id"], ["ts"], lags={"prev": "value"}, index="pos", base=1, chunk=W.MEASURED, **kw)
 
 
 @query("w01_lag_by_day_trip", f"SELECT event_id, lag(value) OVER ({_DAYTRIP}) AS prev FROM events")
@@ -413,9 +409,9 @@ def _(spark, d):
 @query("w01_lag_hot_keys", """
 SELECT event_id, lag(value) OVER w AS prev, CAST(row_number() OVER w AS INTEGER) AS pos FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)""")
 def _(spark, d):
-    # Five keys hold all rows, so every key is cut into chunks of one day.
+    # Five keys hold all rows, so every key is cut.
     return W.with_previous(_events(spark, d), ["event_type"], ["ts", "event_id"], lags={"prev": "value"}, index="pos", base=1,
-                           chunk=F.unix_date(F.to_date("ts")), hot_rows=500).select("event_id", "prev", "pos")
+                           chunk=W.MEASURED, hot_rows=500, chunk_rows=2000).select("event_id", "prev", "pos")
 
 
 @query("w01_class_profile", f"""
@@ -431,7 +427,7 @@ SELECT event_id, round(CAST(CAST(coalesce(lag(value) OVER ({_DAYTRIP}), (SELECT
 def _(spark, d):
     e = _events(spark, d).select("event_id", "ts", "user_id", "value", P.service_date("ts").alias("service_date"))
     default = Q.medians(e, [], ["value"]).first()[0]
-    out = W.previous_value_filled(e, ["service_date", "user_id"], ["ts"], "value", "prev", default, chunk=_minute())
+    out = W.previous_value_filled(e, ["service_date", "user_id"], ["ts"], "value", "prev", default, chunk=W.MEASURED)
     return out.select("event_id", _r(F.col("prev").cast("double"), 3).alias("prev"))
 
 
@@ -441,13 +437,13 @@ _POS_ORDER = ["l_shipdate", "l_linenumber", "l_partkey", "l_suppkey", "l_extende
 
 @query("w03_position_zero_based", f"SELECT l_orderkey, l_partkey, l_linenumber, l_extendedprice, CAST(row_number() OVER ({_POS}) - 1 AS INTEGER) AS pos FROM lineitem")
 def _(spark, d):
-    return W.position(table(spark, d, "lineitem"), ["l_orderkey"], _POS_ORDER, "pos", 0, chunk=F.unix_date(F.to_date("l_shipdate"))).select(
+    return W.position(table(spark, d, "lineitem"), ["l_orderkey"], _POS_ORDER, "pos", 0, chunk=W.MEASURED).select(
         "l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", "pos")
 
 
 @query("w04_position_one_based", f"SELECT l_orderkey, l_partkey, l_linenumber, l_extendedprice, CAST(row_number() OVER ({_POS}) AS SMALLINT) AS pos FROM lineitem")
 def _(spark, d):
-    out = W.position(table(spark, d, "lineitem"), ["l_orderkey"], _POS_ORDER, "pos", 1, chunk=F.unix_date(F.to_date("l_shipdate")))
+    out = W.position(table(spark, d, "lineitem"), ["l_orderkey"], _POS_ORDER, "pos", 1, chunk=W.MEASURED)
     return out.select("l_orderkey", "l_partkey", "l_linenumber", "l_extendedprice", F.col("pos").cast("smallint").alias("pos"))
 
 
@@ -457,7 +453,7 @@ FROM lineitem WINDOW w AS ({_POS})), g AS (SELECT *, sqrt(pow(x - px, 2) + pow(y
 SELECT l_orderkey, l_partkey, l_linenumber, round(dist, 4) AS dist FROM g WHERE dist > 0""")
 def _(spark, d):
     out = W.distance_to_previous(table(spark, d, "lineitem"), ["l_orderkey"], _POS_ORDER, "l_quantity", "l_extendedprice", "dist",
-                                 chunk=F.unix_date(F.to_date("l_shipdate")))
+                                 chunk=W.MEASURED)
     return out.filter("dist > 0").select("l_orderkey", "l_partkey", "l_linenumber", _r(F.col("dist"), 4).alias("dist"))
 
 
@@ -467,8 +463,8 @@ FROM events WINDOW w AS (PARTITION BY CAST(ts AS DATE) ORDER BY ts, event_id))
 SELECT event_id, CASE WHEN pu = user_id THEN round(sqrt(pow(x - px, 2) + pow(y - py, 2)), 6) END AS dist FROM l""")
 def _(spark, d):
     e = _events(spark, d).select("event_id", "ts", "user_id", "value", (F.col("event_id") % 97).cast("double").alias("y"), P.service_date("ts").alias("day"))
-    # A day is the hot key here, so it is always cut by minute.
-    out = W.distance_to_previous(e, ["day"], ["ts", "event_id"], "value", "y", "dist", same="user_id", chunk=_minute(), hot_rows=0)
+    # A day is the hot key here, so it is always cut.
+    out = W.distance_to_previous(e, ["day"], ["ts", "event_id"], "value", "y", "dist", same="user_id", chunk=W.MEASURED, hot_rows=0, chunk_rows=1000)
     return out.select("event_id", _r(F.col("dist")).alias("dist"))
 
 

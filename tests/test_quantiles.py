@@ -3,6 +3,8 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from lateline.operators import quantiles as Q
 
 
@@ -36,3 +38,39 @@ def test_edges(spark):
     df = spark.range(0, 1001).selectExpr("id as v")
     assert Q.exact_edges(df, "v", 4) == [0.0, 250.0, 500.0, 750.0, 1000.0]
     assert len(Q.quantile_edges(df.selectExpr("1 as v"), "v", 4)) == 1
+
+
+@pytest.mark.parametrize("shape", ["ties", "steep", "flat", "two"])
+def test_no_window_orders_more_than_the_limit(spark, monkeypatch, shape):
+    """Skewed values and a small limit: brackets are narrowed until what is ranked fits, and results stay exact."""
+    rng = np.random.default_rng(4)
+    n, limit = 20_000, 200
+    v = {"ties": np.where(rng.random(n) < 0.6, 5.0, rng.normal(5, 1e-3, n)), "steep": rng.normal(size=n) ** 15,
+         "flat": rng.random(n), "two": rng.integers(0, 2, n).astype(float)}[shape]
+    df = spark.createDataFrame([("a" if i % 4 else None, float(x)) for i, x in enumerate(v)], "k string, v double").repartition(4).cache()
+    sizes = []
+    ranked = Q._ranked
+
+    def watched(slim, brackets, groups, asked):
+        rows = slim.join(brackets, slim.__g0.eqNullSafe(brackets.__g0)) if groups else slim.crossJoin(brackets)
+        inner = [F.count_if((F.col("__c0") > F.col(f"__b{i}.low")) & (F.col("__c0") < F.col(f"__b{i}.high"))) for i in range(len(asked))]
+        by = [slim.__g0] if groups else []
+        sizes.extend(x for r in rows.groupBy(*by).agg(*[c.alias(f"s{i}") for i, c in enumerate(inner)]).collect() for x in r[len(by):])
+        return ranked(slim, brackets, groups, asked)
+
+    monkeypatch.setattr(Q, "_ranked", watched)
+    probs = [0.0, 0.001, 0.25, 0.5, 0.77, 0.9999, 1.0]
+    names = [f"q{i}" for i in range(7)]
+    for keys in ([], ["k"]):
+        for r in Q.exact_quantiles(df, keys, "v", probs, names, limit).collect():
+            own = v if not keys else v[[i for i in range(n) if (i % 4 > 0) == (r.k == "a")]]
+            assert np.allclose([r[x] for x in names], np.quantile(own, probs), rtol=1e-12)
+    assert sizes and max(sizes) <= limit
+
+
+def test_quantiles_read_the_rows_twice(spark, folder):
+    from test_plans import plan
+    spark.range(1000).selectExpr("id % 3 as k", "cast(id as double) as v").write.parquet(f"{folder}/t")
+    q = Q.medians(spark.read.parquet(f"{folder}/t"), ["k"], ["v"])
+    assert plan(q).count("FileScan parquet") == 1          # the first reading has been written as one row per group
+    assert sorted((r.k, r.v) for r in q.collect()) == [(0, 499.5), (1, 499.0), (2, 500.0)]

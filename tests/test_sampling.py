@@ -68,3 +68,27 @@ def test_fraction():
 def test_quota_above_stratum_size_keeps_all(spark):
     df = base(spark, 70)
     assert X.first_by_hash(df, 1, ["id"], ["c"], F.lit(100)).count() == 70
+
+
+def test_both_sides_read_the_rows_once_each(spark, folder):
+    from test_plans import plan
+    base(spark).write.parquet(f"{folder}/t")
+    df = spark.read.parquet(f"{folder}/t")
+    for train, test in (X.train_test(df, 42, ["id"], 0.2), X.stratified_train_test(df, "c", 42, ["id"], 0.25)):
+        both = train.unionByName(test)
+        assert plan(both).count("FileScan parquet") == 2 and both.count() == 3000
+
+
+def test_ties_at_the_cut_keep_the_size_exact(spark):
+    df = spark.range(600).select((F.col("id") / 100).cast("int").alias("id"), F.col("id").alias("row"))     # 100 rows per key
+    for n in (1, 50, 100, 150, 599):
+        got = [r.row for r in X.sample_exact(df, n, 3, ["id"]).collect()]
+        assert len(got) == n and len(set(got)) == n
+    train, test = X.train_test(df, 3, ["id"], 0.25)
+    assert train.count() == 450 and test.count() == 150 and train.intersect(test).count() == 0
+
+
+def test_null_strata_and_null_keys(spark):
+    df = spark.range(200).select(F.when(F.col("id") % 5 > 0, F.col("id")).alias("id"), F.when(F.col("id") % 3 > 0, F.lit("x")).alias("s"))
+    got = {r.s: r["count"] for r in X.first_by_hash(df, 1, ["id"], ["s"], F.lit(30)).groupBy("s").count().collect()}
+    assert got == {None: 30, "x": 30}

@@ -116,3 +116,33 @@ def test_station_csv_finds_unnamed_time_column(spark, folder):
         f.write("x;when;tre200d0\nABC;2025010105;1\n")
     r = weather.read_station_csv(spark, folder).first()
     assert r.station_id == "ABC" and r.timestamp == dt.datetime(2025, 1, 1, 5)
+
+
+def test_archive_data_source(spark, folder):
+    from lateline.sources import archives
+
+    with zipfile.ZipFile(f"{folder}/m1.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("d1.csv", "a;BPUIC\n1;8\n2;NA\n\n")
+        z.writestr("d2.csv", "BPUIC;a\r\n9;3\r\nshort\r\n")
+        z.writestr("d3.csv", "other\nx\n")
+        z.writestr("empty.csv", "")
+        z.writestr("readme.txt", "no")
+    with zipfile.ZipFile(f"{folder}/m2.zip", "w", zipfile.ZIP_STORED) as z:
+        z.writestr("d1.csv", "a;BPUIC\nbroken payload;7\n")
+        z.writestr("d9.csv", "a;BPUIC\n4;7\n")
+    data = open(f"{folder}/m2.zip", "rb").read()
+    with open(f"{folder}/m2.zip", "wb") as f:
+        f.write(data.replace(b"broken payload", b"broken PAYLOAD", 1))
+    with open(f"{folder}/m3.zip", "wb") as f:
+        f.write(b"not a zip")
+    rows, errors = archives.scan_archives(spark, folder, ["a;BPUIC", "BPUIC;a"])
+    assert sorted((r.a, r.BPUIC) for r in rows.filter("a is not null").collect()) == [("1", "8"), ("2", None), ("3", "9"), ("4", "7")]
+    assert rows.filter("a is null").count() == 1
+    bad = sorted((r.archive.rsplit("/", 1)[1], r.member, r.error) for r in errors.collect())
+    assert [b[:2] for b in bad] == [("m1.zip", "d3.csv"), ("m2.zip", "d1.csv"), ("m3.zip", None)] and "CRC" in bad[1][2] and bad[0][2] == "unknown header: other"
+    lines = archives.archive_lines(spark, folder)
+    assert lines.rdd.getNumPartitions() == 7          # six members and the broken archive
+    one = lines.filter("member = 'd9.csv'")
+    assert one.rdd.getNumPartitions() == 1 and [r.line for r in one.collect()] == ["4;7"]
+    picked, _ = archives.scan_archives(spark, folder, ["a;BPUIC", "BPUIC;a"], members=["d2.csv", "d9.csv"])
+    assert sorted(r.a or "" for r in picked.collect()) == ["", "3", "4"]

@@ -90,3 +90,34 @@ def test_chunk_stream_is_bounded(spark, folder):
     q = s.writeStream.foreachBatch(lambda b, i: seen.append(b.count())).option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sum(seen) == 40 and len(seen) == 4
+
+
+def test_state_store_over_batches_late_rows_and_new_periods(spark, folder):
+    from lateline.streaming.state import previous_value_state
+    kind = "id long, k string, day int, at long, v double"
+
+    def arrive(rows):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        s = spark.readStream.schema(kind).parquet(f"{folder}/in")
+        previous_value_state(s, ["k"], "day", ["at", "id"], "v", out=f"{folder}/out", checkpoint=f"{folder}/cp").awaitTermination()
+
+    arrive([(1, "a", 1, 10, 1.0), (2, "a", 1, 30, 2.0), (3, None, 1, 5, 3.0), (4, "b", 1, 9, None)])
+    arrive([(5, "a", 1, 20, 4.0), (6, "a", 1, 30, 5.0), (7, None, 1, 6, 6.0), (8, "b", 1, 10, 7.0)])       # 5 is late, 6 a tie
+    arrive([(9, "a", 2, 1, 8.0), (10, "a", 2, 2, 9.0)])                                                    # day 1 expires
+    arrive([(11, "a", 1, 40, 10.0), (12, "a", 2, 2, 11.0), (13, "c", 5, 1, 12.0)])                         # 11 is of an expired day
+    got = {r.id: r.previous for r in spark.read.parquet(f"{folder}/out").collect()}
+    assert got == {1: None, 2: 1.0, 3: None, 4: None, 5: None, 6: 2.0, 7: 3.0, 8: None, 9: None, 10: 8.0, 11: None, 12: 9.0, 13: None}
+    assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_state_store_forgets_idle_keys(spark, folder):
+    import time
+
+    from lateline.streaming.state import previous_value_state
+    kind = "id long, k string, day int, at long, v double"
+    for n, row in enumerate([(1, "a", 1, 10, 1.0), (2, "a", 1, 11, 2.0)]):
+        spark.createDataFrame([row], kind).write.mode("append").parquet(f"{folder}/in")
+        s = spark.readStream.schema(kind).parquet(f"{folder}/in")
+        previous_value_state(s, ["k"], "day", ["at", "id"], "v", out=f"{folder}/out", checkpoint=f"{folder}/cp", ttl_hours=1 / 3_600_000).awaitTermination()
+        time.sleep(0.1)
+    assert {r.id: r.previous for r in spark.read.parquet(f"{folder}/out").collect()} == {1: None, 2: None}

@@ -70,3 +70,34 @@ def test_null_order_is_the_first_chunk(spark, hot_rows):
     cut = W.with_previous(df, ["k"], ["t", "id"], chunk=F.floor(F.col("t") / 7).cast("int"), hot_rows=hot_rows, **kw)
     key = lambda d: sorted((tuple(r) for r in d.collect()), key=lambda r: r[0])
     assert key(plain) == key(cut)
+
+
+@pytest.mark.parametrize("hot_rows,chunk_rows", [(0, 30), (50, 100), (10**9, 5)])
+@pytest.mark.parametrize("order", ["t", "s", "at"])
+def test_measured_chunks_equal_plain_window(spark, hot_rows, chunk_rows, order):
+    df = skewed(spark, 3000).withColumn("t", F.when(F.col("t") % 9 != 0, F.col("t")))
+    df = df.withColumn("s", F.concat(F.lit("stop-number-"), F.col("t"))).withColumn("at", F.timestamp_millis(F.col("t") * 1000))
+    kw = dict(lags={"pv": "v", "px": "x"}, index="pos", base=1)
+    plain = W.with_previous(df, ["k"], [order, "id"], **kw)
+    cut = W.with_previous(df, ["k"], [order, "id"], chunk=W.MEASURED, hot_rows=hot_rows, chunk_rows=chunk_rows, **kw)
+    key = lambda d: sorted((tuple(r) for r in d.collect()), key=lambda r: r[0])
+    assert cut.columns == plain.columns and key(plain) == key(cut)
+
+
+def test_chunks_of_a_hot_key_have_about_the_size_asked_for(spark):
+    # Nine tenths of the rows lie in a hundredth of the axis.
+    df = spark.range(40_000).select(F.lit("one").alias("k"), F.when(F.col("id") % 10 > 0, F.col("id")).otherwise(F.col("id") * 100_000).alias("t"))
+    hot = W._with_borders(df, W._hot_keys(df, ["k"], 1000), ["k"], ["t"], 1000)
+    sizes = [r["count"] for r in df.join(hot, df.k == hot.__hk).groupBy(W._chunk_of(F.col("t"))).count().collect()]
+    assert sum(sizes) == 40_000 and 25 <= len(sizes) <= 60 and max(sizes) < 4000
+
+
+def test_two_scans_with_and_one_without_a_hot_key(spark, folder):
+    from test_plans import plan
+    spark.range(5000).select((F.col("id") % 2).alias("k"), F.col("id").alias("t")).write.parquet(f"{folder}/t")
+    df = spark.read.parquet(f"{folder}/t")
+    scans = lambda d: plan(d).count("FileScan parquet")
+    none = W.with_previous(df, ["k"], ["t"], lags={"p": "t"}, index="i", chunk=W.MEASURED)
+    some = W.with_previous(df, ["k"], ["t"], lags={"p": "t"}, index="i", chunk=W.MEASURED, hot_rows=100, chunk_rows=100)
+    assert scans(none) == 1 and plan(none).count("Exchange") == 1 and scans(some) == 2
+    assert sorted(map(tuple, none.collect())) == sorted(map(tuple, some.collect()))

@@ -170,9 +170,11 @@ def add_weather(
 ) -> DataFrame:
     """Hourly weather of the stop's station at the row's UTC hour; ``required`` drops misses.
 
-    Of repeated rows for a station and hour the largest values count, so the fact never grows.
+    Of repeated rows for a station and hour one whole row counts, the greatest by its columns in order (NULL lowest), so
+    the fact never grows and no values of two rows are mixed.
     """
-    weather = weather.groupBy("station_id", "timestamp").agg(*[F.max(c).alias(c) for c in columns])
+    one = F.max(F.struct(*columns)).alias("__row")
+    weather = weather.groupBy("station_id", "timestamp").agg(one).select("station_id", "timestamp", "__row.*")
     keyed = lookup(fact, stop_station, {"stop_id": "stop_id"}, {"weather_station": "__station"})
     keyed = keyed.withColumn("__hour", utc_hour(ts, zone))
     out = lookup(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,10 +15,10 @@ from ..functions.timeparts import (
 from ..operators.joins import (
     add_holidays, add_weather, last_per_key, lookup, nearest_road, nearest_station,
 )
-from ..operators.rows import after_first_stop, drop_flagged, keep_columns, only_product
-from ..operators.windows import with_previous
+from ..operators.rows import after_first_stop, conform, drop_flagged, keep_columns, only_product
+from ..operators.windows import MEASURED, with_previous
 from ..functions.conditions import peak_by_half_day, planar_distance
-from ..schema import ACTUALS_COLUMNS
+from ..schema import ACTUALS_COLUMNS, FULL, TRAFFIC_COUNTS
 
 
 def clean(raw: DataFrame, product: str = "bus", drop=("CANCELLED", "PASS_THROUGH", "ADDITIONAL_TRIP")) -> DataFrame:
@@ -57,15 +59,17 @@ def base_features(df: DataFrame) -> DataFrame:
     )
 
 
-def stop_dim(stops: DataFrame) -> DataFrame:
-    """Typed stops, one per id (last row wins), with WGS84 coordinates."""
+def stop_dim(stops: DataFrame, order: Sequence[str] = ("number", "lv95east", "lv95north")) -> DataFrame:
+    """Typed stops, one per id, with WGS84 coordinates. The last row in ``order`` wins: name the source's own row numbers
+    where it has them, since rows of a table have no order of their own."""
     lat, lon = swiss_grid_to_wgs84("lv95east", "lv95north")
     typed = stops.select(
         safe_id("number").alias("stop_id"), F.col("lv95east").alias("east"), F.col("lv95north").alias("north"),
         F.col("cantonabbreviation").alias("canton"), F.col("municipalityname").alias("municipality"),
-        lat.alias("lat"), lon.alias("lon"), F.col("number"),
+        lat.alias("lat"), lon.alias("lon"), *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)],
     ).filter(F.col("stop_id").isNotNull())
-    return last_per_key(typed, ["stop_id"], ["number", "east", "north"]).drop("number")
+    places = [f"__o{i}" for i in range(len(order))]
+    return last_per_key(typed, ["stop_id"], places).drop(*places)
 
 
 def with_trip(df: DataFrame, stops: DataFrame, hot_rows: int | None = None) -> DataFrame:
@@ -82,7 +86,7 @@ def with_trip(df: DataFrame, stops: DataFrame, hot_rows: int | None = None) -> D
         keyed, ["service_date", "trip_id"], ["timestamp", "dep_order", "stop_id", "__id"],
         lags={"prev_stop_delay": "arrival_delay_s", "__pe": "__e", "__pn": "__n"},
         index="trip_stop_index", base=0,
-        chunk=F.hour("timestamp") * 60 + F.minute("timestamp"), **kw,
+        chunk=MEASURED, **kw,
     )
     out = lagged.withColumn("dist_to_prev_stop", planar_distance("__pe", "__pn", "__e", "__n").cast("float"))
     out = out.withColumn("trip_stop_index", F.col("trip_stop_index").cast("short"))
@@ -113,10 +117,15 @@ def build_features(
         out = add_holidays(out, dim.select("stop_id", "canton"), holidays, day=F.col("operating_day"))
     if roads is not None:
         t = traffic_dim(dim, roads)
-        take = {c: c for c in ("traffic_dtv", "traffic_heavy_share", "traffic_peak_ratio", "traffic_msp", "traffic_asp")}
+        take = {c: c for c in ("traffic_dtv", "traffic_heavy_share", "traffic_peak_ratio", "traffic_msp", "traffic_asp", *TRAFFIC_COUNTS)}
         out = lookup(out, t, {"stop_id": "stop_id"}, take, how="inner")
         out = out.withColumn("traffic_peak", peak_by_half_day(F.hour("timestamp"), "traffic_msp", "traffic_asp"))
         out = out.drop("traffic_msp", "traffic_asp")
     if weather is not None and stations is not None:
         out = add_weather(out, nearest_station(dim, stations), weather, required=True)
     return out
+
+
+def build_full_table(raw, stops, holidays, roads, stations, weather) -> DataFrame:
+    """The whole build in its declared columns and types."""
+    return conform(build_features(raw, stops, holidays, roads, stations, weather), FULL)

@@ -296,6 +296,21 @@ def _(spark, d):
     return add_weather(fact, stations, weather, columns=["temperature"]).select("event_id", "temperature")
 
 
+@query("j05_whole_weather_rows", """
+WITH w AS (SELECT user_id AS station, value AS t, -value AS p, event_id % 5 AS h FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY station ORDER BY h DESC, t DESC) AS rn FROM w)
+SELECT event_id, h AS humidity, t AS temperature, p AS pressure FROM events JOIN o ON station = user_id WHERE rn = 1""")
+def _(spark, d):
+    from ..operators.joins import add_weather
+    e = table(spark, d, "events")
+    at = F.lit("2025-07-01 10:00:00").cast("timestamp_ntz")
+    weather = e.select(F.col("user_id").cast("string").alias("station_id"), at.alias("timestamp"), (F.col("event_id") % 5).alias("humidity"),
+                       F.col("value").alias("temperature"), (-F.col("value")).alias("pressure"))
+    fact = e.select("event_id", F.col("user_id").alias("stop_id"), F.lit("2025-07-01 12:15:00").cast("timestamp_ntz").alias("timestamp"))
+    stations = e.select(F.col("user_id").alias("stop_id"), F.col("user_id").cast("string").alias("weather_station")).distinct()
+    return add_weather(fact, stations, weather, columns=["humidity", "temperature", "pressure"]).select("event_id", "humidity", "temperature", "pressure")
+
+
 @query("m07_separable_perceptron", f"WITH {_E} SELECT event_id, x AS prediction FROM e")
 def _(spark, d):
     rows = _rows(spark, d, "x").withColumn("label", F.col("x"))

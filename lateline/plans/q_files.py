@@ -40,21 +40,22 @@ def _(spark, d):
     return _plain(actuals.read_actuals(spark, [a, b]))
 
 
-# A day's events of a kind are an archive with a member per hour; a file that is no archive and a member with another header are errors.
+# Events of a kind are an archive with a member per day; a file that is no archive and members with another header are errors.
 @query("s02_archives", """
-WITH e AS (SELECT event_type || '_' || strftime(ts, '%d') || '.zip' AS archive, 'h' || hour(ts) || '.csv' AS member, event_id, user_id FROM events)
-SELECT archive, member, CAST(event_id AS VARCHAR) AS event_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE CAST(user_id AS VARCHAR) END AS bpuic, NULL AS error FROM e WHERE member <> 'h7.csv'
-UNION ALL SELECT DISTINCT archive, member, NULL, NULL, 'unknown header: other' FROM e WHERE member = 'h7.csv'
+WITH e AS (SELECT event_type || '.zip' AS archive, 'd' || day(ts) || '.csv' AS member, event_id, user_id FROM events)
+SELECT archive, member, CAST(event_id AS VARCHAR) AS event_id, CASE WHEN event_id % 11 = 0 THEN NULL ELSE CAST(user_id AS VARCHAR) END AS bpuic, NULL AS error FROM e WHERE member <> 'd7.csv'
+UNION ALL SELECT DISTINCT archive, member, NULL, NULL, 'unknown header: other' FROM e WHERE member = 'd7.csv'
 UNION ALL SELECT 'broken.zip', NULL, NULL, NULL, 'File is not a zip file'""")
 def _(spark, d):
     at = scratch(spark)
-    hour = F.hour("ts")
+    day, user = F.dayofmonth("ts"), F.col("user_id").cast("string")
+    missing = F.col("event_id") % 11 == 0
     e = table(spark, d, "events").select(
-        F.concat("event_type", F.lit("_"), F.date_format("ts", "dd"), F.lit(".zip")).alias("archive"), F.concat(F.lit("h"), hour, F.lit(".csv")).alias("member"),
-        F.col("event_id").alias("place"), F.when(hour % 2 == 0, F.concat_ws(";", "event_id", F.when(F.col("event_id") % 11 == 0, "NA").otherwise(F.col("user_id"))))
-        .otherwise(F.concat_ws(";", F.when(F.col("event_id") % 11 == 0, "").otherwise(F.col("user_id")), "event_id")).alias("line"))
+        F.concat("event_type", F.lit(".zip")).alias("archive"), F.concat(F.lit("d"), day, F.lit(".csv")).alias("member"), F.col("event_id").alias("place"),
+        F.when(day % 2 == 0, F.concat_ws(";", "event_id", F.when(missing, "NA").otherwise(user)))
+        .otherwise(F.concat_ws(";", F.when(missing, "").otherwise(user), "event_id")).alias("line"))
     even, odd = "event_id;BPUIC", "BPUIC;event_id"
-    head = F.when(F.col("member") == "h7.csv", "other").when(F.expr("cast(regexp_extract(member, '[0-9]+', 0) as int) % 2 = 0"), even).otherwise(odd)
+    head = F.when(F.col("member") == "d7.csv", "other").when(F.expr("cast(regexp_extract(member, '[0-9]+', 0) as int) % 2 = 0"), even).otherwise(odd)
     heads = e.select("archive", "member").distinct().select("archive", "member", F.lit(-1).cast("bigint").alias("place"), head.alias("line"))
     archives.write_archives(e.unionByName(heads), f"{at}/in", "archive", "member").write.parquet(f"{at}/names")
     archives.put_bytes(f"{at}/in/broken.zip", b"no archive")

@@ -79,7 +79,7 @@ _BATCH = 50_000
 
 def _open(path: str) -> zipfile.ZipFile:
     """Archive opened by random access, so neither it nor a member is held in memory."""
-    if path.startswith("file:"):
+    if path.startswith("file:") or "://" not in path:
         return zipfile.ZipFile(re.sub("^file:/*", "/", path))
     from pyarrow import fs
 

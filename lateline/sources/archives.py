@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
-from ..operators.rows import rename_known
 from ..schema import RAW_HEADERS
 from .actuals import _open, null_cells
 
@@ -97,7 +96,7 @@ class ZippedReader(DataSourceReader):
                 with _open(archive) as z:
                     names = sorted(n for n in z.namelist() if n.endswith(".csv"))
                 out += [Member(archive, n) for n in names if n in self.wanted.get("member", {n})]
-            except (zipfile.BadZipFile, OSError) as e:
+            except (zipfile.BadZipFile, OSError, ValueError) as e:      # a store's file may refuse the places a ZIP is looked for at
                 if "member" not in self.wanted:
                     out.append(Member(archive, None, str(e)))
         return out or [Member("", None)]
@@ -148,20 +147,21 @@ def scan_archives(spark: SparkSession, path: str, headers: Sequence[str], *, mem
     lines = archive_lines(spark, path)
     if members is not None:
         lines = lines.filter(F.col("member").isin(*members))
-    known = F.col("header").isin(*headers)
-    strange = lines.filter(F.col("error").isNull() & ~known & (F.col("line_no") == 1)).select(
-        "archive", "member", F.concat(F.lit("unknown header: "), "header").alias("error"))
-    errors = lines.filter(F.col("error").isNotNull()).select("archive", "member", "error").unionByName(strange)
-    parts = []
-    for h in headers:
+    broken, strange = F.col("error").isNotNull(), ~F.col("header").isin(*headers)
+    told = F.when(broken, F.col("error")).otherwise(F.concat(F.lit("unknown header: "), "header"))
+    errors = lines.filter(broken | (strange & (F.col("line_no") == 1))).select("archive", "member", told.alias("error"))
+    # One struct per layout, so that all of them come from one reading; a cell is taken from the line's own.
+    parsed, names = {}, []
+    for i, h in enumerate(headers):
         cells = [c.strip().strip('"') for c in h.split(";")]
+        cells = [RAW_HEADERS.get(c, c) for c in cells]
+        names += [c for c in cells if c not in names]
         row = F.from_csv("line", ", ".join(f"`{c}` string" for c in cells), {"sep": ";", "mode": "PERMISSIVE"})
-        good = lines.filter(F.col("error").isNull() & (F.col("header") == h) & (F.col("line") != ""))
-        parts.append(rename_known(good.select("archive", "member", row.alias("r")).select("archive", "member", "r.*"), RAW_HEADERS))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p, allowMissingColumns=True)
-    return null_cells(out), errors
+        parsed[f"__l{i}"] = (F.when(F.col("header") == h, row), cells)
+    good = lines.filter(~broken & ~strange & (F.col("line") != "")).withColumns({k: c for k, (c, _) in parsed.items()})
+    rows = good.select("archive", "member", *[
+        F.coalesce(*[F.col(f"{k}.`{n}`") for k, (_, cells) in parsed.items() if n in cells]).alias(n) for n in names])
+    return null_cells(rows), errors
 
 
 def write_archives(df: DataFrame, folder: str, archive: str, member: str) -> DataFrame:

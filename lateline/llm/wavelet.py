@@ -40,13 +40,16 @@ def encode_shard(ids: np.ndarray, names: list[int | None], sizes: list[int]) ->
            np.packbits(np.array([x is None for x in names], bool)).tobytes(), np.array(sizes, "<u8").tobytes()]
     seq = ids.astype(np.uint32 if bits > 16 else np.uint16)
     for bit in range(bits - 1, -1, -1):
-        ones = (seq >> bit & 1).astype(bool)
+        ones = (seq & seq.dtype.type(1 << bit)) != 0
         packed = np.packbits(ones)
         full = np.zeros(-(-len(packed) // BLOCK) * BLOCK, np.uint8)
         full[:len(packed)] = packed
-        per = _ONES[full].reshape(-1, BLOCK).sum(1, dtype=np.uint32)
+        per = np.bitwise_count(full.view(np.uint64)).reshape(-1, BLOCK // 8).sum(1, dtype=np.uint32)
         out += [np.concatenate([[0], np.cumsum(per)[:-1]]).astype("<u4").tobytes() if len(per) else b"", full.tobytes()]
-        seq = np.concatenate([seq[~ones], seq[ones]])
+        then, zeros = np.empty_like(seq), len(seq) - int(per.sum())
+        np.compress(~ones, seq, out=then[:zeros])
+        np.compress(ones, seq, out=then[zeros:])
+        seq = then
     return b"".join(out)
 
 
@@ -143,8 +146,8 @@ class WaveletMatrix:
             _, plane, zeros = self.planes[depth]
             ones = np.unpackbits(plane, count=self.n).view(bool)
             back = np.empty_like(seq)
-            back[~ones] = seq[:zeros]
-            back[ones] = seq[zeros:] | seq.dtype.type(1 << (self.bits - 1 - depth))
+            back[np.flatnonzero(~ones)] = seq[:zeros]
+            back[np.flatnonzero(ones)] = seq[zeros:] | seq.dtype.type(1 << (self.bits - 1 - depth))
             seq = back
         return seq.astype("<u4")
 

@@ -48,3 +48,19 @@ def test_empty_table(spark, folder):
     df = spark.createDataFrame([], "doc_id long, text string")
     made = written(wavelet.write(df, f"{folder}/none", PATH), "shards")
     assert wavelet.documents(spark, f"{folder}/none", made).collect() == []
+
+
+def test_files_answer_rank_and_select(spark, folder):
+    """The end id's occurrences in the files are the documents' ends."""
+    import glob
+
+    df = spark.createDataFrame([(i, "some words and more " * (i % 9)) for i in range(60)], "doc_id long, text string").repartition(3)
+    made = written(wavelet.write(df, f"file://{folder}/out", PATH, shard=400), "shards")
+    names = []
+    for file in glob.glob(f"{folder}/out/*.wave"):
+        w = wavelet.WaveletMatrix(open(file, "rb").read())
+        ends = np.cumsum(w.sizes) - 1
+        assert w.count(2) == len(w.names) and w.occurrences(2) == ends.tolist() and [w.access(int(e)) for e in ends] == [2] * len(ends)
+        assert w.rank(2, int(ends[-1])) == len(ends) - 1 and w.select(2, len(ends) - 1) == ends[-1]
+        names += w.names
+    assert sorted(names) == list(range(60)) and made.count() > 1

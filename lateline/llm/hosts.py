@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
+from collections import Counter
 from urllib.parse import urlsplit
 
 import pandas as pd
@@ -35,17 +37,29 @@ CLOSED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"},
 NOISE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|banner|sponsor\w*|promo\w*|sidebar\w*|side|menu\w*|nav\w*|breadcrumb\w*|footer\w*|header\w*|"
                    r"masthead|cookie\w*|consent|notice\w*|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|comment\w*|disqus\w*|respond|"
                    r"repl(?:y|ies)|share\w*|sharing|social\w*|related\w*|recommend\w*|widget\w*|toolbar|pagination|pager|tags?|skip\w*)(?=$|[\s_-])", re.I)
+# Beginnings of names that tell what an element has or lacks, not what it is.
+_HAS = re.compile(r"(?:^|\s)(?:has|no|with|without|hide|show|is)[-_]\S*", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _DIGITS = re.compile(r"\d+")
 
 
+DEEP = 64                 # levels whose names a path spells out; below them it is a running hash, so its length is bounded
+
+
+def _path(up: str, name: str) -> str:
+    if up.count("/") < DEEP:
+        return f"{up}/{name}"
+    head, _, tail = up.partition("#")
+    return f"{head}#{zlib.crc32(name.encode('utf-8', 'replace'), int(tail or '0', 16)):08x}{len(name) % 16:x}"
+
+
 class Node:
-    __slots__ = ("tag", "path", "out", "parent", "size", "linked", "paras")
+    __slots__ = ("tag", "path", "out", "parent", "size", "linked")
 
     def __init__(self, tag, path, out, parent):
         self.tag, self.path, self.out, self.parent = tag, path, out, parent
-        self.size = self.linked = self.paras = 0
+        self.size = self.linked = 0
 
 
 def _name(tag: str, attrs: str) -> tuple[str, bool]:
@@ -54,7 +68,7 @@ def _name(tag: str, attrs: str) -> tuple[str, bool]:
         return tag, False
     told = {k.lower(): (a or b or c or "") for k, a, b, c in _ATTR.findall(attrs)}
     names = f"{told.get('class', '')} {told.get('id', '')}"
-    noise = bool(NOISE.search(names)) or told.get("role", "").lower() in ("navigation", "banner", "contentinfo", "complementary", "search") or "hidden" in told
+    noise = bool(NOISE.search(_HAS.sub(" ", names))) or told.get("role", "").lower() in ("navigation", "banner", "contentinfo", "complementary", "search") or "hidden" in told
     plain = sorted({x for x in _DIGITS.sub("", told.get("class", "")).split() if x})
     return ".".join([tag, *plain]), noise
 
@@ -63,7 +77,7 @@ def parse(page: str):
     """Pieces of text outside boilerplate, as (node, text, breaks before), in page order, and all container nodes."""
     root = Node("", "", False, None)
     node, pieces, containers, at, fresh = root, [], [root], 0, True
-    links = 0
+    links, nodes, opened = 0, [], Counter()
 
     def put(raw: str):
         nonlocal fresh
@@ -71,13 +85,15 @@ def parse(page: str):
             pieces.append((node, raw, fresh))
             fresh = False
             n = len(raw) - raw.count(" ")
-            if raw.isspace():
-                return
-            up = node
-            while up is not None:
-                up.size += n
-                up.linked += n if links else 0
-                up = up.parent
+            if not raw.isspace():
+                node.size += n
+                node.linked += n if links else 0
+
+    def leave():
+        nonlocal node, links
+        links -= node.tag == "a"
+        opened[node.tag] -= 1
+        node = node.parent
 
     while True:
         m = _TOKEN.search(page, at)
@@ -92,6 +108,8 @@ def parse(page: str):
         if tag in BLOCKS:
             fresh = True
         if m.group(1):
+            if not opened[tag]:
+                continue
             up = node
             while up is not root and up.tag != tag:
                 up = up.parent
@@ -101,8 +119,7 @@ def parse(page: str):
             if tag not in BLOCKS and node is not up and _crosses(node, up):
                 continue
             while node is not up.parent:
-                links -= node.tag == "a"
-                node = node.parent
+                leave()
             continue
         if tag in RAW:
             if not m.group(3).rstrip().endswith("/"):
@@ -119,21 +136,21 @@ def parse(page: str):
         while up is not root and up.tag not in CONTAINERS:
             if up.tag in CLOSED_BY and tag in CLOSED_BY[up.tag]:
                 while node is not up.parent:
-                    links -= node.tag == "a"
-                    node = node.parent
+                    leave()
                 break
             up = up.parent
         name, noise = _name(tag, m.group(3))
-        node = Node(tag, f"{node.path}/{name}" if tag in BLOCKS or tag in OUTSIDE else node.path,
+        node = Node(tag, _path(node.path, name) if tag in BLOCKS or tag in OUTSIDE else node.path,
                     node.out or noise and tag not in ("html", "body", "article", "main") or tag in OUTSIDE, node)
         links += tag == "a"
+        opened[tag] += 1
+        nodes.append(node)
         if tag in CONTAINERS and not node.out:
             containers.append(node)
-        if tag == "p" and not node.out:
-            up = node.parent
-            while up is not None:
-                up.paras += 1
-                up = up.parent
+    # What elements hold themselves becomes what they hold in all: later ones lie in earlier ones.
+    for n in reversed(nodes):
+        n.parent.size += n.size
+        n.parent.linked += n.linked
     return pieces, containers
 
 
@@ -145,21 +162,30 @@ def _crosses(node: Node, up: Node) -> bool:
     return False
 
 
-def text_of(pieces, keep: Node) -> str:
-    """Blocks below ``keep``, white space collapsed, joined by two line breaks."""
-    blocks, now = [], []
+def texts_of(pieces, keep: list[Node]) -> list[str]:
+    """Text of each of the elements ``keep``, none of which lies in another: blocks, white space collapsed, joined by two line
+    breaks. One walk over the pieces; an element's owner is looked up once."""
+    owner: dict[Node, Node | None] = {k: k for k in keep}
+    blocks: dict[Node, list[list[str]]] = {k: [[]] for k in keep}
+    current = None
     for node, raw, fresh in pieces:
-        if fresh and now:
-            blocks.append(now)
-            now = []
-        up = node
-        while up is not None and up is not keep:
+        if fresh and current is not None and blocks[current][-1]:
+            blocks[current].append([])
+        walk, up = [], node
+        while up is not None and up not in owner:
+            walk.append(up)
             up = up.parent
-        if up is not None:
-            now.append(raw)
-    blocks.append(now)
-    told = (" ".join(entities.unescape("".join(b)).split()) for b in blocks)
-    return "\n\n".join(t for t in told if t)
+        own = owner[up] if up is not None else None
+        owner.update(dict.fromkeys(walk, own))
+        if own is not None:
+            current = own
+            blocks[own][-1].append(raw)
+    told = [(" ".join(entities.unescape("".join(b)).split()) for b in blocks[k]) for k in keep]
+    return ["\n\n".join(t for t in parts if t) for parts in told]
+
+
+def text_of(pieces, keep: Node) -> str:
+    return texts_of(pieces, [keep])[0]
 
 
 def scores(containers) -> list[tuple[Node, float]]:
@@ -201,7 +227,7 @@ def _extract(batches):
                 out.append("")
                 continue
             pieces, containers = parse(page)
-            told = [t for t in (text_of(pieces, n) for n in containers if path is not None and n.path == path) if t]
+            told = [t for t in texts_of(pieces, [n for n in containers if path is not None and n.path == path]) if t]
             if not told:
                 ranked = sorted(scores(containers), key=lambda x: -x[1])
                 told = [text_of(pieces, ranked[0][0] if ranked else containers[0])]

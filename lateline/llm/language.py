@@ -26,6 +26,7 @@ from .common import LOWER
 
 BINS = 1 << 13
 SAMPLE = 20_000           # labelled rows to learn from
+FLOOR = 200               # rows of each language in the sample at least, if it has them
 MOST = 512                # languages
 LEAD = 0.1                # a smaller lead of the best score over the second is ambiguous
 _LETTER = re.compile(r"[^\W\d_]")
@@ -81,12 +82,24 @@ class Codes:
         return self.names[best], float(p[best]), bool(p[best] - second < LEAD)
 
 
+def _taken(sizes: dict[str, int], lang, id, sample: int):
+    """Condition on a row: whether it is in the sample, by a hash of its id and its language's share."""
+    n = sum(sizes.values())
+    if n <= sample:
+        return F.lit(True)
+    cuts = {name: int((1 << 40) * min(1.0, max(sample / n, FLOOR / size))) for name, size in sizes.items()}
+    table = F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair])
+    return F.pmod(F.xxhash64(id), F.lit(1 << 40)) < F.element_at(table, lang)
+
+
 def learn(labelled: DataFrame, *, id: str = "doc_id", text: str = "text", lang: str = "lang", sample: int = SAMPLE) -> Codes | None:
-    """Codes from at most about ``sample`` labelled rows."""
+    """Codes from about ``sample`` labelled rows, in the languages' own shares but at least about ``FLOOR`` of each (all, if
+    fewer), so a language that is learnt at a small size is learnt at every size."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    n = rows.count()
-    if n > sample:
-        rows = rows.where(F.pmod(F.xxhash64(F.col(id)), F.lit(1 << 20)) < int((1 << 20) * sample / n))
+    sizes = rows.groupBy(F.col(lang).cast("string").alias("lang")).count().limit(MOST + 1).collect()
+    if len(sizes) > MOST:
+        raise ValueError(f"more than {MOST} languages")
+    rows = rows.where(_taken({r["lang"]: r["count"] for r in sizes}, F.col(lang).cast("string"), F.col(id), sample))
 
     def count(batches):
         total: dict[str, np.ndarray] = {}
@@ -101,8 +114,6 @@ def learn(labelled: DataFrame, *, id: str = "doc_id", text: str = "text", lang:
 
     counts = (rows.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
               .mapInPandas(count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
-    if counts.select("lang").distinct().count() > MOST:
-        raise ValueError(f"more than {MOST} languages")
     got = counts.toPandas()                               # at most MOST * BINS rows
     if not len(got):
         return None

@@ -173,13 +173,15 @@ def pseudonymise(docs: DataFrame, *, key: str, text: str = "text", count: str |
     # Every shape has a digit, an @ or a sign of assignment; other texts are not searched.
     todo = F.expr(f"{t} rlike '[0-9@=:]'")
     found = F.when(todo, F.expr(parts))
-    new = F.expr(f"transform(__parts, (p, i) -> if(i % 2 = 0, p, {case}))")
-    out = docs.withColumn("__parts", found).withColumn("__new", new)
-    whole = F.expr(f"replace(array_join(__new, ''), '{ESCAPE}', '{OWN}')")
-    columns = [F.when(F.col("__new").isNull(), F.col(text)).otherwise(whole).alias(text) if c == text else F.col(f"`{c}`")
+    taken = {c.lower() for c in docs.columns}
+    old_, new_ = (next(n for n in (f"__{x}{i}" for i in range(len(taken) + 1)) if n not in taken) for x in ("parts", "new"))
+    new = F.expr(f"transform({old_}, (p, i) -> if(i % 2 = 0, p, {case}))")
+    out = docs.withColumn(old_, found).withColumn(new_, new)
+    whole = F.expr(f"replace(array_join({new_}, ''), '{ESCAPE}', '{OWN}')")
+    columns = [F.when(F.col(new_).isNull(), F.col(text)).otherwise(whole).alias(text) if c == text else F.col(f"`{c}`")
                for c in docs.columns]
     if count:
-        n = F.expr("aggregate(zip_with(__parts, __new, (x, y) -> if(x = y, 0, 1)), 0, (a, x) -> a + x)")
+        n = F.expr(f"aggregate(zip_with({old_}, {new_}, (x, y) -> if(x = y, 0, 1)), 0, (a, x) -> a + x)")
         columns.append(F.coalesce(n, F.lit(0)).alias(count))
     return out.select(*columns)
 

@@ -63,3 +63,39 @@ def test_every_registered_page(spark, sf):
     raw = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     assert {r["page_id"] for r in got} == raw.keys()
     assert all(r["n_chars"] == len(r["text"]) and "©" not in r["text"] and "track(" not in r["text"] for r in got)
+
+
+def test_names_of_what_an_element_has_are_no_noise():
+    for c in ("content has-sidebar", "post no-comments", "main with-menu", "article hide-footer"):
+        pieces, containers = hosts.parse(f"<body><div class='{c}'><p>Whole article here</p></div><div class='sidebar'>x</div></body>")
+        assert [hosts.text_of(pieces, n) for n in containers if n.tag == "div"] == ["Whole article here"]
+
+
+def test_broken_and_repetitive_markup_stays_linear():
+    import time
+
+    t = time.process_time()
+    pieces, containers = hosts.parse("<div>x " * 100_000 + "</span>" * 1000)
+    assert hosts.text_of(pieces, containers[0]).count("x") == 100_000 and max(len(c.path) for c in containers) < 1000
+    pieces, containers = hosts.parse("<body>" + "<div class='row'>some text</div>" * 20_000)
+    told = hosts.texts_of(pieces, [c for c in containers if c.tag == "div"])
+    assert told == ["some text"] * 20_000 and time.process_time() - t < 30
+
+
+def test_one_walk_equals_a_walk_per_element():
+    import random
+
+    rng = random.Random(4)
+    for _ in range(60):
+        page = "".join(rng.choice(["<div class=a>", "<div class=b>", "</div>", "<p>", "</p>", "<b>", "</b>", "word ", "x\n", "<br>", "<nav>", "</nav>", "&amp;"]) for _ in range(120))
+        pieces, containers = hosts.parse(page)
+        outer = [c for c in containers[1:] if c.parent is containers[0]]
+        assert hosts.texts_of(pieces, outer) == [hosts.text_of(pieces, c) for c in outer]
+        sizes = {id(c): sum(len(raw) - raw.count(" ") for node, raw, _ in pieces if not raw.isspace() and inside(node, c)) for c in containers}
+        assert all(c.size == sizes[id(c)] for c in containers)
+
+
+def inside(node, up):
+    while node is not None and node is not up:
+        node = node.parent
+    return node is up

@@ -62,3 +62,13 @@ def test_registered_query_on_held_out_rows(spark, sf):
     true = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "lang").toPandas()
     both = got[got.held_out].merge(true, on="doc_id")
     assert len(got) == len(true) and (both.lang_pred == both.lang).mean() > 0.97
+
+
+def test_a_rare_language_stays_in_the_sample(spark):
+    """Ten million rows, five of them in one language: the plan's condition keeps all five and about the bound of the others."""
+    from pyspark.sql import functions as F
+
+    sizes = {"en": 9_000_000, "de": 999_995, "rm": 5}
+    rows = spark.range(2_000_000).select("id", F.when(F.col("id") % 400_000 == 0, "rm").when(F.col("id") % 10 == 1, "de").otherwise("en").alias("lang"))
+    got = {r["lang"]: r["count"] for r in rows.where(language._taken(sizes, F.col("lang"), F.col("id"), 20_000)).groupBy("lang").count().collect()}
+    assert got["rm"] == 5 and 3000 < got["en"] < 4300 and 300 < got["de"] < 500

@@ -93,3 +93,12 @@ def test_whole_international_numbers_and_timestamps(spark):
     for other in ("1984-02-29", "192.168.1.7", "123-45-6789", "4111 1111 1111 1111", "+33 6 12 34 56 79"):
         (text, n), = run(spark, [f"+33 6 12 34 56 78 {other}"])
         assert n == 2 and "12 34" not in text and other not in text
+
+
+def test_columns_named_like_the_work_columns_pass_through(spark):
+    df = spark.createDataFrame([(1, "mail me at ann@site.org or 4111 1111 1111 1111", "a", "b", "c")], "doc_id long, text string, __parts0 string, __new0 string, __PARTS1 string")
+    row = pii.pseudonymise(df, key="k", count="n").first()
+    assert (row["__parts0"], row["__new0"], row["__PARTS1"], row["n"]) == ("a", "b", "c", 2) and "4111 1111" not in row["text"]
+    plain = spark.createDataFrame([(1, "card 4111 1111 1111 1111", "x", "y")], "doc_id long, text string, __parts string, __new string")
+    row = pii.pseudonymise(plain, key="k").first()
+    assert (row["__parts"], row["__new"]) == ("x", "y")

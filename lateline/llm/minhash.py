@@ -107,23 +107,18 @@ def _estimates(batches):
         yield pd.DataFrame({"a": b["a"], "b": b["b"], "est": est})[est >= SLACK]
 
 
-def _compare(words: int, percent: int, told: bool):
-    """Exact comparison of two texts' sets: linked pairs, or (``told``) all with what they share and what each has alone."""
+def _compare(words: int, percent: int):
+    """Pairs whose full sets, taken from their texts, meet the threshold."""
     def run(batches):
         for b in batches:
             for at, to in slices(list(b["ta"].map(len) + b["tb"].map(len))):
                 p = b.iloc[at:to]
                 rows = []
                 for i, j, x, y in zip(p["a"], p["b"], shingle_sets(p["ta"], words), shingle_sets(p["tb"], words), strict=True):
-                    both = np.intersect1d(x, y, assume_unique=True)
-                    n = len(both)
-                    linked = n > 0 and 100 * n >= percent * (len(x) + len(y) - n)
-                    if told:
-                        alone = [np.setdiff1d(z, both, assume_unique=True).view(np.int64) for z in (x, y)]
-                        rows.append((i, j, n, len(x), len(y), linked, *alone))
-                    elif linked:
+                    n = len(np.intersect1d(x, y, assume_unique=True))
+                    if n and 100 * n >= percent * (len(x) + len(y) - n):
                         rows.append((i, j))
-                yield pd.DataFrame(rows, columns=["a", "b", *(["shared", "na", "nb", "linked", "outside_a", "outside_b"] if told else [])])
+                yield pd.DataFrame(rows, columns=["a", "b"])
     return run
 
 
@@ -182,30 +177,21 @@ def _links(base: DataFrame, classes: DataFrame, words: int, percent: int) -> Dat
     # Each set's home, the likely leader that leads most, first; then only what would still join two components.
     best = (likely.join(star, ["a", "b"]).groupBy("id").agg(F.max_by(F.struct("a", "b"), F.struct(F.col("w"), -F.col("lead"))).alias("p"))
             .select("p.a", "p.b", "id"))
-    tried = written(_compared(best.select("a", "b").distinct(), base, words, percent), "tried")
-    links = tried.where("linked").select("a", "b")
+    links = written(_confirmed(best.select("a", "b").distinct(), base, words, percent), "tried")
     rest = _between(likely.select("a", "b"), components(links)).join(best.select("a", "b"), ["a", "b"], "left_anti")
     links = written(links.unionAll(_confirmed(rest, base, words, percent)), "links")
 
     label = written(components(links), "labels")
-    home = (best.join(tried, ["a", "b"]).withColumn("first", F.col("id") == F.col("a"))
-            .select("id", F.expr("if(first, b, a)").alias("home"), "shared", "linked", F.expr("if(first, na, nb)").alias("n"),
-                    F.expr("if(first, outside_a, outside_b)").alias("outside")))
-    home = written(home.join(label, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component"), "homes")
-    rows = (lists.join(home.select("id", "home", "comp"), "id", "left")
-            .join(label.withColumnRenamed("component", "own"), "id", "left")
-            .select("key", "id", "n", F.coalesce("comp", "own", "id").alias("comp"), F.coalesce("home", "id").alias("home")))
-    mixed = (rows.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d"), F.min("home").alias("g"), F.max("home").alias("h"))
-             .where("c < d and g < h").select("key"))
-    open_ = written(rows.join(mixed, "key").select("id", "n", "comp", "home").distinct(), "open")
-    pairs = (_by_prefix(open_, base, words, percent).unionAll(_at_home(home, percent)).distinct()
-             .join(star.select("a", "b"), ["a", "b"], "left_anti"))
+    rows = lists.join(label, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
+    mixed = rows.groupBy("key").agg(F.min("comp").alias("c"), F.max("comp").alias("d")).where("c < d").select("key")
+    open_ = written(rows.join(mixed, "key").select("id", "n", "comp").distinct(), "open")
+    pairs = _by_prefix(open_, base, words, percent).join(star.select("a", "b"), ["a", "b"], "left_anti")
     last = written(_likely(pairs, reps).select("a", "b"), "pairs")
     return links.unionAll(_confirmed(last, base, words, percent))
 
 
 def _by_prefix(sets: DataFrame, base: _Texts, words: int, percent: int) -> DataFrame:
-    """Pairs of ``sets`` (id, n, comp, home) of different components and homes that may link. Exact: no link is lost.
+    """Pairs of ``sets`` (id, n, comp) of different components that may link. Exact: no link is lost.
 
     Values in the order of (how many of these sets hold it, value). Sets that link share at least percent of the larger one,
     so they share one of the first n - ceil(percent n) + 1 values of each; at the first value they share, at places i and j,
@@ -217,35 +203,14 @@ def _by_prefix(sets: DataFrame, base: _Texts, words: int, percent: int) -> DataF
     own = Window.partitionBy("id")
     # A set's values that no other set holds come first in its order.
     first = (held.withColumn("i", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "v")))
-             .where(f"i <= n - ({percent} * n + 99) div 100 + 1").select("v", "id", "n", "comp", "home", "i"))
+             .where(f"i <= n - ({percent} * n + 99) div 100 + 1").select("v", "id", "n", "comp", "i"))
     first = written(first, "prefixes")
     need = f"({percent} * (x.n + y.n) + {99 + percent}) div {100 + percent}"
-    return (first.alias("x").join(first.alias("y"), "v").where("x.comp < y.comp and x.home <> y.home")
+    return (first.alias("x").join(first.alias("y"), "v").where("x.comp < y.comp")
             .where(f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n) and 1 + least(x.n - x.i, y.n - y.i) >= {need}")
             .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
 
 
-def _at_home(home: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one home that may link though one of them, x, does not link with the home itself.
-
-    What x shares with y lies in the home or not. If they share a value outside it, that value brings them together. If
-    not, they share no more than either shares with the home, which must be enough for both sizes: that leaves sizes from
-    percent of x's to a bound from what x shares with the home, and these are looked up by size. No pair is lost.
-    """
-    open_ = home.where("not linked").select("home").distinct()
-    own = home.join(open_, "home")
-    values = own.select("home", "id", "linked", "comp", F.explode("outside").alias("v"))
-    met = (values.alias("x").join(values.alias("y"), ["home", "v"]).where("x.comp < y.comp and not (x.linked and y.linked)")
-           .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct())
-    sizes = (own.where("not linked")
-             .withColumn("low", F.expr(f"({percent} * n + 99) div 100"))
-             .withColumn("high", F.expr(f"shared * {100 + percent} div {percent} - n")).where("low <= high")
-             .select("home", F.col("id").alias("i"), F.col("comp").alias("ci"), F.explode(F.sequence("low", "high")).alias("n")))
-    inner = (own.join(sizes, ["home", "n"]).where(f"id <> i and comp <> ci and {100 + percent} * shared >= {percent} * n")
-             .select(F.least("id", "i").alias("a"), F.greatest("id", "i").alias("b")))
-    return met.unionAll(inner)
-
-
 def _between(pairs: DataFrame, label: DataFrame) -> DataFrame:
     """Pairs whose ends no link chain joins yet."""
     a, b = label.toDF("a", "ca"), label.toDF("b", "cb")
@@ -278,10 +243,4 @@ class _Texts:
 
 def _confirmed(pairs: DataFrame, base: _Texts, words: int, percent: int) -> DataFrame:
     """Pairs whose full sets meet the threshold."""
-    return base.beside(pairs).mapInPandas(_compare(words, percent, False), "a long, b long")
-
-
-def _compared(pairs: DataFrame, base: _Texts, words: int, percent: int) -> DataFrame:
-    return base.beside(pairs).mapInPandas(
-        _compare(words, percent, True),
-        "a long, b long, shared long, na long, nb long, linked boolean, outside_a array<long>, outside_b array<long>")
+    return base.beside(pairs).mapInPandas(_compare(words, percent), "a long, b long")

@@ -104,6 +104,7 @@ def soft_classes(delay) -> list[Column]:
 
 
 def severity(delay) -> Column:
+    """Name of a delay's size. The limits and names that the serving page shows."""
     delay = col(delay)
     return (
         F.when(delay <= 60, "On time").when(delay <= 120, "Slight delay")

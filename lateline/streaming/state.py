@@ -10,7 +10,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+# Read when a query starts: the store, and no batches without rows, which a time to live would ask for without end.
+SETTINGS = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
 
 
 class PreviousValue(StatefulProcessor):
@@ -67,10 +68,12 @@ def previous_value_state(
     processor = PreviousValue(period, order, value, name, int(ttl_hours * 3_600_000), state)
     lagged = stream.groupBy(*keys).transformWithStateInPandas(processor, shape, "Append", "ProcessingTime" if ttl_hours else "None")
     spark = stream.sparkSession
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKS)         # read when the query starts; other queries keep theirs
+    before = {k: spark.conf.get(k) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
     try:
         return (lagged.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
                 .outputMode("append").trigger(availableNow=True).start())
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():         # other queries keep theirs
+            spark.conf.set(k, v)

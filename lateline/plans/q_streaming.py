@@ -62,10 +62,10 @@ _ARRIVE = "CASE WHEN event_id % 97 = 0 THEN 3 WHEN day(ts) * 24 + hour(ts) < 252
 
 
 @query("r03_state_store_lag", f"""
-WITH e AS (SELECT event_id, user_id, value, epoch_us(ts) AS at, CAST(ts AS DATE) AS day, {_ARRIVE} AS part FROM events),
-seen AS (SELECT *, max(at) OVER (PARTITION BY user_id ORDER BY part RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM e),
-f AS (SELECT *, newest IS NULL OR at >= newest AS fresh FROM seen)
-SELECT event_id, CASE WHEN fresh THEN lag(value) OVER (PARTITION BY user_id, day, fresh ORDER BY part, at, event_id) END AS previous FROM f""")
+WITH e AS (SELECT event_id, user_id, value, epoch_us(ts) AS due, CAST(ts AS DATE) AS day, {_ARRIVE} AS part FROM events),
+seen AS (SELECT *, max(due) OVER (PARTITION BY user_id ORDER BY part RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM e),
+f AS (SELECT *, newest IS NULL OR due >= newest AS fresh FROM seen)
+SELECT event_id, CASE WHEN fresh THEN lag(value) OVER (PARTITION BY user_id, day, fresh ORDER BY part, due, event_id) END AS previous FROM f""")
 def _(spark, d):
     at = scratch(spark)
     rows = table(spark, d, "events").select(

@@ -65,7 +65,7 @@ def previous_value_state(
     kinds = {f.name: f.dataType for f in stream.schema.fields}
     state = T.StructType([T.StructField("period", kinds[period]), T.StructField("at", kinds[order[0]]), T.StructField("value", kinds[value])])
     shape = T.StructType([*stream.schema.fields, T.StructField(name, kinds[value])])
-    processor = PreviousValue(period, order, value, name, int(ttl_hours * 3_600_000), state)
+    processor = PreviousValue(period, order, value, name, round(ttl_hours * 3_600_000), state)
     lagged = stream.groupBy(*keys).transformWithStateInPandas(processor, shape, "Append", "ProcessingTime" if ttl_hours else "None")
     spark = stream.sparkSession
     before = {k: spark.conf.get(k) for k in SETTINGS}

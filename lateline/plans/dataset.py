@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.conditions import flag, heavy_share, guarded_ratio, safe_id, swiss_grid_to_wgs84
@@ -29,14 +29,20 @@ def clean(raw: DataFrame, product: str = "bus", drop=("CANCELLED", "PASS_THROUGH
     return drop_flagged(keep_columns(only_product(raw, "PRODUCT_ID", product), ACTUALS_COLUMNS), *drop)
 
 
+def _once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """``df`` with columns that are computed once per row: a later filter on them is pushed below a projection, where every use
+    of a column is its whole expression again, but not below a generator."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def with_delays(df: DataFrame) -> DataFrame:
     """Parsed times, wrapped delays, and the band filter."""
-    times = df.withColumns({
+    times = _once(df, {
         "arr_sched": parse_local("ARRIVAL_TIME"), "dep_sched": parse_local("DEPARTURE_TIME"),
         "arr_seen": parse_local(observed_only("ARRIVAL_FORECAST", "ARRIVAL_FORECAST_STATUS"), seconds=True),
         "dep_seen": parse_local(observed_only("DEPARTURE_FORECAST", "DEPARTURE_FORECAST_STATUS"), seconds=True),
     })
-    delays = times.withColumns({
+    delays = _once(times, {
         "arrival_delay_s": time_of_day_delay("arr_sched", "arr_seen"),
         "departure_delay_s": time_of_day_delay("dep_sched", "dep_seen"),
     })

@@ -129,3 +129,11 @@ def test_semi_and_anti(spark):
     dim = spark.createDataFrame([(1,), (1,)], "k int")
     assert [r.k for r in J.matched(fact, dim, {"k": "k"}).collect()] == [1]
     assert sorted((r.k or 0) for r in J.unmatched(fact, dim, {"k": "k"}).collect()) == [0, 2]
+
+
+def test_no_text_is_parsed_in_a_filter(spark):
+    # There each use of a delay is its whole expression again: every text was formatted and parsed dozens of times.
+    raw = spark.createDataFrame([], ", ".join(f"{c} string" for c in RAW)).withColumns({c: F.concat(c, F.lit("")) for c in RAW if "TIME" in c or "FORECAST" in c})
+    plan = B.with_delays(B.clean(raw))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_make_timestamp_ntz") == 4
+    assert not [line for line in plan.splitlines() if "Filter" in line and "try_make_timestamp_ntz" in line]

@@ -121,3 +121,34 @@ def test_state_store_forgets_idle_keys(spark, folder):
         previous_value_state(s, ["k"], "day", ["at", "id"], "v", out=f"{folder}/out", checkpoint=f"{folder}/cp", ttl_hours=1 / 3_600_000).awaitTermination()
         time.sleep(0.1)
     assert {r.id: r.previous for r in spark.read.parquet(f"{folder}/out").collect()} == {1: None, 2: None}
+
+
+def test_state_store_keys_share_calls(spark, folder):
+    import pandas as pd
+
+    from lateline.streaming import state as S
+
+    class Map(dict):
+        containsKey, getValue, updateValue = dict.__contains__, dict.get, dict.__setitem__
+
+    # One call, three keys: a late row, rows of the state's period and of a later one, an unknown key.
+    p = S.PreviousValue("day", ["at", "id"], "v", "previous", 0, None)
+    p.last = Map({("a",): (1, 30, 5.0), ("b",): (1, 10, 6.0)})
+    batch = pd.DataFrame({"id": [1, 2, 3, 4, 5, 6], "day": [1, 1, 1, 2, 2, 7], "at": [30, 20, 31, 1, 2, 0], "v": [7.0, 8.0, None, 1.0, 2.0, 3.0],
+                          S.KEY: ["a", "a", "a", "b", "b", "c"], S.BUCKET: 0})
+    got = pd.concat(p.handleInputRows((0,), iter([batch[:2], batch[2:]]), None))
+    assert dict(zip(got["id"], got["previous"])) == {1: 5.0, 2: None, 3: 7.0, 4: None, 5: 1.0, 6: None}
+    assert dict(p.last) == {("a",): (1, 31, None), ("b",): (2, 2, 2.0), ("c",): (7, 0, 3.0)}
+
+    # Keys of several columns, NULLs and both zeros among them, over two runs and in as many calls as there are buckets.
+    kind = "id long, k string, x double, day int, at long, v double"
+    rows = [(i, [None, "a", "b"][i % 3], [None, 0.0, -0.0, 2.5][i % 4], 1, i, float(i)) for i in range(60)]
+    for part in (rows[:30], rows[30:]):
+        spark.createDataFrame(part, kind).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        s = spark.readStream.schema(kind).parquet(f"{folder}/in")
+        S.previous_value_state(s, ["k", "x"], "day", ["at", "id"], "v", out=f"{folder}/out", checkpoint=f"{folder}/cp", buckets=2).awaitTermination()
+    out = spark.read.parquet(f"{folder}/out")
+    last, want = {}, {}
+    for i, k, x, _, _, v in rows:
+        want[i], last[k, x] = last.get((k, x)), v
+    assert {r.id: r.previous for r in out.collect()} == want and out.columns == ["id", "k", "x", "day", "at", "v", "previous"]

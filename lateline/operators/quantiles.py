@@ -20,6 +20,7 @@ MARGIN = 1.0 / 2000       # half width of the first bracket, in ranks
 ACCURACY = 10_000         # a sketch's ranks are off by this part of its rows at most
 GRID = 64                 # borders a repeated sketch offers
 ROUNDS = 20
+FEW_GROUPS = 10_000       # brackets sent to the rows; with more the rows go to them
 
 
 def exact_quantiles(
@@ -124,12 +125,17 @@ def _crowded(brackets: DataFrame, asked: _Requests, limit: int) -> bool:
 def _beside(slim: DataFrame, brackets: DataFrame, groups: list[str], asked: _Requests):
     """Rows with their group's brackets: a join, or literals where there is one group (they also reach the scan)."""
     if groups:
-        joined = slim.join(brackets.withColumnsRenamed({g: f"__r{g}" for g in groups}), _null_safe(groups)).drop(*[f"__r{g}" for g in groups])
+        joined = slim.join(_small(brackets).withColumnsRenamed({g: f"__r{g}" for g in groups}), _null_safe(groups)).drop(*[f"__r{g}" for g in groups])
         return joined, lambda i, f: F.col(f"__b{i}.{f}")
     row = brackets.first()
     return slim, lambda i, f: F.lit(row[f"__b{i}"][f]).cast("bigint" if f == "n" else "double")
 
 
+def _small(brackets: DataFrame) -> DataFrame:
+    """Brackets of few groups, counted, go to every task: else all rows of a group would meet in one and be put in order there."""
+    return F.broadcast(brackets) if brackets.count() <= FEW_GROUPS else brackets
+
+
 def _narrowed(slim: DataFrame, brackets: DataFrame, groups: list[str], asked: _Requests) -> DataFrame:
     """Brackets moved to borders of a new sketch of what they hold, chosen by the counts below and on them."""
     rows, part = _beside(slim, brackets, groups, asked)

@@ -74,3 +74,18 @@ def test_quantiles_read_the_rows_twice(spark, folder):
     q = Q.medians(spark.read.parquet(f"{folder}/t"), ["k"], ["v"])
     assert plan(q).count("FileScan parquet") == 1          # the first reading has been written as one row per group
     assert sorted((r.k, r.v) for r in q.collect()) == [(0, 499.5), (1, 499.0), (2, 500.0)]
+
+
+def test_rows_of_few_groups_stay_where_they_are(spark, monkeypatch):
+    df = spark.range(1000).selectExpr("id % 3 as __g0", "cast(id as double) as __c0")
+    asked = Q._Requests({"m": ("v", 0.5)})
+    from lateline.session import checkpoint
+    brackets = checkpoint(Q._first_brackets(df, ["__g0"], asked, 10))
+    plan = lambda: Q._beside(df, brackets, ["__g0"], asked)[0]._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")       # as beyond it: large tables make large estimates
+    assert "BroadcastHashJoin" in plan() and "hashpartitioning" not in plan()
+    monkeypatch.setattr(Q, "FEW_GROUPS", 2)
+    assert "SortMergeJoin" in plan()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    got = {r.k: r.v for r in Q.medians(df.toDF("k", "v"), ["k"], ["v"], small_group=10).collect()}
+    assert got == {0: 499.5, 1: 499.0, 2: 500.0}

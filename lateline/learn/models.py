@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from multiprocessing.pool import ThreadPool
 
+from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier,
@@ -237,6 +239,16 @@ class Ensemble(Learner):
     defaults = {"folds": 5, "seed": 42, "parallelism": 2}
 
 
+@contextmanager
+def kept(df: DataFrame):
+    """The rows of ``df``, written once and cached while several fits pass over them; what a cache loses is read again."""
+    rows = checkpoint(df).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield rows
+    finally:
+        rows.unpersist()
+
+
 def out_of_fold(df: DataFrame, estimators: list, folds: int, names: list[str], source: str, parallelism: int) -> DataFrame:
     """Rows with the predictions of models that did not see them. ``df`` has a fold column.
 
@@ -268,13 +280,16 @@ class StackedRegressor(Ensemble):
 
     def _fit(self, df: DataFrame) -> StackedRegressorModel:
         names = [f"__p{i}" for i in range(len(self.bases))]
-        # The rows are read once per fold and model: keep them instead of recomputing their plan.
-        folded = checkpoint(with_fold(df, self["folds"], self["seed"], self["keyCols"]))
+        with kept(with_fold(df, self["folds"], self["seed"], self["keyCols"])) as folded:
+            return self._stacked(folded, names)
+
+    def _stacked(self, folded: DataFrame, names: list[str]) -> StackedRegressorModel:
         df = folded.drop("fold")
         oof = out_of_fold(folded, self.bases, self["folds"], names, "prediction", self["parallelism"])
         stacked = oof.withColumn("__meta", array_to_vector(F.array(*names))).drop(self["featuresCol"]).withColumnRenamed(
             "__meta", self["featuresCol"])
-        meta = self.meta.fit(stacked)
+        with kept(stacked.select(self["featuresCol"], self["labelCol"])) as few:
+            meta = self.meta.fit(few)
         full = fit_all([(lambda e=e: e.fit(df)) for e in self.bases], self["parallelism"])
         return StackedRegressorModel(featuresCol=self["featuresCol"]).owning(parts={"bases": full, "meta": meta})
 

@@ -138,3 +138,19 @@ def test_early_stop_is_independent_of_an_outer_hash_split(data):
     train, _ = train_test(data[0], 42, ["id"], 0.2, exact=False)
     m = M.EarlyStopped(booster=GBTRegressor(maxIter=5, seed=1), keyCols=["id"]).fit(train)
     assert 1 <= m.getNumTrees <= 5
+
+
+def test_stacked_fits_pass_over_cached_rows(data, spark):
+    df, _, _ = data
+    plans = []
+
+    class Seen(M.Ridge):
+        def _fit(self, rows):
+            plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+            return super()._fit(rows)
+
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    written = spark.createDataFrame(df.rdd, df.schema)
+    M.StackedRegressor(bases=[Seen(alpha=1.0)], meta=Seen(alpha=1.0), folds=2, keyCols=["id"]).fit(written)
+    assert len(plans) == 4 and all("InMemoryRelation" in p for p in plans)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before

@@ -19,6 +19,7 @@ usable label, or one class only, every score is the smoothed share of toxic labe
 
 
 import re
+import weakref
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -135,7 +136,9 @@ class Reader:
     def __init__(self, model: np.ndarray):
         model = model.tolist()
         self.restored = lambda token: restore(token, model)
-        self.read = lru_cache(200_000)(self._read)
+        # The table does not hold its reader: in a ring they would stay in the worker, task after task, until a collection.
+        own = weakref.proxy(self)
+        self.read = lru_cache(200_000)(lambda w: own._read(w))
 
     def _read(self, w: str) -> tuple[str, ...]:
         """What a token may be: itself, restored, and restored without the signs at its ends that close a sentence."""

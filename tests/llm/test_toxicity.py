@@ -74,3 +74,19 @@ def test_obfuscations_reach_the_search():
     scorer = toxicity.Scorer(model, {"stupid": 4.0, "idiot": 5.0}, (0.0, 0.0, 0.0))
     assert scorer.facts(reader, "s t u p i d i d i o t") == (9.0, 5.0)
     assert scorer.facts(reader, "12 3 4 5 6 walk along the river") == (0.0, 0.0)
+
+
+def test_a_reader_goes_with_its_table(spark):
+    import gc
+    import weakref
+
+    import numpy as np
+    reader = toxicity.Reader(np.zeros((27, 27, 27)))
+    assert "abc" in reader.read("abc")
+    gone = weakref.ref(reader)
+    gc.disable()
+    try:
+        del reader
+        assert gone() is None
+    finally:
+        gc.enable()

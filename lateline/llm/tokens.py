@@ -47,7 +47,7 @@ class Encoder:
         """The newer half of ``table`` with all ``pieces`` in it. When it is full it becomes the older half, so pieces that
         come again stay and the many that occur once go."""
         young, old = table
-        new = [p for p in pieces if p not in young]
+        new = pieces.difference(young)
         if not new:
             return young
         if len(young) > KEPT:

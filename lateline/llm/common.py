@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +19,8 @@ MASK = (1 << 64) - 1
 # The white space of the word rule [^\x20\x09-\x0D]+.
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+TEXTS = 2000              # whole texts that go to a Python worker at a time
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -43,11 +45,39 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows once to the shared folder and read them back: lineage ends here."""
-    path = f"{shared_folder(df.sparkSession)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write the rows once to the shared folder and read them back: lineage ends here.
+
+    ``rows``: most rows that go to a Python worker at a time. Whole texts go in small batches, because both the executor
+    and its worker hold a batch several times over.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_BATCH)
+    if rows is not None and not 0 < int(before) <= rows:
+        spark.conf.set(_BATCH, str(rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        if spark.conf.get(_BATCH) != before:
+            spark.conf.set(_BATCH, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_KEPT: dict = {}
+
+
+def kept(key, make: Callable):
+    """What a worker process keeps for its next tasks, made where there is none; it keeps one such table at a time."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def let_go() -> None:
+    """Free what this worker process keeps: the task at hand is of another kind."""
+    _KEPT.clear()
 
 
 # ---------------------------------------------------------------- word hashes

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, run_hashes, text_hashes, slices, written
+from .common import TEXTS, components, let_go, run_hashes, text_hashes, slices, written
 
 K = 64            # retained values
 RUN = 3           # consecutive values that make a list's key
@@ -57,6 +57,7 @@ def shingle_sets(texts, words: int) -> Iterator[np.ndarray]:
 
 def _sketches(words: int):
     def run(batches):
+        let_go()
         for b in batches:
             n, f1, f2, sk = [], [], [], []
             for s in shingle_sets(b["text"], words):
@@ -142,12 +143,12 @@ def near_duplicates(docs: DataFrame, *, id: str = "doc_id", text: str = "text",
     """
     base = (docs.select(F.col(f"`{id}`").cast("long").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
             .withColumn("h", F.xxhash64("text")))
-    rows = written(base.mapInPandas(_sketches(words), "id long, h long, n long, f1 long, f2 long, sketch binary"), "sketches")
+    rows = written(base.mapInPandas(_sketches(words), "id long, h long, n long, f1 long, f2 long, sketch binary"), "sketches", TEXTS)
     # A class is one set with all its rows; a row with the smallest id gives its text.
     classes = written(rows.where("n > 0 and id is not null").groupBy("f1", "f2", "n")
                       .agg(F.min(F.struct("id", "h")).alias("r"), F.first("sketch").alias("sketch"))
                       .select(F.monotonically_increasing_id().alias("c"), "r.*", "f1", "f2", "n", "sketch"), "classes")
-    reached = components(written(_links(base, classes, words, percent), "links"))
+    reached = components(written(_links(base, classes, words, percent), "links", TEXTS))
     rooted = (classes.join(reached.select(F.col("id").alias("c"), "component"), "c", "left")
               .select("f1", "f2", "n", F.col("id").alias("low"), F.coalesce("component", "c").alias("root")))
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component"))
@@ -177,9 +178,9 @@ def _links(base: DataFrame, classes: DataFrame, words: int, percent: int) -> Dat
     # Each set's home, the likely leader that leads most, first; then only what would still join two components.
     best = (likely.join(star, ["a", "b"]).groupBy("id").agg(F.max_by(F.struct("a", "b"), F.struct(F.col("w"), -F.col("lead"))).alias("p"))
             .select("p.a", "p.b", "id"))
-    links = written(_confirmed(best.select("a", "b").distinct(), base, words, percent), "tried")
+    links = written(_confirmed(best.select("a", "b").distinct(), base, words, percent), "tried", TEXTS)
     rest = _between(likely.select("a", "b"), components(links)).join(best.select("a", "b"), ["a", "b"], "left_anti")
-    links = written(links.unionAll(_confirmed(rest, base, words, percent)), "links")
+    links = written(links.unionAll(_confirmed(rest, base, words, percent)), "links", TEXTS)
 
     label = written(components(links), "labels")
     rows = lists.join(label, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("comp"))
@@ -197,7 +198,7 @@ def _by_prefix(sets: DataFrame, base: _Texts, words: int, percent: int) -> DataF
     so they share one of the first n - ceil(percent n) + 1 values of each; at the first value they share, at places i and j,
     what is left of both sets must suffice for the overlap that percent of the union takes.
     """
-    values = written(base.of(sets.select(F.col("id").alias("c"))).mapInPandas(_values(words), "id long, v long"), "values")
+    values = written(base.of(sets.select(F.col("id").alias("c"))).mapInPandas(_values(words), "id long, v long"), "values", TEXTS)
     shared = values.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
     held = values.join(shared, "v").join(sets, "id")
     own = Window.partitionBy("id")

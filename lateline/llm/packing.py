@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import TEXTS, written
 from .tokens import encoder
 
 BUCKET = 50_000           # pieces numbered by one window partition
@@ -151,7 +151,7 @@ def packed(docs: DataFrame, path: str, *, id: str = "doc_id", text: str = "text"
            drops_white: bool = False, keep_ids: bool = False, special: bool = False) -> DataFrame:
     """Rows (id, piece, start, length, ids_crc32[, ids], sequence_id, offset)."""
     cut = written(pieces(docs, path, id=id, text=text, capacity=capacity, end=end, drops_white=drops_white,
-                         keep_ids=keep_ids, special=special), "pieces")
+                         keep_ids=keep_ids, special=special), "pieces", TEXTS)
     return pack(cut, capacity=capacity).withColumnRenamed("id", id)
 
 

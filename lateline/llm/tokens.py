@@ -15,6 +15,8 @@ import re
 from array import array
 from collections.abc import Iterator
 
+from .common import kept
+
 KEPT = 500_000          # pieces a worker remembers
 SEGMENT = 1 << 20         # characters cut into pieces at a time
 # Byte-level vocabularies show a byte as the character of its number where that prints, as one from 256 on elsewhere.
@@ -22,7 +24,6 @@ _PRINTS = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTS)}
 _DOUBLE = re.compile(r"\s\s")
 _LONE = re.compile(r"(?<=\S) (?=\S)")
-_ENCODERS: dict[tuple[str, bool, bool], Encoder] = {}
 
 
 class Encoder:
@@ -119,7 +120,5 @@ class Encoder:
 
 
 def encoder(path: str, drops_white: bool, special: bool = False) -> Encoder:
-    """One encoder per worker process."""
-    if (path, drops_white, special) not in _ENCODERS:
-        _ENCODERS[path, drops_white, special] = Encoder(path, drops_white, special)
-    return _ENCODERS[path, drops_white, special]
+    """One encoder per worker process, until the worker does other work."""
+    return kept((path, drops_white, special), lambda: Encoder(path, drops_white, special))

@@ -28,6 +28,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import let_go
+
 SAMPLE = 20_000           # labelled rows to learn from
 ENTRIES = 20_000          # lexicon entries, the strongest
 SUPPORT = 4               # toxic documents that must hold an entry
@@ -60,6 +62,7 @@ def character_model(docs: DataFrame, text: str = "text") -> np.ndarray:
     Every task counts its own texts; the 19683 sums are what reaches the driver.
     """
     def count(batches):
+        let_go()
         total = np.zeros(27 ** 3, np.int64)
         for b in batches:
             for t in b["text"]:
@@ -293,6 +296,7 @@ def score(docs: DataFrame, scorer: Scorer, *, text: str = "text", names: tuple[s
 
     @F.pandas_udf("double")
     def told(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        let_go()
         reader, (c, s, m) = Reader(scorer.model), scorer.line
         for texts in batches:
             f = np.array([scorer.facts(reader, t) for t in texts]).reshape(-1, 2)

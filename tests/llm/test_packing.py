@@ -122,3 +122,22 @@ def test_queries_and_pipeline_keep_special_tokens(spark, folder):
     assert [r["length"] for r in QUERIES["op2_best_fit_packing"](spark, folder).collect()] == [5]
     assert [r["n_tokens"] for r in QUERIES["op3_wavelet_tokens"](spark, folder).collect()] == [4]
     assert [r["length"] for r in corpus_pipeline.packed(spark, df, folder).collect()] == [5]
+
+
+def test_other_work_frees_the_encoder_and_texts_go_in_small_batches(spark, monkeypatch):
+    from lateline.llm import common, minhash, tokens, toxicity
+
+    enc = tokens.encoder(PATH, False)
+    assert tokens.encoder(PATH, False) is enc and len(common._KEPT) == 1
+    assert tokens.encoder(public_tokenizers.path("word_bpe_49k.json"), True) is not enc and len(common._KEPT) == 1
+    list(minhash._sketches(2)([]))
+    assert not common._KEPT
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for b in batches:
+            yield b.assign(id=len(b))
+
+    rows = common.written(spark.range(0, 50, 1, 1).mapInPandas(sizes, "id long"), "sizes", 20)
+    assert {r["id"] for r in rows.collect()} == {20, 10} and spark.conf.get(name) == before

@@ -18,14 +18,71 @@ from collections.abc import Iterator
 from .common import kept
 
 KEPT = 500_000          # pieces a worker remembers
+MARKS = 10_000            # runs of signs it remembers
 SEGMENT = 1 << 20         # characters cut into pieces at a time
 # Byte-level vocabularies show a byte as the character of its number where that prints, as one from 256 on elsewhere.
 _PRINTS = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTS)}
+# ASCII signs; behind letters they are a unit of their own, whatever their number. A special token holds letters between its signs.
+_SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _DOUBLE = re.compile(r"\s\s")
 _LONE = re.compile(r"(?<=\S) (?=\S)")
 
 
+class _Pieces(dict):
+    """Ids of pieces, found when first asked for. A full table becomes the older half, so pieces that come again stay and
+    the many that occur once go."""
+
+    def __init__(self, tokenizer, drops_white: bool, space: bool):
+        self.tokenizer, self.drops_white, self.space = tokenizer, drops_white, space
+        self.tokenize = tokenizer.model.tokenize
+        self.old: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}          # ids of signs behind a word
+
+    def __missing__(self, p: str) -> bytes:
+        ids = self.old.get(p)
+        if ids is None:
+            word = p.rstrip(_SIGNS)
+            ids = self._word(word)
+            if ids is None:
+                ids = _ids(self.tokenizer, " " + p if self.space else p)
+            elif len(word) < len(p):
+                ids += self._mark(p[len(word):])
+        self[p] = ids
+        return ids
+
+    def _word(self, word: str) -> bytes | None:
+        """Ids of a word of Latin letters: one unit to the vocabulary's splitter, so the library's model takes it as it is."""
+        if not word.isalpha():
+            return None
+        if not word.isascii():
+            if max(word) >= "\u0130":
+                return None
+            word = (word.lower() if self.drops_white else word).encode().decode("latin-1").translate(_SHOWN)
+        elif self.drops_white:
+            word = word.lower()
+        return array("I", [t.id for t in self.tokenize("\u0120" + word if self.space else word)]).tobytes()
+
+    def _mark(self, signs: str) -> bytes:
+        """Ids of signs after letters: a unit of their own."""
+        ids = self.marks.get(signs)
+        if ids is None:
+            ids = _ids(self.tokenizer, signs)
+            if len(self.marks) < MARKS:
+                self.marks[signs] = ids
+        return ids
+
+    def of(self, pieces: list[str]) -> bytes:
+        if len(self) > KEPT:
+            self.old = dict(self)
+            self.clear()
+        return b"".join(map(self.__getitem__, pieces))
+
+
+def _ids(tokenizer, piece: str) -> bytes:
+    return array("I", tokenizer.encode_batch_fast([piece], add_special_tokens=False)[0].ids).tobytes()
+
+
 class Encoder:
     """``drops_white`` says that the vocabulary gives white space no ids (and lower-cases)."""
 
@@ -36,49 +93,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not special
         self.drops_white = drops_white
-        self.lead, self.rest = [{}, {}], [{}, {}]  # ids of a piece at a line's start; of one after a space
-        self.model = self.tokenizer.model
-        self.marks = dict(zip(",.", self._ids([",", "."]), strict=True))
-        self.line = b"" if drops_white else self._ids(["\n"])[0]
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _learn(self, table: list[dict[str, bytes]], pieces: set[str], space: bool) -> dict[str, bytes]:
-        """The newer half of ``table`` with all ``pieces`` in it. When it is full it becomes the older half, so pieces that
-        come again stay and the many that occur once go."""
-        young, old = table
-        new = pieces.difference(young)
-        if not new:
-            return young
-        if len(young) > KEPT:
-            table[1], table[0] = young, {}
-            return self._learn(table, pieces, space)
-        rest, tokenize, lead = [], self.model.tokenize, "\u0120" if space else ""
-        for p in new:
-            ids = old.get(p)
-            if ids is not None:
-                young[p] = ids
-                continue
-            # A comma or stop after letters is a unit of its own.
-            mark = self.marks.get(p[-1:])
-            word = p if mark is None else p[:-1]
-            if not word.isalpha():
-                rest.append(p)
-                continue
-            # A word of Latin letters is one unit to the vocabulary's splitter, so the library's model takes it as it is.
-            if not word.isascii():
-                if max(word) >= "\u0130":
-                    rest.append(p)
-                    continue
-                word = (word.lower() if self.drops_white else word).encode().decode("latin-1").translate(_SHOWN)
-            elif self.drops_white:
-                word = word.lower()
-            ids = array("I", [t.id for t in tokenize(lead + word)]).tobytes()
-            young[p] = ids if mark is None else ids + mark
-        if rest:
-            young.update(zip(rest, self._ids([" " + p for p in rest] if space else rest), strict=True))
-        return young
+        self.lead = _Pieces(self.tokenizer, drops_white, False)     # pieces at a line's start
+        self.rest = _Pieces(self.tokenizer, drops_white, True)      # pieces after a space
+        self.line = b"" if drops_white else _ids(self.tokenizer, "\n")
 
     def _segments(self, text: str) -> Iterator[str]:
         """Parts of a long text that start with the space or line break they were cut before."""
@@ -107,16 +124,15 @@ class Encoder:
 
     def _part(self, text: str) -> bytes:
         if self.drops_white:
-            pieces = text.replace("\n", " ").split(" ")
-            return b"".join(map(self._learn(self.lead, set(pieces), False).__getitem__, pieces))
+            return self.lead.of(text.replace("\n", " ").split(" "))
         if _DOUBLE.search(text):
             first, *others = _LONE.split(text)
-            rest = self._learn(self.rest, set(others), True)
-            return self._ids([first])[0] + b"".join(map(rest.__getitem__, others))
-        lines = [x.split(" ") for x in text.split("\n")]
-        lead = self._learn(self.lead, {x[0] for x in lines}, False)
-        get = self._learn(self.rest, {p for x in lines for p in x[1:]}, True).__getitem__
-        return self.line.join([lead[x[0]] + b"".join(map(get, x[1:])) for x in lines])
+            return _ids(self.tokenizer, first) + self.rest.of(others)
+        lead, rest, out = self.lead, self.rest, []
+        for line in text.split("\n"):
+            first, _, others = line.partition(" ")
+            out.append(lead.of([first]) + rest.of(others.split(" ")) if _ else lead.of([first]))
+        return self.line.join(out)
 
 
 def encoder(path: str, drops_white: bool, special: bool = False) -> Encoder:

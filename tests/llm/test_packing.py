@@ -124,6 +124,27 @@ def test_queries_and_pipeline_keep_special_tokens(spark, folder):
     assert [r["length"] for r in corpus_pipeline.packed(spark, df, folder).collect()] == [5]
 
 
+def test_a_piece_is_looked_up_once_and_signs_end_a_word(monkeypatch):
+    from lateline.llm import tokens
+
+    words = ["alpha", "Straße", "x1", "don't", "日本", "wörd…", "<|endoftext|>", "a<|endoftext|>", "l'été"]
+    texts = [f"{w}{s} {w}{s}\n{w}{s} x" for w in words for s in ("", ",", "...", "***", "&&&", "'", "',", "\"!", "<|", "|>", "'s")]
+    for name, drops in (("byte_bpe_50k.json", False), ("word_bpe_49k.json", True)):
+        for special in (False, True):
+            library = Tokenizer.from_file(public_tokenizers.path(name))
+            library.encode_special_tokens = not special
+            want = [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+            for kept in (500_000, 3):
+                monkeypatch.setattr(tokens, "KEPT", kept)
+                assert list(Encoder(public_tokenizers.path(name), drops, special).encode(texts)) == want
+    monkeypatch.setattr(tokens, "KEPT", 500_000)
+    enc, asked = Encoder(PATH, False), []
+    ask = enc.rest._word
+    enc.rest._word = lambda w: asked.append(w) or ask(w)
+    list(enc.encode(["see cat, cat, cat dog*** dog", "see cat, dog***", "two cat"]))
+    assert sorted(asked) == ["cat", "cat", "dog", "dog"]
+
+
 def test_other_work_frees_the_encoder_and_texts_go_in_small_batches(spark, monkeypatch):
     from lateline.llm import common, minhash, tokens, toxicity
 

@@ -18,9 +18,10 @@ usable label, or one class only, every score is the smoothed share of toxic labe
 """
 
 
+import math
 import re
 import weakref
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -36,6 +37,7 @@ SUPPORT = 4               # toxic documents that must hold an entry
 RATIO = 3.0               # least log ratio of the rates
 STEMS = (4, 5, 6)         # lengths of word beginnings
 WITHIN = 4                # letters of a lexicon word that is looked for within letters set apart
+TOKENS = 200_000          # tokens whose reading a reader remembers
 
 # Letters that a sign stands for.
 SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "tl", "8": "b", "9": "g", "@": "a", "$": "s",
@@ -43,6 +45,7 @@ SIGNS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 GAPS = set(".-_*'’·~^/\\,")
 _EDGE = ".,;:!?\"'()[]{}<>«»“”„…#$%&*+-/=@\\^_`|~"        # around a plain word
 _FRAME = ".,;:?\"')[]{}>«»“”„…#%&*=~^`"                   # around a disguised one, where other signs may be letters
+_SHUT, _OPEN = "!" + _FRAME, "(<¡" + _FRAME
 _CHOICE = re.compile(r"[0-9@$!|+€£(<¡ß*.\-_'’·~^/\\,]|([a-z])\1")
 _LETTERS = re.compile(r"[^\W\d_]|[@$!|+€£(<¡]")
 # Longer repeats only add a constant to all paths: gaps always stand for nothing, and more than 40 masked letters cost more
@@ -82,12 +85,17 @@ def character_model(docs: DataFrame, text: str = "text") -> np.ndarray:
     return np.log((n + 5 * two[None]) / (n.sum(2, keepdims=True) + 5))
 
 
+_ONE = {c: [(c, 0.0)] for c in "abcdefghijklmnopqrstuvwxyz"}
+
+
 def _lattice(token: str) -> list[list[tuple[str, float]]]:
     """For each character: what it may stand for, with its cost. A gap or a repeated letter may stand for nothing."""
     out, letters = [], token.lower()
     for i, c in enumerate(letters):
-        before = letters[i - 1:i]
-        if c in SIGNS:
+        before = letters[i - 1] if i else ""
+        if c != before and c in _ONE:
+            options = _ONE[c]
+        elif c in SIGNS:
             options = [(x, 0.3) for x in SIGNS[c]] if c != "ß" else [("ss", 0.1)]
             if not c.isalnum():
                 options.append(("", 2.0))
@@ -95,8 +103,8 @@ def _lattice(token: str) -> list[list[tuple[str, float]]]:
                 options.append(("", 0.5))
         elif "a" <= c <= "z":
             # Twice may be meant; three times and more is stretched.
-            drawn = c == before and c in (letters[i - 2:i - 1], letters[i + 1:i + 2])
-            options = [(c, 0.6), ("", 0.2)] if drawn else [(c, 0.0), ("", 6.0)] if c == before else [(c, 0.0)]
+            drawn = c in (letters[i - 2:i - 1], letters[i + 1:i + 2])
+            options = [(c, 0.6), ("", 0.2)] if drawn else [(c, 0.0), ("", 6.0)]
         elif c == "*":
             options = [("", 0.2), *((x, 2.5) for x in "abcdefghijklmnopqrstuvwxyz")]
         elif c in GAPS or c.isspace():
@@ -116,6 +124,16 @@ def restore(token: str, model: list | np.ndarray) -> str:
     states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}      # with the letters so far, last first
     for options in _lattice(token):
         new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        if len(options) == 1 and options[0][0] in _ONE:
+            # Most characters have no choice: every path goes on by this letter.
+            x, cost = options[0]
+            k = ord(x) - 96
+            for (i, j), (p, s) in states.items():
+                q = p - cost + model[i][j][k]
+                if (j, k) not in new or q > new[j, k][0]:
+                    new[j, k] = (q, (s, x))
+            states = new
+            continue
         for (i, j), (p, s) in states.items():
             for letters, cost in options:
                 q, a, b = p - cost, i, j
@@ -141,7 +159,8 @@ class Reader:
         self.restored = lambda token: restore(token, model)
         # The table does not hold its reader: in a ring they would stay in the worker, task after task, until a collection.
         own = weakref.proxy(self)
-        self.read = lru_cache(200_000)(lambda w: own._read(w))
+        self.read = lru_cache(TOKENS)(lambda w: own._read(w))
+        self._lexicon: dict[str, float] | None = None
 
     def _read(self, w: str) -> tuple[str, ...]:
         """What a token may be: itself, restored, and restored without the signs at its ends that close a sentence."""
@@ -149,15 +168,28 @@ class Reader:
         if not _CHOICE.search(w) or not _LETTERS.search(w):
             return tuple(out)
         bare = _collapsed(w).strip(_FRAME)
-        for x in {bare, bare.rstrip("!" + _FRAME), bare.rstrip("!" + _FRAME).lstrip("(<¡" + _FRAME)}:
-            if _CHOICE.search(x):
-                out.add(self.restored(x))
+        if _CHOICE.search(bare):
+            shut = bare.rstrip(_SHUT)
+            for x in {bare, shut, shut.lstrip(_OPEN)}:
+                if _CHOICE.search(x):
+                    out.add(self.restored(x))
         return tuple(out)
 
-    def apart(self, text: str | None) -> list[str]:
-        """Letters set apart, restored: each run as a whole, and what wider gaps part it into."""
+    def found(self, weights: dict[str, float]) -> Callable[[str], tuple[tuple[str, float], ...]]:
+        """From a token to the words behind it that have entries in ``weights``, with their strongest; nearly all have none.
+        The table of tokens seen is of one lexicon at a time."""
+        if self._lexicon is not weights:
+            own = weakref.proxy(self)
+            self._lexicon, self._found = weights, lru_cache(TOKENS)(lambda w: strongest(own._read(w), weights))
+        return self._found
+
+    def apart(self, text: str, tokens: set[str]) -> list[str]:
+        """Letters set apart, restored: each run as a whole, and what wider gaps part it into. ``tokens``: all of the text."""
+        # Fewer tokens of one character than two make no word of letters set apart.
+        if list(map(len, tokens)).count(1) < 2:
+            return []
         out = []
-        for m in _APART.findall(text.lower() if text else ""):
+        for m in _APART.findall(text.lower()):
             if not _LETTERS.search(m):
                 continue
             gaps = _GAP.findall(m)
@@ -178,10 +210,8 @@ class Reader:
             return set(), []
         out = set()
         tokens = set(text.lower().split())
-        for read in map(self.read, tokens):
-            out.update(read)
-        # Fewer tokens of one character than two make no word of letters set apart.
-        apart = self.apart(text) if sum(len(w) == 1 for w in tokens) > 1 else []
+        out.update(*map(self.read, tokens))
+        apart = self.apart(text, tokens)
         out.update(apart)
         out.discard("")
         return out, apart
@@ -197,6 +227,16 @@ class Reader:
         return out
 
 
+def strongest(words: Iterable[str], weights: dict[str, float]) -> tuple[tuple[str, float], ...]:
+    """Words that have entries, each with its strongest."""
+    out = []
+    for word in words:
+        here = [weights[k] for k in (word, *[f"{word[:n]}*" for n in STEMS]) if k in weights]
+        if here and word:
+            out.append((word, max(here)))
+    return tuple(out)
+
+
 class Scorer:
     def __init__(self, model: np.ndarray, weights: dict[str, float], line: tuple[float, float, float]):
         self.model, self.weights, self.line = model, weights, line
@@ -220,17 +260,18 @@ class Scorer:
 
     def facts(self, reader: Reader, text: str | None) -> tuple[float, float]:
         """Summed weights, of which a word gives its strongest entry only, and the strongest."""
-        best: list[float] = []
-        w = self.weights
-        words, apart = reader.told(text)
-        for word in words:
-            here = [w[k] for k in (word, *(f"{word[:n]}*" for n in STEMS)) if k in w]
-            if here:
-                best.append(max(here))
+        if not text:
+            return 0.0, 0.0
+        tokens, words = set(text.lower().split()), {}
+        for found in filter(None, map(reader.found(self.weights), tokens)):
+            words.update(found)
+        apart = reader.apart(text, tokens)
+        words.update(strongest(apart, self.weights))
+        best = list(words.values())
         for run in apart:
-            if run not in w:
+            if run not in self.weights:
                 best += self.within(run)
-        return (sum(best), max(best)) if best else (0.0, 0.0)
+        return (math.fsum(best), max(best)) if best else (0.0, 0.0)
 
 
 def learn(labelled: DataFrame, docs: DataFrame, *, id: str = "doc_id", text: str = "text", toxic: str = "toxic",
@@ -250,20 +291,19 @@ def learn(labelled: DataFrame, docs: DataFrame, *, id: str = "doc_id", text: str
             for t, y in zip(b["text"], b["toxic"], strict=True):
                 for e in reader.entries(t):
                     seen.setdefault(e, [0, 0])[y] += 1
-                seen.setdefault("", [0, 0])[y] += 1
         yield pd.DataFrame([(e, a, b) for e, (a, b) in seen.items()], columns=["entry", "other", "toxic"])
 
     counts = (rows.where("not fit").select("text", "toxic").mapInPandas(count, "entry string, other long, toxic long")
               .groupBy("entry").agg(F.sum("other").alias("other"), F.sum("toxic").alias("toxic")))
-    top = counts.where(f"toxic >= {SUPPORT} or entry = ''")
-    whole = counts.where("entry = ''").first()
-    if whole is None or not whole["other"] or not whole["toxic"]:
-        share = ((whole["toxic"] + 0.5) / (whole["toxic"] + whole["other"] + 1)) if whole else 0.5
+    # Rows of each label need no text, so no text is read for them.
+    whole = rows.where("not fit").agg(F.sum("toxic").alias("toxic"), F.sum(1 - F.col("toxic")).alias("other")).first()
+    if not whole["other"] or not whole["toxic"]:
+        share = ((whole["toxic"] + 0.5) / (whole["toxic"] + whole["other"] + 1)) if whole["toxic"] is not None else 0.5
         return Scorer(model, {}, (float(np.log(share / (1 - share))), 0.0, 0.0))
     # The log ratio of the rates, less a margin of one and a half standard errors of the toxic count.
     weight = (F.log((F.col("toxic") / F.lit(float(whole["toxic"]))) / ((F.col("other") + 1) / F.lit(float(whole["other"] + 1))))
               - 1.5 / F.sqrt("toxic"))
-    kept = (top.where("entry <> ''").withColumn("w", weight).where(f"w >= {RATIO}").orderBy(F.desc("w"), "entry").limit(ENTRIES))
+    kept = (counts.where(f"toxic >= {SUPPORT}").withColumn("w", weight).where(f"w >= {RATIO}").orderBy(F.desc("w"), "entry").limit(ENTRIES))
     weights = {r["entry"]: r["w"] for r in kept.select("entry", "w").collect()}    # at most ENTRIES rows
     scorer = Scorer(model, weights, (0.0, 0.0, 0.0))
 

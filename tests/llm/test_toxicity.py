@@ -90,3 +90,30 @@ def test_a_reader_goes_with_its_table(spark):
         assert gone() is None
     finally:
         gc.enable()
+
+
+def test_a_token_is_weighed_once_for_many_texts():
+    import numpy as np
+
+    class Counted(dict):
+        asked = 0
+
+        def __contains__(self, key):
+            self.asked += 1
+            return super().__contains__(key)
+
+        def get(self, key, default=None):
+            self.asked += 1
+            return super().get(key, default)
+
+    model = np.zeros((27, 27, 27))
+    reader = toxicity.Reader(model)
+    weights = Counted({"idiot": 5.0, "idio*": 4.0, "moro*": 3.0, "fox": 2.0})
+    scorer = toxicity.Scorer(model, weights, (0.0, 0.0, 0.0))
+    texts = [" ".join([*CLEAN, "idiot", "Idiot", "idiot,", "Moronic", "idiotic"])] * 40
+    # A word counts once, by its strongest entry, however many tokens stand for it.
+    assert {scorer.facts(reader, t) for t in texts} == {(2.0 + 5.0 + 3.0 + 4.0, 5.0)}
+    assert weights.asked <= 12 * len(set(texts[0].split())), weights.asked
+    other = toxicity.Scorer(model, {"fox": 1.0}, (0.0, 0.0, 0.0))
+    assert other.facts(reader, texts[0]) == (1.0, 1.0) and scorer.facts(reader, texts[0]) == (14.0, 5.0)
+    assert scorer.facts(reader, None) == scorer.facts(reader, "") == (0.0, 0.0)

@@ -6,6 +6,7 @@ executors see it, so a lost executor only repeats its own tasks.
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -21,6 +22,7 @@ WHITE = np.zeros(256, bool)
 WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 TEXTS = 2000              # whole texts that go to a Python worker at a time
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -45,22 +47,35 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
 
 
+@contextlib.contextmanager
+def _setting(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Settings of one write, put back after it."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     """Write the rows once to the shared folder and read them back: lineage ends here.
 
+    Spark removes the shuffle files of the write at its end, as nothing reads them any more; else they stay until the
+    driver happens to collect its garbage, and those of many writes add up.
+
     ``rows``: most rows that go to a Python worker at a time. Whole texts go in small batches, because both the executor
     and its worker hold a batch several times over.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/llm-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_BATCH)
-    if rows is not None and not 0 < int(before) <= rows:
-        spark.conf.set(_BATCH, str(rows))
-    try:
+    values = {_FREED: "true"}
+    if rows is not None and not 0 < int(spark.conf.get(_BATCH)) <= rows:
+        values[_BATCH] = str(rows)
+    with _setting(spark, values):
         df.write.parquet(path)
-    finally:
-        if spark.conf.get(_BATCH) != before:
-            spark.conf.set(_BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

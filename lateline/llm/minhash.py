@@ -234,7 +234,8 @@ class _Texts:
     def of(self, classes: DataFrame) -> DataFrame:
         """Rows (c, text), one per class; only the texts asked for leave the scan's side of the join."""
         need = self.who.join(classes.distinct(), "c")
-        return written(self.base.join(need, ["id", "h"]).select("c", "text").dropDuplicates(["c"]), "texts")
+        # Rows of a class are told apart by the columns of the join, so no text is shuffled a second time.
+        return written(self.base.join(need, ["id", "h"]).dropDuplicates(["id", "h", "c"]).select("c", "text"), "texts")
 
     def beside(self, pairs: DataFrame) -> DataFrame:
         pairs = written(pairs.select("a", "b"), "wanted")

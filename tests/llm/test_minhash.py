@@ -1,11 +1,14 @@
 """Near duplicates against a brute-force comparison of all sets."""
+import os
 import random
 import re
+import time
 
+import pytest
 from pyspark.sql import types as T
 
 from lateline.llm import minhash
-from lateline.llm.common import components
+from lateline.llm.common import components, written
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()),
@@ -134,3 +137,41 @@ def test_a_very_long_text(spark):
     df = spark.createDataFrame([(*r, None, None) for r in rows], DOCS)
     got = told(minhash.near_duplicates(df))
     assert got == {1: (len(shingles(rows[0][1])), 1, True), 2: (len(shingles(rows[1][1])), 1, False), 3: (1, 3, True)}
+
+
+def test_a_write_leaves_no_shuffle_files(spark):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    dirs = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+
+    def files():
+        return {f for d in dirs for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+
+    before, was = files(), spark.conf.get(key)
+    sums = spark.range(5000).selectExpr("id % 7 as k").groupBy("k").count()
+    out = written(sums, "sums")
+    until = time.time() + 10
+    while files() - before and time.time() < until:          # executors are told to remove them, and do so a little later
+        time.sleep(0.2)
+    assert not files() - before
+    assert spark.conf.get(key) == was
+    # What was written stays whole, and its source can be asked again.
+    assert sorted(r["count"] for r in out.collect()) == sorted(r["count"] for r in sums.collect()) == [714] * 5 + [715] * 2
+    spark.conf.set(key, "false")
+    with pytest.raises(Exception, match="broken"):
+        written(sums.selectExpr("raise_error('broken') as x"), "broken", 10)
+    assert spark.conf.get(key) == "false"
+    spark.conf.unset(key)
+
+
+def test_texts_are_shuffled_once(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(minhash, "written", lambda df, *a: (plans.append(df._jdf.queryExecution().executedPlan().toString()), df)[1])
+    base = spark.createDataFrame([(1, "a b", 5), (2, "c d", 6)], "id long, text string, h long")
+    who = spark.createDataFrame([(10, 1, 5), (11, 2, 6)], "c long, id long, h long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = minhash._Texts(base, who).of(who.select("c").unionAll(who.select("c")))
+        assert sorted(map(tuple, got.collect())) == [(10, "a b"), (11, "c d")]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plans[0] and not any("hashpartitioning(c" in x for x in plans[0].split("SortMergeJoin")[0].splitlines())

@@ -18,10 +18,19 @@ def usable(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))), F.lit(False))
 
 
-def paired(queries: DataFrame, rows: DataFrame, key: str, query: str, row: str, *, q_size: int = QUERIES, r_size: int = ROWS):
-    """Cogrouped blocks (queries, rows) of equal ``key``; ``query`` and ``row`` number what is dealt to blocks."""
-    sizes = (queries.groupBy(key).agg(F.ceil(F.count("*") / q_size).alias("qs"))
-             .join(rows.groupBy(key).agg(F.ceil(F.count("*") / r_size).alias("rs")), key))
+def sized(queries: DataFrame, rows: DataFrame, key: str, q_size: int, r_size: int) -> DataFrame:
+    """Blocks of queries (qs) and of rows (rs) of each key that has both."""
+    return (queries.groupBy(key).agg(F.ceil(F.count("*") / q_size).alias("qs"))
+            .join(rows.groupBy(key).agg(F.ceil(F.count("*") / r_size).alias("rs")), key))
+
+
+def paired(queries: DataFrame, rows: DataFrame, key: str, query: str, row: str, sizes: DataFrame | None = None, *,
+           q_size: int = QUERIES, r_size: int = ROWS):
+    """Cogrouped blocks (queries, rows) of equal ``key``; ``query`` and ``row`` number what is dealt to blocks.
+
+    ``sizes``: the blocks of each key, counted before (``sized``); a small written table saves a shuffle of both sides."""
+    if sizes is None:
+        sizes = sized(queries, rows, key, q_size, r_size)
     left = (queries.join(sizes, key).withColumn("qb", F.pmod(F.xxhash64(query), "qs"))
             .withColumn("rb", F.explode(F.sequence(F.lit(0), F.col("rs") - 1))).drop("qs", "rs"))
     right = (rows.join(sizes, key).withColumn("rb", F.pmod(F.xxhash64(row), "rs"))

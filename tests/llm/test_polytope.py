@@ -95,3 +95,62 @@ def test_empty(spark):
     assert polytope.nearest(df, df).collect() == []
     one = spark.createDataFrame([(1, [1.0, 2.0])], KIND)
     assert polytope.nearest(one, one).collect() == [] and polytope.nearest(df, one).collect() == []
+
+
+def test_probes_stay_few_without_near_neighbours(spark, monkeypatch):
+    made, write = {}, polytope.written
+    monkeypatch.setattr(polytope, "written", lambda df, name: [made.update({name: write(df, name)}), made[name]][1])
+    x = np.random.default_rng(5).standard_normal((1500, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, KIND)
+    got, want = told(polytope.nearest(df, df.where("vec_id % 10 = 0"), bucket=4)), brute(rows, lambda i: i % 10 == 0)
+    assert recall(got, want) >= 0.93
+    # Two rotations would send each query to thousands of buckets, each time with its vector.
+    sent = made["probes"]
+    assert sent.count() == 4 * 150 and sent.selectExpr("max(size(keys))").first()[0] <= 128
+    assert made["index"].count() == 1500
+
+
+def test_probes_take_bounded_memory():
+    import tracemalloc
+
+    poly, x = polytope.Polytopes(64, 1, 2, 3), np.random.default_rng(6).standard_normal((1024, 64))
+    tracemalloc.start()
+    probes = poly.probes(x, 0, 2000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert probes.shape == (1024, 2000) and peak < 1.5e8
+
+
+def test_rotations_are_those_with_the_least_work():
+    rng = np.random.default_rng(7)
+    far = polytope.normed(rng.standard_normal((4096, 64)))
+    base = rng.standard_normal((400, 64))
+    near = polytope.normed(base[rng.integers(0, 400, 4096)] + 0.1 * rng.standard_normal((4096, 64)))
+    work = dict(tables=4, bucket=4096, k=5, recall=0.975, seed=11)
+    assert polytope.planned(far, 600_000, 12_000, **work)[0] == 1
+    assert polytope.planned(near, 600_000, 12_000, **work)[0] == 1          # 16,384 small buckets a table cost more than they spare
+    assert polytope.planned(near, 60_000_000, 1_200_000, **work)[0] == 2
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_two_rotations_in_small_blocks(spark, monkeypatch, kind):
+    monkeypatch.setattr(polytope, "PROBE", 0.01)
+    monkeypatch.setattr(polytope, "GROUP", 0.01)
+    monkeypatch.setattr(polytope, "ASKED", 16 * 4)
+    monkeypatch.setattr(polytope, "INDEXED", 16 * 8)
+    plans, plan = [], polytope.planned
+    monkeypatch.setattr(polytope, "planned", lambda *a: plans.append(plan(*a)) or plans[-1])
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((30, 16))
+    x = (base[rng.integers(0, 30, 500)] + 0.02 * rng.standard_normal((500, 16))).astype(np.float32 if kind == "float" else np.float64)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000 + i, x[0].tolist()) for i in range(20)]
+    df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>")
+    got, want = told(polytope.nearest(df, df.where("vec_id % 10 = 0"), bucket=8)), brute(rows, lambda i: i % 10 == 0)
+    assert plans[0][0] == 2 and set(got) == set(want) and recall(got, want) >= 0.93
+    assert got[1010] == [(j, pytest.approx(1, abs=1e-14)) for j in (0, 1000, 1001, 1002, 1003)]
+    for i, best in got.items():
+        assert len(best) == 5 and i not in dict(best)
+        for j, s in best:
+            a, b = (np.array(x[z] if z < 500 else x[0], float) for z in (i, j))
+            assert s == pytest.approx(a @ b / np.sqrt((a @ a) * (b @ b)), abs=1e-14)

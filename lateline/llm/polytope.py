@@ -229,7 +229,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, id: str = "vec_id", embed
                 ii, jj = np.nonzero(s >= low[:, None] - CLOSE)
                 ii, jj = ii + a, jj + b
                 more = [(x[ii[z:z + 8192]] * y[jj[z:z + 8192]]).sum(1) / (nx[ii[z:z + 8192]] * ny[jj[z:z + 8192]]) for z in range(0, len(ii), 8192)]
-                i, j, exact = np.append(i, ii), np.append(j, jj), np.concatenate([exact, *more])
+                i, j, exact = np.append(i, ii), np.append(j, jj), np.concatenate([exact, *(np.clip(z, -1, 1) for z in more)])      # rounding may pass 1
                 order = np.lexsort((lowest[j], -exact, i))
                 order = order[first(i[order], k + 1)]
                 i, j, exact = i[order], j[order], exact[order]
